@@ -169,7 +169,7 @@ def chat_requests(turns: DataFrame, ids: Column) -> DataFrame:
         F.concat(F.lit("user:"), F.col("user_id"))
     )
     context = facts(
-        channel=F.lit("chat"),
+        channel=F.lit("librechat"),
         destination=destination(F.col("endpoint")),
         endpoint=F.col("endpoint"),
         model=F.col("model"),
@@ -195,11 +195,11 @@ def chat_requests(turns: DataFrame, ids: Column) -> DataFrame:
 def upload_assets(files: DataFrame, instance: str) -> DataFrame:
     """Uploads ``(file_id, filename, uploaded_by, content_type, size_bytes)`` as unclassified assets."""
     return files.select(
-        F.concat(F.lit(f"upload://{instance}/files/"), F.col("file_id").cast("string")).alias("urn"),
+        F.concat(F.lit(f"librechat://{instance}/files/"), F.col("file_id").cast("string")).alias("urn"),
         F.col("filename").alias("name"),
         F.lit("file").alias("kind"),
         F.col("uploaded_by").alias("owner"),
-        F.concat(F.lit("Uploaded by "), F.col("uploaded_by"), F.lit(".")).alias("description"),
+        F.concat(F.lit("Uploaded to LibreChat by "), F.col("uploaded_by"), F.lit(".")).alias("description"),
         F.coalesce("content_type", F.lit("")).alias("content_type"),
         F.coalesce("size_bytes", F.lit(0)).alias("size_bytes"),
         F.lit(False).alias("classified"),
@@ -211,7 +211,7 @@ def agent_assets(agents: DataFrame, instance: str) -> DataFrame:
     agent = F.trim(F.coalesce(F.nullif(F.col("id"), F.lit("")), F.nullif(F.col("_id"), F.lit("")), F.lit("")))
     step = agents.withColumn("agent_id", agent).where(F.col("agent_id") != "")
     return step.select(
-        F.concat(F.lit(f"upload://{instance}/agents/"), F.col("agent_id")).alias("urn"),
+        F.concat(F.lit(f"librechat://{instance}/agents/"), F.col("agent_id")).alias("urn"),
         F.coalesce("name", "agent_id").alias("name"),
         F.lit("agent").alias("kind"),
         F.coalesce("author", F.lit("")).alias("owner"),
