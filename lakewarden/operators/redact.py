@@ -192,18 +192,12 @@ def redact_text(
 
 def summary(edits: Column, unhandled: Column) -> Column:
     """Counts and label lists of one rewritten row."""
-    by_strategy = F.filter(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(s).alias("strategy"),
-                    F.size(F.filter(edits, lambda e, s=s: e["strategy"] == s)).alias("n"),
-                )
-                for s in STRATEGIES
-            ]
-        ),
-        lambda c: c["n"] > 0,
-    )
+
+    def counted(strategy: str) -> Column:
+        mine = F.filter(edits, lambda e: e["strategy"] == strategy)
+        return F.struct(F.lit(strategy).alias("strategy"), F.size(mine).alias("n"))
+
+    by_strategy = F.filter(F.array(*[counted(s) for s in STRATEGIES]), lambda c: c["n"] > 0)
     return F.struct(
         F.size(edits).alias("redaction_count"),
         F.map_from_entries(by_strategy).alias("by_strategy"),
@@ -232,7 +226,7 @@ def edit_records(df: DataFrame, ids: Sequence[str]) -> DataFrame:
 
 
 def _rewrite_variant(node: Column, path: Column, edited: Column, depth: int) -> Column:
-    """JSON text of a VARIANT with edited leaves replaced. One recursion per level."""
+    """JSON text of a VARIANT with leaves replaced by those of ``edited``, which are JSON already."""
     kind = scan.variant_kind(node)
     as_is = F.to_json(node)
     if depth > scan.MAX_DEPTH:
@@ -240,18 +234,19 @@ def _rewrite_variant(node: Column, path: Column, edited: Column, depth: int) ->
 
     def member(c: Column) -> Column:
         below = F.concat(path, F.lit("/"), scan.pointer_token(c["key"]))
-        text = _rewrite_variant(c["child"], below, edited, depth + 1)
-        return F.when(c["named"], F.concat(crypto.json_string(c["key"]), F.lit(":"), text)).otherwise(text)
+        name = F.when(c["named"], F.concat(F.to_json(c["key"].cast("variant")), F.lit(":"))).otherwise(F.lit(""))
+        return F.concat(name, _rewrite_variant(c["child"], below, edited, depth + 1))
 
+    # The deeper levels appear once in the expression, or its size would double per level.
+    is_object = kind == "OBJECT"
     inner = F.array_join(F.transform(scan.variant_children(node), member), ",")
-    return (
-        F.when(
-            kind == "STRING",
-            crypto.json_string(F.coalesce(F.try_element_at(edited, path), F.try_variant_get(node, "$", "string"))),
-        )
-        .when(kind == "OBJECT", F.concat(F.lit("{"), inner, F.lit("}")))
-        .when(kind == "ARRAY", F.concat(F.lit("["), inner, F.lit("]")))
-        .otherwise(as_is)
+    container = F.concat(
+        F.when(is_object, F.lit("{")).otherwise(F.lit("[")),
+        inner,
+        F.when(is_object, F.lit("}")).otherwise(F.lit("]")),
+    )
+    return F.when(kind.isin("OBJECT", "ARRAY"), container).otherwise(
+        F.coalesce(F.try_element_at(edited, path), as_is)
     )
 
 
@@ -312,13 +307,14 @@ def redact_structured(
     )
     dtype = df.schema[column].dataType
     edited = F.coalesce(F.col("_edited"), F.create_map().cast("map<string,string>"))
+    as_json = F.transform_values(edited, lambda k, v: F.to_json(v.cast("variant")))
     if isinstance(dtype, T.StringType):
         parsed = F.try_parse_json(F.col(column))
-        fresh = F.coalesce(_rewrite_variant(parsed, F.lit(""), edited, 0), F.col(column))
+        fresh = F.coalesce(_rewrite_variant(parsed, F.lit(""), as_json, 0), F.col(column))
         fresh = F.when(F.col("_edited").isNull(), F.col(column)).otherwise(fresh)
     elif isinstance(dtype, T.VariantType):
         fresh = F.when(F.col("_edited").isNull(), F.col(column)).otherwise(
-            F.try_parse_json(_rewrite_variant(F.col(column), F.lit(""), edited, 0))
+            F.try_parse_json(_rewrite_variant(F.col(column), F.lit(""), as_json, 0))
         )
     else:
         fresh = _rewrite_typed(F.col(column), dtype, F.lit(""), edited)

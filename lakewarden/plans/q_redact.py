@@ -351,7 +351,7 @@ def token_shape(spark: SparkSession, sf: str) -> DataFrame:
     "with t as (select c_custkey, cast(floor(c_custkey / 60) as bigint) as request_id, cast(floor(c_custkey / 60) as bigint) % 3 as m from {customer}),"
     " k as (select *, c_custkey % 60 < case when m = 0 then 60 else 45 end as used from t)"
     " select request_id, count(*) as requested, case when m = 0 then 'too many tokens' when m = 1 then 'justification too short' else '' end as refused,"
-    " case when m = 2 then count_if(c_custkey % 4 <> 3) end as recovered, case when m = 2 then count(*) end as digests"
+    " cast(case when m = 2 then count_if(c_custkey % 4 <> 3) end as bigint) as recovered, case when m = 2 then count(*) end as digests"
     " from k where used group by request_id, m having count(*) > 50 or m <> 0",
 )
 def detokenize_report(spark: SparkSession, sf: str) -> DataFrame:

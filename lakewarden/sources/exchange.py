@@ -49,9 +49,11 @@ EXTERNAL_ENDPOINTS = ("openai", "anthropic", "google", "azureopenai", "bedrock",
 def infer_action(tool: Column, declared: Column | None = None) -> Column:
     """The declared action if it is a known one, else the first prefix some word starts with."""
     words = F.regexp_extract_all(F.lower(tool), F.lit("([a-z]+)"))
-    guess = F.lit("execute")
-    for prefix, action in reversed(ACTION_PREFIXES):
-        guess = F.when(F.exists(words, lambda w, p=prefix: F.startswith(w, F.lit(p))), F.lit(action)).otherwise(guess)
+
+    def told(prefix: str, action: str) -> Column:
+        return F.when(F.exists(words, lambda word: F.startswith(word, F.lit(prefix))), F.lit(action))
+
+    guess = F.coalesce(*[told(p, a) for p, a in ACTION_PREFIXES], F.lit("execute"))
     if declared is None:
         return guess
     said = F.lower(F.trim(declared))
