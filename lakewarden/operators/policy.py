@@ -350,12 +350,12 @@ def sync_diff(incoming: DataFrame, stored: DataFrame, prune: bool = False) -> Da
 
 
 def next_versions(history: DataFrame, writes: DataFrame) -> DataFrame:
-    """New version rows for a batch of writes ``(key, document, change_note, changed_by, at)``.
+    """New version rows for a batch of writes ``(key, document, change_note, changed_by, written_at)``.
 
     Several writes of one key in a batch get consecutive versions in time order.
     """
     top = history.groupBy("key").agg(F.max("version").alias("top"))
-    turn = F.row_number().over(Window.partitionBy("key").orderBy("at"))
+    turn = F.row_number().over(Window.partitionBy("key").orderBy("written_at"))
     return (
         writes.withColumn("turn", turn)
         .join(top, "key", "left")
@@ -365,7 +365,7 @@ def next_versions(history: DataFrame, writes: DataFrame) -> DataFrame:
             "document",
             F.coalesce("change_note", F.when(F.col("top").isNull() & (F.col("turn") == 1), "created").otherwise("updated")).alias("change_note"),
             "changed_by",
-            "at",
+            "written_at",
         )
     )
 
@@ -379,7 +379,7 @@ def latest(history: DataFrame) -> DataFrame:
 def in_force(history: DataFrame) -> DataFrame:
     """Versions with the span of time each one governed."""
     after = Window.partitionBy("key").orderBy("version")
-    return history.withColumn("valid_from", F.col("at")).withColumn("valid_to", F.lead("at").over(after))
+    return history.withColumn("valid_from", F.col("written_at")).withColumn("valid_to", F.lead("written_at").over(after))
 
 
 def replay(

@@ -306,19 +306,20 @@ def redact_structured(
         .agg(F.map_from_entries(F.collect_list(F.struct("path", "redacted"))).alias("_edited"))
     )
     dtype = df.schema[column].dataType
-    edited = F.coalesce(F.col("_edited"), F.create_map().cast("map<string,string>"))
-    as_json = F.transform_values(edited, lambda k, v: F.to_json(v.cast("variant")))
-    if isinstance(dtype, T.StringType):
-        parsed = F.try_parse_json(F.col(column))
-        fresh = F.coalesce(_rewrite_variant(parsed, F.lit(""), as_json, 0), F.col(column))
-        fresh = F.when(F.col("_edited").isNull(), F.col(column)).otherwise(fresh)
-    elif isinstance(dtype, T.VariantType):
-        fresh = F.when(F.col("_edited").isNull(), F.col(column)).otherwise(
-            F.try_parse_json(_rewrite_variant(F.col(column), F.lit(""), as_json, 0))
-        )
+    joined = df.join(changed, list(ids), "left")
+    untouched = F.col("_edited").isNull()
+    if isinstance(dtype, (T.StringType, T.VariantType)):
+        from_text = isinstance(dtype, T.StringType)
+        ready = joined.withColumn(
+            "_json", F.transform_values("_edited", lambda k, v: F.to_json(v.cast("variant")))
+        ).withColumn("_tree", F.try_parse_json(column) if from_text else F.col(column))
+        text = _rewrite_variant(F.col("_tree"), F.lit(""), F.col("_json"), 0)
+        fresh = F.coalesce(text, F.col(column)) if from_text else F.try_parse_json(text)
+        joined = ready.withColumn(column, F.when(untouched, F.col(column)).otherwise(fresh)).drop("_json", "_tree")
     else:
-        fresh = _rewrite_typed(F.col(column), dtype, F.lit(""), edited)
-    return df.join(changed, list(ids), "left").withColumn(column, fresh).drop("_edited")
+        fresh = _rewrite_typed(F.col(column), dtype, F.lit(""), F.col("_edited"))
+        joined = joined.withColumn(column, F.when(untouched, F.col(column)).otherwise(fresh))
+    return joined.drop("_edited")
 
 
 def scrub_context(context: Column) -> Column:

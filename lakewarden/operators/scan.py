@@ -416,7 +416,7 @@ def _holds_text(dtype: T.DataType) -> bool:
 
 def variant_kind(value: Column) -> Column:
     """``OBJECT``, ``ARRAY``, ``STRING`` or another type name."""
-    return F.regexp_extract(F.schema_of_variant(value), r"^(\w+)", 1)
+    return F.substring_index(F.schema_of_variant(value), "<", 1)
 
 
 def variant_children(value: Column) -> Column:

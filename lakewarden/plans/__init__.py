@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_scan", "q_redact")
+MODULES = ("q_scan", "q_redact", "q_policy")
 
 
 def load():

@@ -96,6 +96,17 @@ DERIVED: dict[str, str] = {
             '@mail.example.com","a/b":"call 212-555-', {_N4}, '"}}}},"cards":["', {_pick(_CARDS)}, '","none"],"n":',
             cast(c_custkey as string), ',"ok":true}}}}') as body
         from {{customer}}""",
+    # Free-form attributes: missing, null, scalar and list values of every kind.
+    "subjects": """
+        select c_custkey, concat('{{"id":', cast(c_custkey as string),
+          case c_custkey % 5 when 0 then '' when 1 then ',"tier":null' when 2 then ',"tier":"low"'
+            when 3 then ',"tier":"low.restricted"' else ',"tier":["medium","pii.email",7,true]' end,
+          ',"score":', cast(c_custkey % 100 as string),
+          case c_custkey % 4 when 0 then '' when 1 then ',"load":[1,50,"9"]' when 2 then ',"load":"12"' else ',"load":true' end,
+          case c_custkey % 3 when 0 then ',"tags":[]' when 1 then concat(',"tags":["', lower(c_mktsegment), '","phi.mrn"]') else '' end,
+          ',"deep":{{"a":{{"b":"x', cast(c_nationkey as string), '"}},"l":["p","q","', lower(c_mktsegment), '"]}}',
+          ',"path":"pg://', lower(c_mktsegment), '/t', cast(c_nationkey as string), '"}}') as body
+        from {customer}""",
     "principals": """
         select case c_custkey % 3 when 0 then concat('agent:', cast(c_custkey as string))
                  when 1 then concat('user:', cast(c_custkey as string))
