@@ -33,6 +33,42 @@ def evidence_errors(requests: DataFrame, scan_payload: Column, min_confidence: C
     )
 
 
+def request_errors(requests: DataFrame) -> Column:
+    """Why a request cannot be judged at all, or null."""
+    known = [*taxonomy.SEVERITY_OF]
+    odd = F.filter("resource.classifications", lambda label: ~label.isin(*known))
+    size = F.length(F.coalesce("action", F.lit("")))
+    return (
+        F.when(F.coalesce("principal.id", F.lit("")) == "", F.lit("no principal"))
+        .when(~size.between(1, 64), F.lit("action must have 1 to 64 characters"))
+        .when(F.size(odd) > 0, F.concat(F.lit("unknown classification labels: "), F.array_join(odd, ", ")))
+    )
+
+
+def fail_closed(decided: DataFrame, error: Column) -> DataFrame:
+    """Rows with an error become denials that say so; everything they would allow is withdrawn."""
+    step = decided.withColumn("_error", error)
+    broken = F.col("_error").isNotNull()
+    emptied = {
+        "determining_policy": F.lit(None).cast("string"),
+        "matched_policies": F.array().cast("array<string>"),
+        "obligations": F.array().cast(O.OBLIGATIONS),
+    }
+    step = step.withColumns(
+        {name: F.when(broken, none).otherwise(F.col(name)) for name, none in emptied.items()}
+    )
+    told = F.concat(F.lit("the decision failed and fails closed: "), F.col("_error"))
+    return (
+        step.withColumn("effect", F.when(broken, policy.DENY).otherwise(F.col("effect")))
+        .withColumn("reason", F.when(broken, told).otherwise(F.col("reason")))
+        .withColumn(
+            "policy_errors",
+            F.when(broken, F.array("_error")).otherwise(F.col("policy_errors")),
+        )
+        .drop("_error")
+    )
+
+
 def _variant_text(value: Column) -> Column:
     return F.coalesce(F.to_json(value), F.lit("null"))
 
@@ -205,6 +241,7 @@ def decide(
         "classifications", F.array_sort(F.array_union("resource.classifications", "findings"))
     )
     step = policy.evaluate(step, good, algorithm, default_effect, errors, explain)
+    step = fail_closed(step, request_errors(step))
     step = step.withColumn("payload_digest", payload_digest(F.col("payload"), key))
     step = step.withColumn("fingerprint", fingerprint(step, key))
     return finish(step, good, assets, labels, key, token_key, apply_obligations)

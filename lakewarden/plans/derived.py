@@ -195,6 +195,41 @@ DERIVED: dict[str, str] = {
         join {supplier} s on s.s_suppkey = e.event_id % 10
         left join {documents} d on d.doc_id = e.doc_key
         left join {sensitive_text} t on t.row_id = e.row_key""",
+    # Decisions as recorded, what was reported about them, and approval tickets.
+    "decisions": """
+        select event_id as decision_id, ts, concat('agent:', cast(user_id as string)) as principal_id, event_type as action,
+          concat('pg://t', cast(event_id % 50 as string)) as resource_urn,
+          case event_type when 'error' then 'deny' when 'signup' then 'require_approval' else 'allow' end as effect,
+          case when event_id % 13 <> 0 then concat('p', cast(user_id % 30 as string)) end as determining_policy,
+          case when event_type in ('view', 'click', 'purchase') then
+            case event_id % 4 when 1 then 'enforced' when 2 then 'refused' when 3 then 'partial' end end as outcome,
+          value * 3 as latency_ms, cast(event_id % 5 as bigint) as redaction_count,
+          case event_id % 3 when 0 then 'pii.email' when 1 then 'pii.email,phi.mrn' else '' end as labels_text,
+          case when event_id % 2 = 0 then concat('p', cast(user_id % 30 as string), ',base') else 'base' end as matched_text,
+          case event_id % 4 when 0 then 'redact,watermark' when 1 then 'watermark' when 2 then 'redact' else '' end as unsupported_text,
+          md5(concat(cast(user_id as string), event_type, cast(event_id % 3 as string))) as request_fingerprint
+        from {events}""",
+    "reports": """
+        select event_id * 2 as report_id, event_id as decision_id, ts + interval '1' hour as reported_at,
+          case event_id % 5 when 0 then 'refused' when 1 then 'partial' when 2 then 'lost' else 'enforced' end as outcome,
+          case when event_id % 3 = 0 then '' else 'because' end as reason,
+          case when event_id % 2 = 0 then 'redact,watermark' else 'limit' end as discharged_text,
+          case when event_id % 7 = 0 then '' else 'route' end as undischarged_text
+        from {events}
+        union all
+        select event_id * 2 + 1, event_id, ts + interval '2' hour,
+          case when event_id % 4 < 2 then 'enforced' else 'refused' end, 'again', '', ''
+        from {events} where event_type <> 'view'""",
+    "tickets": """
+        select event_id as approval_id, event_id as decision_id, ts as created_at, ts + interval '24' hour as expires_at,
+          md5(concat(cast(user_id as string), event_type, cast(event_id % 3 as string))) as fingerprint,
+          concat('agent:', cast(user_id as string)) as requested_by,
+          case event_id % 5 when 0 then 'pending' when 1 then 'denied' when 2 then 'expired' else 'granted' end as status,
+          case when event_id % 5 > 2 then 'user:boss' end as decided_by,
+          case when event_id % 5 > 2 then ts + interval '1' hour end as resolved_at,
+          case when event_id % 10 = 3 then ts + interval '2' hour end as redeemed_at,
+          case when event_id % 20 = 3 then 'agent:x' end as redeemed_by
+        from {events} where event_type = 'signup'""",
 }
 
 
