@@ -7,7 +7,6 @@ carries both facts, and every operator answers true or false.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, fields
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -28,18 +27,28 @@ class PolicyError(ValueError):
     """A policy document cannot be used."""
 
 
-@dataclass(frozen=True)
 class View:
-    """What a selector resolved to. Lists and scalars share the element arrays."""
+    """What a selector resolved to. Lists and scalars share the element arrays.
 
-    present: Column
-    is_null: Column
-    is_list: Column
-    count: Column
-    strings: Column
-    numbers: Column
-    booleans: Column
-    shown: Column
+    Parts: ``present``, ``is_null``, ``is_list``, ``count``, ``strings``, ``numbers``,
+    ``booleans`` and ``shown`` (as a trace prints it). A part is built when first asked for,
+    since a condition needs one or two of them.
+    """
+
+    PARTS = ("present", "is_null", "is_list", "count", "strings", "numbers", "booleans", "shown")
+
+    def __init__(self, **parts: Callable[[], Column]) -> None:
+        self._parts = parts
+
+    def __getattr__(self, name: str) -> Column:
+        if name not in View.PARTS:
+            raise AttributeError(name)
+        built = self._parts[name]()
+        setattr(self, name, built)
+        return built
+
+    def but(self, **parts: Callable[[], Column]) -> View:
+        return View(**{**self._parts, **parts})
 
 
 def _none(ddl: str) -> Column:
@@ -50,16 +59,32 @@ def _known(test: Column) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
+def _no_strings() -> Column:
+    return _none("string")
+
+
+def _no_numbers() -> Column:
+    return _none("double")
+
+
+def _no_booleans() -> Column:
+    return _none("boolean")
+
+
+def _false() -> Column:
+    return F.lit(False)
+
+
 def absent() -> View:
     return View(
-        F.lit(False),
-        F.lit(False),
-        F.lit(False),
-        F.lit(0),
-        _none("string"),
-        _none("double"),
-        _none("boolean"),
-        F.lit("None"),
+        present=_false,
+        is_null=_false,
+        is_list=_false,
+        count=lambda: F.lit(0),
+        strings=_no_strings,
+        numbers=_no_numbers,
+        booleans=_no_booleans,
+        shown=lambda: F.lit("None"),
     )
 
 
@@ -81,77 +106,66 @@ def summarised(items: Column, size: Column) -> Column:
 
 
 def view_of_string(value: Column, present: Column) -> View:
-    null = present & value.isNull()
     return View(
-        present,
-        null,
-        F.lit(False),
-        present.cast("int"),
-        F.when(value.isNotNull() & present, F.array(value)).otherwise(_none("string")),
-        _none("double"),
-        _none("boolean"),
-        F.when(present, quoted(value)).otherwise(F.lit("None")),
+        present=lambda: present,
+        is_null=lambda: present & value.isNull(),
+        is_list=_false,
+        count=lambda: present.cast("int"),
+        strings=lambda: F.when(value.isNotNull() & present, F.array(value)).otherwise(_none("string")),
+        numbers=_no_numbers,
+        booleans=_no_booleans,
+        shown=lambda: F.when(present, quoted(value)).otherwise(F.lit("None")),
     )
 
 
 def view_of_strings(value: Column, present: Column) -> View:
     there = present & value.isNotNull()
     return View(
-        there,
-        F.lit(False),
-        there,
-        F.when(there, F.size(value)).otherwise(F.lit(0)),
-        F.when(there, F.filter(value, lambda v: v.isNotNull())).otherwise(_none("string")),
-        _none("double"),
-        _none("boolean"),
-        F.when(there, summarised(F.transform(value, quoted), F.size(value))).otherwise(F.lit("None")),
+        present=lambda: there,
+        is_null=_false,
+        is_list=lambda: there,
+        count=lambda: F.when(there, F.size(value)).otherwise(F.lit(0)),
+        strings=lambda: F.when(there, F.filter(value, lambda v: v.isNotNull())).otherwise(_none("string")),
+        numbers=_no_numbers,
+        booleans=_no_booleans,
+        shown=lambda: F.when(there, summarised(F.transform(value, quoted), F.size(value))).otherwise(F.lit("None")),
     )
 
 
 def view_of_number(value: Column, present: Column) -> View:
-    base = view_of_string(value.cast("string"), present)
-    return View(
-        base.present,
-        base.is_null,
-        base.is_list,
-        base.count,
-        _none("string"),
-        F.when(value.isNotNull() & present, F.array(value.cast("double"))).otherwise(_none("double")),
-        _none("boolean"),
-        F.coalesce(value.cast("string"), F.lit("None")),
+    return view_of_string(value.cast("string"), present).but(
+        strings=_no_strings,
+        numbers=lambda: F.when(value.isNotNull() & present, F.array(value.cast("double"))).otherwise(_none("double")),
+        shown=lambda: F.coalesce(value.cast("string"), F.lit("None")),
     )
 
 
 def view_of_boolean(value: Column, present: Column) -> View:
-    base = view_of_number(value.cast("int"), present)
-    return View(
-        base.present,
-        base.is_null,
-        base.is_list,
-        base.count,
-        _none("string"),
-        _none("double"),
-        F.when(value.isNotNull() & present, F.array(value)).otherwise(_none("boolean")),
-        F.when(value, F.lit("True")).when(~value, F.lit("False")).otherwise(F.lit("None")),
+    return view_of_string(value.cast("string"), present).but(
+        strings=_no_strings,
+        booleans=lambda: F.when(value.isNotNull() & present, F.array(value)).otherwise(_none("boolean")),
+        shown=lambda: F.when(value, F.lit("True")).when(~value, F.lit("False")).otherwise(F.lit("None")),
     )
 
 
 def view_of_variant(value: Column) -> View:
     """SQL null is missing; a JSON null is present and null."""
-    kind = F.schema_of_variant(value)
-    is_list = _known(F.startswith(kind, F.lit("ARRAY")))
-    present = value.isNotNull()
-    items = (
-        F.when(~present, _none("variant"))
-        .when(is_list, F.try_variant_get(value, "$", "array<variant>"))
-        .otherwise(F.array(value))
-    )
 
-    def of_kind(pattern: str, ddl: str) -> Column:
-        wanted = F.filter(items, lambda v: F.schema_of_variant(v).rlike(pattern))
-        return F.transform(wanted, lambda v: F.try_variant_get(v, "$", ddl))
+    def is_list() -> Column:
+        return _known(F.startswith(F.schema_of_variant(value), F.lit("ARRAY")))
 
-    def shown(v: Column) -> Column:
+    def items() -> Column:
+        listed = F.try_variant_get(value, "$", "array<variant>")
+        return F.when(value.isNull(), _none("variant")).when(is_list(), listed).otherwise(F.array(value))
+
+    def of_kind(pattern: str, ddl: str) -> Callable[[], Column]:
+        def build() -> Column:
+            wanted = F.filter(items(), lambda v: F.schema_of_variant(v).rlike(pattern))
+            return F.transform(wanted, lambda v: F.try_variant_get(v, "$", ddl))
+
+        return build
+
+    def one_shown(v: Column) -> Column:
         k = F.schema_of_variant(v)
         return (
             F.when(k == "STRING", quoted(F.try_variant_get(v, "$", "string")))
@@ -162,22 +176,28 @@ def view_of_variant(value: Column) -> View:
             .otherwise(F.lit("'<dict>'"))
         )
 
-    listed = F.transform(items, shown)
+    def shown() -> Column:
+        listed = F.transform(items(), one_shown)
+        whole = F.when(is_list(), summarised(listed, F.size(items()))).otherwise(F.get(listed, F.lit(0)))
+        return F.when(value.isNull(), F.lit("None")).otherwise(whole)
+
     return View(
-        present,
-        _known(kind == "VOID"),
-        is_list,
-        F.size(items),
-        of_kind("^STRING$", "string"),
-        of_kind(_NUMBER_KINDS, "double"),
-        of_kind("^BOOLEAN$", "boolean"),
-        F.when(~present, F.lit("None")).when(is_list, summarised(listed, F.size(items))).otherwise(F.get(listed, F.lit(0))),
+        present=lambda: value.isNotNull(),
+        is_null=lambda: _known(F.schema_of_variant(value) == "VOID"),
+        is_list=is_list,
+        count=lambda: F.size(items()),
+        strings=of_kind("^STRING$", "string"),
+        numbers=of_kind(_NUMBER_KINDS, "double"),
+        booleans=of_kind("^BOOLEAN$", "boolean"),
+        shown=shown,
     )
 
 
 def either(test: Column, yes: View, no: View) -> View:
-    picked = {f.name: F.when(test, getattr(yes, f.name)).otherwise(getattr(no, f.name)) for f in fields(View)}
-    return View(**picked)
+    def pick(name: str) -> Callable[[], Column]:
+        return lambda: F.when(test, getattr(yes, name)).otherwise(getattr(no, name))
+
+    return View(**{name: pick(name) for name in View.PARTS})
 
 
 # --------------------------------------------------------------------------- selectors
@@ -210,8 +230,7 @@ def _view(value: Column, dtype: T.DataType, segments: list[str], present: Column
             return view_of_number(value, present)
         if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.StringType):
             return view_of_strings(value, present)
-        whole = view_of_string(F.lit("<dict>"), present & value.isNotNull())
-        return View(**{**{f.name: getattr(whole, f.name) for f in fields(View)}, "strings": _none("string")})
+        return view_of_string(F.lit("<dict>"), present & value.isNotNull()).but(strings=_no_strings)
     head, rest = segments[0], segments[1:]
     if isinstance(dtype, T.VariantType):
         return view_of_variant(F.when(present, _variant_at(value, segments)))

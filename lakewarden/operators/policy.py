@@ -52,13 +52,16 @@ def sugar(raw: Any) -> dict[str, Any]:
     return {"in": list(raw)} if isinstance(raw, (list, tuple, set, frozenset)) else {"eq": raw}
 
 
-def _test(schema: T.StructType, selector: str, raw: Any) -> Node:
+def _test(schema: T.StructType, selector: str, raw: Any, explain: bool) -> Node:
     if selector.split(".")[0] not in C.ROOTS:
         raise C.PolicyError(f"selector {selector!r} must start with one of {', '.join(sorted(C.ROOTS))}")
     view = C.select(schema, selector)
     checks = [(op, operand, C.condition(view, op, operand)) for op, operand in sugar(raw).items()]
     if not checks:
         raise C.PolicyError(f"selector {selector!r} has no operators")
+    holds = functools.reduce(lambda a, b: a & b, [c for _, _, c in checks])
+    if not explain:
+        return Node(holds)
     tests, failures = [], []
     for op, operand, passed in checks:
         tests.append(
@@ -74,36 +77,38 @@ def _test(schema: T.StructType, selector: str, raw: Any) -> Node:
             F.lit(f"{selector} {op} {operand!r} did not match (observed "), view.shown, F.lit(")")
         )
         failures.append(F.when(~passed, told))
-    return Node(functools.reduce(lambda a, b: a & b, [c for _, _, c in checks]), tests, _failure(failures))
+    return Node(holds, tests, _failure(failures))
 
 
-def _all(nodes: Sequence[Node]) -> Node:
-    passed = functools.reduce(lambda a, b: a & b, [n.passed for n in nodes], F.lit(True))
+def _all(nodes: Sequence[Node], explain: bool) -> Node:
+    passed = functools.reduce(lambda a, b: a & b, [n.passed for n in nodes]) if nodes else F.lit(True)
+    if not explain:
+        return Node(passed)
     failures = [F.when(~n.passed, n.failure) for n in nodes if n.failure is not None]
     return Node(passed, [t for n in nodes for t in n.tests], _failure(failures))
 
 
-def compile_match(schema: T.StructType, node: Mapping[str, Any] | None) -> Node:
-    """A match tree as Columns over a request table's schema."""
+def compile_match(schema: T.StructType, node: Mapping[str, Any] | None, explain: bool = False) -> Node:
+    """A match tree as Columns over a request table's schema; explaining costs extra Columns."""
     if not node:
         return Node(F.lit(True))
     if not isinstance(node, Mapping):
         raise C.PolicyError(f"a match node must be an object, got {type(node).__name__}")
     shape = {"all", "any", "not", "conditions"} & set(node)
     if not shape:
-        return _all([_test(schema, str(s), raw) for s, raw in node.items()])
+        return _all([_test(schema, str(s), raw, explain) for s, raw in node.items()], explain)
     if len(node) > 1:
         raise C.PolicyError(f"a match node sets {', '.join(sorted(map(str, node)))} side by side")
     kind = shape.pop()
     if kind == "conditions":
-        return _all([_test(schema, str(s), raw) for s, raw in node[kind].items()])
+        return _all([_test(schema, str(s), raw, explain) for s, raw in node[kind].items()], explain)
     if kind == "not":
-        inner = compile_match(schema, node[kind])
+        inner = compile_match(schema, node[kind], explain)
         told = F.when(inner.passed, F.lit("not not None did not match (observed None)"))
         return Node(~inner.passed, inner.tests, told)
-    children = [compile_match(schema, child) for child in node[kind]]
+    children = [compile_match(schema, child, explain) for child in node[kind]]
     if kind == "all":
-        return _all(children)
+        return _all(children, explain)
     if not children:
         return Node(F.lit(True))
     passed = functools.reduce(lambda a, b: a | b, [n.passed for n in children])
@@ -218,10 +223,11 @@ def evaluate(
         raise C.PolicyError(f"unknown algorithm {algorithm!r}")
     live = ordered(policies)
     errors = list(load_errors)
+    schema = df.schema
     nodes: list[tuple[dict[str, Any], Node]] = []
     for policy in live:
         try:
-            nodes.append((policy, compile_match(df.schema, policy.get("match"))))
+            nodes.append((policy, compile_match(schema, policy.get("match"), explain)))
         except C.PolicyError as wrong:
             errors.append(f"policy {policy['key']!r} failed to evaluate: {wrong}")
 

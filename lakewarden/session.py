@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Call-site capture costs several round trips per Column; the plans here have thousands.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Key material reaches plans as 64-byte literals; keep it out of explain() and event logs.
     "spark.sql.redaction.string.regex": r"(?i)x'[0-9a-f]{64,}'|\[[-0-9, ]{120,}\]",
 }
