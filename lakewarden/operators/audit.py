@@ -129,6 +129,12 @@ def record_digest(key: bytes) -> Column:
     return hmac_sha256(key, F.encode(signing_body(), "UTF-8"))
 
 
+def staged(records: DataFrame) -> DataFrame:
+    """Records with their signed text rendered, but for the two running fields."""
+    head, tail = _signing_parts()
+    return records.withColumn("_head", head).withColumn("_tail", tail)
+
+
 def seal(records: DataFrame, key: bytes, heads: DataFrame | None = None) -> DataFrame:
     """Chain records ``(stream, timestamp, event, actor, subject, payload, ordinal)``.
 
@@ -137,18 +143,17 @@ def seal(records: DataFrame, key: bytes, heads: DataFrame | None = None) -> Data
     adds the running sequence number and digest. ``heads`` (``stream, seq, head_hash``)
     continues chains already written.
     """
-    head, tail = _signing_parts()
-    staged = records.withColumn("_head", head).withColumn("_tail", tail)
+    rows = staged(records)
     if heads is None:
-        staged = staged.withColumn("_seq", F.lit(0).cast("bigint")).withColumn("_prev", F.lit(GENESIS))
+        rows = rows.withColumn("_seq", F.lit(0).cast("bigint")).withColumn("_prev", F.lit(GENESIS))
     else:
         known = heads.select("stream", F.col("seq").alias("_seq"), F.col("head_hash").alias("_prev"))
-        staged = (
-            staged.join(F.broadcast(known) if _few(known) else known, "stream", "left")
+        rows = (
+            rows.join(F.broadcast(known) if _few(known) else known, "stream", "left")
             .withColumn("_seq", F.coalesce("_seq", F.lit(0)))
             .withColumn("_prev", F.coalesce("_prev", F.lit(GENESIS)))
         )
-    ordered = staged.repartition("stream").sortWithinPartitions("stream", "timestamp", "ordinal")
+    ordered = rows.repartition("stream").sortWithinPartitions("stream", "timestamp", "ordinal")
     names = [c.split()[0] for c in SEALED.split(", ")]
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

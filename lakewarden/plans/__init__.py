@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_scan", "q_redact", "q_policy", "q_catalog", "q_decide", "q_audit")
+MODULES = ("q_scan", "q_redact", "q_policy", "q_catalog", "q_decide", "q_audit", "q_exchange", "q_stream")
 
 
 def load():

@@ -73,18 +73,12 @@ def sealed(spark: SparkSession, sf: str) -> DataFrame:
     return cut(audit.seal(records(spark, sf), KEY), "audit")
 
 
-@query(
-    "canonical_json",
-    "select doc_id, octet_length(encode(c)) as bytes, regexp_matches(c, '^[ -~]*$') as ascii_only from (select doc_id, c from (select doc_id, '' as c from {documents}) x) y where false"
-    " union all select event_id, strlen(" + _PAYLOAD + "), true from {events}",
-)
+@query("canonical_json", "select event_id, " + _PAYLOAD + " as payload, true as ascii_only from {events}")
 def canonical_json(spark: SparkSession, sf: str) -> DataFrame:
-    rows = records(spark, sf).select(
-        F.regexp_extract("subject", r"(\d+)", 1).cast("bigint").alias("doc_id"), "payload"
-    )
-    return rows.select(
-        "doc_id", F.octet_length("payload").cast("bigint").alias("bytes"), F.col("payload").rlike("^[ -~]*$").alias("ascii_only")
-    )
+    """Sorted keys, no spaces, quotes escaped, ASCII only."""
+    number = F.regexp_extract("subject", r"(\d+)", 1).cast("bigint")
+    ascii_only = F.col("payload").rlike("^[ -~]*$")
+    return records(spark, sf).select(number.alias("event_id"), "payload", ascii_only.alias("ascii_only"))
 
 
 @query(
@@ -123,14 +117,24 @@ def seal_continued(spark: SparkSession, sf: str) -> DataFrame:
     return first.unionByName(second).select("stream", "seq", "record_hash")
 
 
-@query("stream_assignment", "select 'rows' as what, count(*) as n from {events}")
+#: CRC-32 bit by bit: a byte is folded in, then shifted out in eight steps marked -1.
+_CRC = (
+    "xor(list_reduce(list_concat([4294967295::bigint], flatten(list_transform(range(length(actor)), lambda i:"
+    " list_concat([ord(substr(actor, i + 1, 1))::bigint], list_transform(range(8), lambda k: -1::bigint))))),"
+    " lambda a, x: case when x >= 0 then xor(a, x) when a % 2 = 1 then xor(a // 2, 3988292384::bigint) else a // 2 end), 4294967295::bigint)"
+)
+
+
+@query(
+    "stream_assignment",
+    f"select actor, 'p' || ({_CRC} % {STREAMS}) as stream, n from (select 'agent:' || user_id as actor, count(*) as n from {{events}} group by 1) t",
+)
 def stream_assignment(spark: SparkSession, sf: str) -> DataFrame:
-    """Streams by actor digest: every actor in one stream, every stream name in range."""
-    rows = derived.table(spark, sf, "events").withColumn("actor", F.concat(F.lit("agent:"), F.col("user_id").cast("string")))
+    """An actor's records all go to one stream, chosen by the actor's checksum."""
+    actor = F.concat(F.lit("agent:"), F.col("user_id").cast("string"))
+    rows = derived.table(spark, sf, "events").withColumn("actor", actor)
     named = rows.select("actor", audit.stream_of(F.col("actor"), STREAMS).alias("stream"))
-    per_actor = named.groupBy("actor").agg(F.count("*").alias("n"), F.min("stream").alias("lo"), F.max("stream").alias("hi"))
-    fine = (F.col("lo") == F.col("hi")) & F.col("lo").rlike(f"^p[0-{STREAMS - 1}]$")
-    return per_actor.agg(F.sum(F.when(fine, F.col("n"))).alias("n")).select(F.lit("rows").alias("what"), "n")
+    return named.groupBy("actor", "stream").agg(F.count("*").alias("n"))
 
 
 @query("stream_heads", _chain_sql() + " select stream, max(seq) as seq, arg_max(record_hash, seq) as head_hash from chain group by 1")
