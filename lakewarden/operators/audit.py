@@ -132,7 +132,7 @@ def record_digest(key: bytes) -> Column:
 def staged(records: DataFrame) -> DataFrame:
     """Records with their signed text rendered, but for the two running fields."""
     head, tail = _signing_parts()
-    return records.withColumn("_head", head).withColumn("_tail", tail)
+    return records.withColumn("signed_head", head).withColumn("signed_tail", tail)
 
 
 def seal(records: DataFrame, key: bytes, heads: DataFrame | None = None) -> DataFrame:
@@ -161,7 +161,7 @@ def seal(records: DataFrame, key: bytes, heads: DataFrame | None = None) -> Data
         for batch in batches:
             seqs, prevs, hashes = [], [], []
             for name, first, last, begin, link in zip(
-                batch["stream"], batch["_head"], batch["_tail"], batch["_seq"], batch["_prev"], strict=True
+                batch["stream"], batch["signed_head"], batch["signed_tail"], batch["_seq"], batch["_prev"], strict=True
             ):
                 if name != stream:
                     stream, seq, prev = name, int(begin), link

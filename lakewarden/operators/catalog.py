@@ -101,53 +101,58 @@ def resolve(urns: DataFrame, assets: DataFrame, labels: DataFrame) -> DataFrame:
     """Everything the catalog knows about each distinct ``urn``.
 
     Labels take the highest confidence over the covering assets. Attributes are layered by
-    key: shorter patterns first, the exact asset last.
+    key: shorter patterns first, the exact asset last. A name gathers only the assets that
+    cover it, so a row's array is bounded by the patterns of the catalog.
     """
     names = urns.select("urn").where(F.col("urn").isNotNull() & (F.col("urn") != "")).distinct()
-    cover = covering_assets(names, assets)
-    known = (
-        cover.join(
-            merged_labels(labels).select(F.col("urn").alias("asset_urn"), "label", "confidence"), "asset_urn"
-        )
-        .groupBy("urn", "label")
-        .agg(F.max("confidence").alias("confidence"))
-        .groupBy("urn")
-        .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "confidence")))).alias("label_confidence"))
+    labelled = merged_labels(labels).groupBy(F.col("urn").alias("asset_urn")).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "confidence")))).alias("labels")
+    )
+    known = assets.select(F.col("urn").alias("asset_urn"), "attributes", "kind").join(labelled, "asset_urn", "left")
+    no_labels = F.create_map().cast("map<string,double>")
+    layer = F.struct(
+        "is_exact",
+        F.length("asset_urn").alias("size"),
+        "asset_urn",
+        "kind",
+        F.coalesce("attributes", F.create_map().cast(ATTRIBUTES)).alias("attributes"),
+        F.coalesce("labels", no_labels).alias("labels"),
     )
-    strength = F.struct("is_exact", F.length("asset_urn"), "asset_urn")
-    layered = (
-        cover.join(assets.select(F.col("urn").alias("asset_urn"), "attributes"), "asset_urn")
-        .select("urn", "asset_urn", "is_exact", F.explode("attributes").alias("key", "value"))
-        .groupBy("urn", "key")
-        .agg(F.max_by("value", strength).alias("value"))
+    # Attributes have no order of their own, so layers are ordered by their place alone.
+    covered = (
+        covering_assets(names, assets)
+        .join(known, "asset_urn")
         .groupBy("urn")
-        .agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("attributes"))
+        .agg(F.collect_list(layer).alias("found"))
+        .withColumn("layers", F.array_sort("found", _by_place))
     )
-    matches = cover.groupBy("urn").agg(
-        F.max("is_exact").alias("exact"),
-        F.array_sort(
-            F.collect_list(
-                F.when(~F.col("is_exact"), F.struct(F.length("asset_urn").alias("n"), F.col("asset_urn").alias("p")))
-            )
-        ).alias("patterns"),
+    rows = names.join(covered, "urn", "left").withColumn(
+        "layers", F.coalesce("layers", F.array().cast(covered.schema["layers"].dataType))
     )
-    kinds = assets.select("urn", F.col("kind").alias("exact_kind"))
-    return (
-        names.join(matches, "urn", "left")
-        .join(known, "urn", "left")
-        .join(layered, "urn", "left")
-        .join(kinds, "urn", "left")
-        .select(
-            "urn",
-            F.col("exact").isNotNull().alias("registered"),
-            F.coalesce("exact_kind", infer_kind(F.col("urn"))).alias("kind"),
-            F.coalesce("label_confidence", F.create_map().cast("map<string,double>")).alias("label_confidence"),
-            F.coalesce(F.transform("patterns", lambda m: m["p"]), F.array().cast("array<string>")).alias("matched_patterns"),
-            F.coalesce("attributes", F.create_map().cast(ATTRIBUTES)).alias("attributes"),
-        )
+    exact = F.get(F.filter("layers", lambda x: x["is_exact"]), F.lit(0))
+    higher = F.aggregate(
+        "layers",
+        no_labels,
+        lambda acc, x: F.map_zip_with(acc, x["labels"], lambda k, a, b: F.greatest(a, b)),
+    )
+    return rows.select(
+        "urn",
+        (F.size("layers") > 0).alias("registered"),
+        F.coalesce(exact["kind"], infer_kind(F.col("urn"))).alias("kind"),
+        higher.alias("label_confidence"),
+        F.transform(F.filter("layers", lambda x: ~x["is_exact"]), lambda x: x["asset_urn"]).alias("matched_patterns"),
+        F.aggregate(
+            "layers", F.create_map().cast(ATTRIBUTES), lambda acc, x: overlay(acc, x["attributes"])
+        ).alias("attributes"),
     )
 
 
+def _by_place(a: Column, b: Column) -> Column:
+    left = F.struct(a["is_exact"], a["size"], a["asset_urn"])
+    right = F.struct(b["is_exact"], b["size"], b["asset_urn"])
+    return F.when(left < right, F.lit(-1)).when(left > right, F.lit(1)).otherwise(F.lit(0))
+
+
 # --------------------------------------------------------------------------- merging maps
 
 

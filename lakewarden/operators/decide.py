@@ -258,15 +258,17 @@ def finish(
 ) -> DataFrame:
     """Guards, routing and redaction of evaluated requests."""
     step = decided
-    if not token_key:
+    duties = [o for p in policies for o in p.get("obligations") or []]
+    asked = sorted({O.shaped(o)["strategy"] for o in duties if o["type"] == "redact"})
+    if not token_key and "tokenize" in asked:
         step = guard_tokens(step)
-    if any(o.get("type") == "route" for p in policies for o in p.get("obligations") or []):
+    if any(o["type"] == "route" for o in duties):
         step = apply_routes(step, routing.model_candidates(assets, labels))
     else:
         step = step.withColumn("route", F.lit(None).cast("struct<target:string>"))
     allowed = (F.col("effect") == policy.ALLOW) & F.lit(apply_obligations)
     step = redact.with_redaction(
-        step, "payload", "payload_findings", "obligations", key, token_key, when=allowed
+        step, "payload", "payload_findings", "obligations", key, token_key, allowed, asked
     ).withColumnRenamed("redacted", "payload_out")
     ran = allowed & F.col("payload").isNotNull() & ~F.col("env.payload_truncated")
     return (

@@ -76,24 +76,37 @@ def synthetic(label: Column, value: Column, key: bytes = b"") -> Column:
     return F.transform(F.array(numbers), shape)[0]
 
 
-def replacement(rule: Column, label: Column, value: Column, key: bytes, token_key: bytes | None) -> Column:
-    """What stands in for a value under an obligation. Tokenising without a key is an error."""
-    if token_key:
-        minted = F.coalesce(
-            crypto.token(label, value, token_key),
-            F.raise_error(F.lit("value is over the tokenisation size limit")).cast("string"),
-        )
-    else:
-        minted = F.raise_error(F.lit("a rule asks for tokens but no tokenisation key is set")).cast("string")
-    strategy = rule["strategy"]
-    return (
-        F.when(strategy == "mask", mask(label))
-        .when(strategy == "drop", F.lit(""))
-        .when(strategy == "partial", partial(value, rule["keep_last"]))
-        .when(strategy == "hash", hashed(label, value, rule["hash_length"], key))
-        .when(strategy == "tokenize", minted)
-        .when(strategy == "synthetic", synthetic(label, value, key))
-    )
+def replacement(
+    rule: Column,
+    label: Column,
+    value: Column,
+    key: bytes,
+    token_key: bytes | None,
+    strategies: Sequence[str] = STRATEGIES,
+) -> Column:
+    """What stands in for a value under an obligation. Tokenising without a key is an error.
+
+    ``strategies`` are those the rules can hold; leaving out others keeps the plan small.
+    """
+
+    def minted() -> Column:
+        if not token_key:
+            return F.raise_error(F.lit("a rule asks for tokens but no tokenisation key is set")).cast("string")
+        too_long = F.raise_error(F.lit("value is over the tokenisation size limit")).cast("string")
+        return F.coalesce(crypto.token(label, value, token_key), too_long)
+
+    build = {
+        "mask": lambda: mask(label),
+        "drop": lambda: F.lit(""),
+        "partial": lambda: partial(value, rule["keep_last"]),
+        "hash": lambda: hashed(label, value, rule["hash_length"], key),
+        "tokenize": minted,
+        "synthetic": lambda: synthetic(label, value, key),
+    }
+    out = F.lit(None).cast("string")
+    for name in strategies:
+        out = F.when(rule["strategy"] == name, build[name]()).otherwise(out)
+    return out
 
 
 # --------------------------------------------------------------------------- choosing rules
@@ -124,6 +137,7 @@ def with_redaction(
     key: bytes = b"",
     token_key: bytes | None = None,
     when: Column | None = None,
+    strategies: Sequence[str] = STRATEGIES,
 ) -> DataFrame:
     """Add ``redacted``, the ``edits`` made in text order, and ``unhandled`` findings.
 
@@ -143,7 +157,7 @@ def with_redaction(
             rule["strategy"].alias("strategy"),
             f["start"].alias("start"),
             f["end"].alias("end"),
-            replacement(rule, f["label"], f["value"], key, token_key).alias("replacement"),
+            replacement(rule, f["label"], f["value"], key, token_key, strategies).alias("replacement"),
         )
 
     no_edits = F.array().cast(f"array<{EDIT}>")

@@ -36,7 +36,7 @@ class Seal(StatefulProcessor):
         seq, prev = self._state.get() if self._state.exists() else (0, audit.GENESIS)
         batch = pd.concat(list(rows)).sort_values(["timestamp", "ordinal"])
         seqs, prevs, hashes = [], [], []
-        for first, last in zip(batch["_head"], batch["_tail"], strict=True):
+        for first, last in zip(batch["signed_head"], batch["signed_tail"], strict=True):
             seq += 1
             digest = hmac.new(self._key, f'{first}{prev}","seq":{seq}{last}'.encode(), hashlib.sha256).hexdigest()
             seqs.append(seq)
