@@ -62,12 +62,21 @@ def cut(df: DataFrame, purpose: str = "cut") -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Give CPU-heavy work at least one partition per core.
 
-    Many-file inputs already have more partitions than cores and pass through
-    untouched; only a table that arrives as a few unsplittable files is shuffled.
+    Judged by what the plan reads, without running any of it: enough files, or enough bytes
+    to be split, already keep every core busy and pass through untouched. Only a table that
+    arrives as a few small files is shuffled.
     """
     if df.isStreaming:
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().optimizedPlan()
+    top = plan
+    while top.nodeName() in ("Project", "Filter", "Generate"):
+        top = top.children().apply(0)
+    if top.nodeName().startswith("Repartition") or len(df.inputFiles()) >= cores:
         return df
-    return df.repartition(cores)
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    leaves = plan.collectLeaves()
+    largest = max((int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())), default=0)
+    return df if largest >= cores * split else df.repartition(cores)

