@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lakewarden.operators.catalog import ATTRIBUTES, as_variant
 from lakewarden.plans import derived
+from lakewarden.session import spread
 
 KEY = b"check-key-audit"
 
@@ -18,7 +19,7 @@ def variant_map(**values: Column) -> Column:
 
 
 def access_requests(spark: SparkSession, sf: str) -> DataFrame:
-    r = derived.table(spark, sf, "requests")
+    r = spread(derived.table(spark, sf, "requests"))
     none = F.create_map().cast(ATTRIBUTES)
     labels = F.when(F.col("declared_label").isNotNull(), F.array("declared_label")).otherwise(
         F.array().cast("array<string>")
