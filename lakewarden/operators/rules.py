@@ -12,7 +12,7 @@ CONTEXT_CHARS = 48
 CONTEXT_GAIN = 0.18
 CONTEXT_LOSS = 0.12
 #: Without a hit of this, no ``numeric`` rule can match.
-NUMERIC_GUARD = r"\d[\d.]"
+NUMERIC_GUARD = r"(?U)\d[\d.]"
 CONFIDENCE_TOP = 0.99
 CONFIDENCE_FLOOR = 0.05
 

@@ -61,8 +61,8 @@ def _possible(text: str, lowered: str, numeric: str, hint: str | None, rule: Rul
             supported = f"({supported} or {_any_of(f'lower({hint})', rule.keywords)})"
         checks.append(supported)
     if rule.guard:
-        flags = "(?iU)" if "i" in rule.flags else ""
-        checks.append(f"{text} rlike {_quoted(flags + rule.guard)}")
+        # The same flags as the rule: digits of any script must pass the guard as well.
+        checks.append(f"{text} rlike {_quoted(f'(?{rule.flags}){rule.guard}')}")
     return " and ".join(checks) or "true"
 
 
