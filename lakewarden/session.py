@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -31,13 +32,17 @@ def build_session(app: str = "lakewarden", master: str | None = None, **conf: st
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach, as the cluster names it.
+    """The folder all executors can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only a session that names none (local tests) gets a folder of its own.
+    Where it is unset, a session that runs in one process (tests) gets a folder of its own; a
+    cluster is refused, since its executors would each write to a disk the others cannot see.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     made = tempfile.mkdtemp(prefix="lakewarden-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
