@@ -75,8 +75,8 @@ def _license_sql() -> str:
     place as (select r, unnest(range(1, len(w) - 1)) as i, w from said),
     hit as (select distinct r, template, label, is_base, grams, i - 1 - place as diagonal, place
         from (select r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from place) join known using (g)),
-    vote as (select r, template, label, is_base, grams, diagonal, list(place) as places, count(*) = any_value(grams) and is_base as whole
-        from hit group by all),
+    vote as (select r, template, label, is_base, grams, diagonal, list(place) as places, count(*) = any_value(grams) and bool_and(is_base) as whole
+        from hit group by r, template, label, is_base, grams, diagonal),
     opened as (select *, case when diagonal - lag(diagonal) over (partition by r, template order by diagonal) <= {licenses.SLACK} then 0 else 1 end as opens from vote),
     run as (select *, sum(opens) over (partition by r, template order by diagonal) as run from opened),
     merged as (select r, template, label, is_base, run, len(list_distinct(flatten(list(places)))) / any_value(grams) as covered,
