@@ -225,7 +225,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "pivot", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "member"
     )
     compare, linked = _links(n, percent)
-    links = placed.join(texts.withColumnRenamed("id", "member"), "member").groupBy("pivot", "i", "j").applyInArrow(compare, linked)
+    # Texts and places are both sorted by id at every size, so that costs grow in proportion.
+    links = texts.withColumnRenamed("id", "member").hint("merge").join(placed, "member").groupBy("pivot", "i", "j").applyInArrow(compare, linked)
     same = sketches.where("n_shingles > 0 and id is not null").join(classes, prints).where("id <> rep").select("id", "rep")
     found = common.components(links.union(same))
     return (
