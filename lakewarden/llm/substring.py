@@ -132,7 +132,8 @@ def with_spans(docs: DataFrame, into: str, id_col: str = "doc_id", text_col: str
     forks = classes.groupBy("mark").agg(F.count("*").alias("paths")).where("paths > 1").select("mark")
     heads = classes.join(forks, "mark", "left_semi").select("first.id", "first.version", F.col("first.at").alias("at"))
     expand, windows_schema = _window_rows(window, mark)
-    singles = texts.join(heads.groupBy("id", "version").agg(F.collect_list("at").alias("wanted")), ["id", "version"]).select("id", "version", "text", "wanted")
+    # Texts are dealt by id at every size; both joins below read the same exchange where plans allow.
+    singles = texts.hint("merge").join(heads.groupBy("id", "version").agg(F.collect_list("at").alias("wanted")), ["id", "version"]).select("id", "version", "text", "wanted")
     windows = cut(singles.mapInArrow(expand, windows_schema), "windows")
     firsts = windows.groupBy("mark", "hash").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("many")).where("many > 1")
     single = (
@@ -143,7 +144,7 @@ def with_spans(docs: DataFrame, into: str, id_col: str = "doc_id", text_col: str
     # A document's spans are bounded by its own length.
     spans = later.union(single).groupBy("id", "version").agg(F.sort_array(F.collect_set(F.struct("first", "end"))).alias(into))
     spans = spans.withColumnsRenamed({"id": "_span_id", "version": "_span_version"})
-    return docs.join(spans, (ident == F.col("_span_id")) & (F.xxhash64(text) == F.col("_span_version")), "left").drop("_span_id", "_span_version")
+    return docs.hint("merge").join(spans, (ident == F.col("_span_id")) & (F.xxhash64(text) == F.col("_span_version")), "left").drop("_span_id", "_span_version")
 
 
 def _covered(n_words: int, spans) -> np.ndarray:
