@@ -178,3 +178,29 @@ def op10_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakewarden.llm import bpe
 
     return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+@register
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakewarden.llm import neardup_vectors
+
+    return neardup_vectors.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+ORACLES["op3_embedding_near_dedup"] = f"""
+with recursive v as (select vec_id, label, embedding::double[] as e from embeddings where label is not null and embedding is not null),
+fine as (select *, sqrt(list_dot_product(e, e)) as n from v where len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+link as (select x.vec_id as a, y.vec_id as b from fine x join fine y on x.label = y.label and len(x.e) = len(y.e) and x.vec_id > y.vec_id
+    where list_dot_product(x.e, y.e) / (x.n * y.n) >= 0.93),
+{_REACH},
+n as (select a as id, count(*) as n from both_ways group by a)
+select vec_id, coalesce(n, 0) as n_links, coalesce(component_id, vec_id) as component_id, coalesce(component_id, vec_id) = vec_id as kept
+from embeddings left join n on n.id = vec_id left join component c on c.id = vec_id
+"""
+
+
+@register
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakewarden.llm import permutations
+
+    return permutations.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
