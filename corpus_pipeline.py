@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewarden.llm import langid, minhash, packing, pii, substring
+from lakewarden.llm import common, langid, minhash, packing, pii, substring
 from lakewarden.session import cut
 
 #: The key of the pseudonyms; a deployment passes its own to ``pii.pseudonyms``.
@@ -41,9 +41,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words that an earlier window covers; a text left without any word goes."""
-    found = substring.with_spans(docs, "_spans")
-    rest = _with_text(found, F.when(F.col("_spans").isNull(), F.col("text")).otherwise(substring.kept_text("text", "_spans")), [*docs.columns, "_spans"])
-    return rest.where("_spans is null or text <> ''").select(docs.columns)
+    spans = common.unused("spans", docs.columns)
+    found = substring.with_spans(docs, spans)
+    rest = _with_text(found, F.when(F.col(spans).isNull(), F.col("text")).otherwise(substring.kept_text("text", spans)), [*docs.columns, spans])
+    return rest.where(F.col(spans).isNull() | (F.col("text") != "")).select(docs.columns)
 
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

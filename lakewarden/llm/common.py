@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from lakewarden.session import cut
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, made longer until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(id, component)`` for every id that ``edges`` (two id columns) names; the component is its smallest id.
 

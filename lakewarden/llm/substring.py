@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm import words
+from lakewarden.llm import common, words
 from lakewarden.session import cut
 
 WINDOW, MARK = 20, 8
@@ -107,7 +107,7 @@ def _window_rows(window: int, mark: int):
 
 
 def with_spans(docs: DataFrame, into: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, mark: int = MARK) -> DataFrame:
-    """``docs`` with a column ``into``: the covered words of each row as sorted ``struct<first, end>`` spans, null where there are none.
+    """``docs`` with a new column ``into``: the covered words of each row as sorted ``struct<first, end>`` spans, null where there are none.
 
     Words are parted by white space and compared as they are. A window counts as repeated if its
     words also start earlier, in a document of smaller id or at an earlier word of the same one; all
@@ -143,8 +143,9 @@ def with_spans(docs: DataFrame, into: str, id_col: str = "doc_id", text_col: str
     )
     # A document's spans are bounded by its own length.
     spans = later.union(single).groupBy("id", "version").agg(F.sort_array(F.collect_set(F.struct("first", "end"))).alias(into))
-    spans = spans.withColumnsRenamed({"id": "_span_id", "version": "_span_version"})
-    return docs.hint("merge").join(spans, (ident == F.col("_span_id")) & (F.xxhash64(text) == F.col("_span_version")), "left").drop("_span_id", "_span_version")
+    own = common.unused("span_id", docs.columns), common.unused("span_version", docs.columns)
+    spans = spans.withColumnsRenamed(dict(zip(("id", "version"), own, strict=True)))
+    return docs.hint("merge").join(spans, (ident == F.col(own[0])) & (F.xxhash64(text) == F.col(own[1])), "left").drop(*own)
 
 
 def _covered(n_words: int, spans) -> np.ndarray:

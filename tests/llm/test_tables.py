@@ -29,7 +29,7 @@ def test_verdicts_spread(spark):
         (2, "http://b.net/2", page("", "http://a.net/1/")),
         (3, "http://c.net/3?q#f", page("http://www.c.net/4")),
         (4, "https://C.net/4", page("http://x.com/fr/good")),
-        (5, "http://d.net/5", page("http://x.com/de/bad", "http://x.com/fr/good")),
+        (5, "http://d.net/5", page("http://x.com/de/other", "http://x.com/fr/well")),
         (6, "http://m.example.org/es/1", page()),
         (7, "http://m.example.org/en/17", page("http://x.com/fr/good")),
         (8, "http://example.org", page()),
@@ -125,7 +125,8 @@ def test_pipeline_stages(spark):
     from lakewarden.llm import minhash, packing, pii, substring
     from lakewarden.session import cut
 
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("_spans", F.lit("x")).withColumn("kept", F.lit(1))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumns({n: F.lit("x") for n in ("spans", "span_id", "kept", "id", "row")})
+    docs = cut(docs, "test-documents")
     columns = docs.columns
     for name, stage in corpus_pipeline.STAGES:
         after = cut(stage(spark, docs, "/root/testdata/sf0.001"), f"test-{name}")
