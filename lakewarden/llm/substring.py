@@ -120,7 +120,8 @@ def with_spans(docs: DataFrame, into: str, id_col: str = "doc_id", text_col: str
     texts = docs.select(ident.alias("id"), F.xxhash64(text).alias("version"), text.alias("text")).where("id is not null and text is not null")
     run, schema = _path_rows(window, mark)
     paths = texts.mapInArrow(run, schema)
-    again = paths.select("mark").groupBy("mark").agg(F.count("*").alias("many")).where("many > 1").select("mark")
+    # Written, so that both sides of the join are dealt anew and a very common mark can be split.
+    again = cut(paths.select("mark").groupBy("mark").agg(F.count("*").alias("many")).where("many > 1").select("mark"), "marks")
     found = cut(paths.join(again, "mark", "left_semi"), "paths")
     place = F.struct("id", "at", "version")
     classes = cut(found.groupBy("mark", "path", "n").agg(F.min(place).alias("first"), F.count("*").alias("many")), "classes")
@@ -129,13 +130,13 @@ def with_spans(docs: DataFrame, into: str, id_col: str = "doc_id", text_col: str
         .where("id <> first.id or at <> first.at")
         .select("id", "version", F.col("at").alias("first"), (F.col("at") + F.col("n") + window - 1).alias("end"))
     )
-    forks = classes.groupBy("mark").agg(F.count("*").alias("paths")).where("paths > 1").select("mark")
+    forks = cut(classes.groupBy("mark").agg(F.count("*").alias("paths")).where("paths > 1").select("mark"), "forks")
     heads = classes.join(forks, "mark", "left_semi").select("first.id", "first.version", F.col("first.at").alias("at"))
     expand, windows_schema = _window_rows(window, mark)
     # Texts are dealt by id at every size; both joins below read the same exchange where plans allow.
     singles = texts.hint("merge").join(heads.groupBy("id", "version").agg(F.collect_list("at").alias("wanted")), ["id", "version"]).select("id", "version", "text", "wanted")
     windows = cut(singles.mapInArrow(expand, windows_schema), "windows")
-    firsts = windows.groupBy("mark", "hash").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("many")).where("many > 1")
+    firsts = cut(windows.groupBy("mark", "hash").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("many")).where("many > 1"), "firsts")
     single = (
         windows.join(firsts.select("mark", "hash", "first"), ["mark", "hash"])
         .where("id <> first.id or at <> first.at")
