@@ -18,7 +18,6 @@ TOKEN_PREFIX = "tok_"
 TOKEN_VERSION = 1
 TOKEN_NONCE_BYTES = 12
 TOKEN_TAG_BYTES = 16
-TOKEN_MAX_BYTES = 4096
 #: Domain-separation string of the key stretch. A deployment that must read tokens minted
 #: elsewhere passes the string those were minted under.
 TOKEN_INFO = b"tokenization/v1"
@@ -148,8 +147,8 @@ def _un_b64url(text: Column) -> Column:
     return F.try_to_binary(padded, F.lit("base64"))
 
 
-def token(label: Column, value: Column, key: bytes, info: bytes = TOKEN_INFO) -> Column:
-    """The deterministic token of a value under a label; null past the size limit."""
+def token(label: Column, value: Column, key: bytes, info: bytes = TOKEN_INFO, max_bytes: int | None = None) -> Column:
+    """The deterministic token of a value under a label; null past ``max_bytes``, where the caller sets them."""
     prf, enc = stretch_key(key, info)
     raw = _utf8(value)
     seed = F.concat(_utf8(label), F.lit(b"\0"), raw)
@@ -157,7 +156,8 @@ def token(label: Column, value: Column, key: bytes, info: bytes = TOKEN_INFO) ->
     # GCM output is nonce || ciphertext || tag, which is the token body after the version byte.
     sealed = F.aes_encrypt(raw, F.lit(enc), F.lit("GCM"), F.lit("DEFAULT"), nonce)
     body = _b64url(F.concat(F.lit(bytes([TOKEN_VERSION])), sealed))
-    return F.when(F.octet_length(raw) <= TOKEN_MAX_BYTES, F.concat(F.lit(TOKEN_PREFIX), body))
+    made = F.concat(F.lit(TOKEN_PREFIX), body)
+    return made if max_bytes is None else F.when(F.octet_length(raw) <= max_bytes, made)
 
 
 def looks_like_token(text: Column) -> Column:
@@ -168,8 +168,8 @@ def detoken(
     text: Column, key: bytes, retired: Sequence[bytes] = (), info: bytes = TOKEN_INFO
 ) -> Column:
     """The original value, or null for anything unreadable, without saying why."""
-    blob = _un_b64url(F.substring(text, len(TOKEN_PREFIX) + 1, 2_000_000))
-    sealed = F.substring(blob, 2, 2_000_000)
+    blob = _un_b64url(F.substring(text, len(TOKEN_PREFIX) + 1, 2**31 - 1))
+    sealed = F.substring(blob, 2, 2**31 - 1)
     tries = []
     for candidate in (key, *[k for k in retired if k]):
         _, enc = stretch_key(candidate, info)

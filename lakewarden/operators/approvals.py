@@ -6,40 +6,51 @@ expires_at, decided_by, resolved_at, redeemed_at, redeemed_by)``.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakewarden.functions.crypto import iso_utc
 from lakewarden.operators import policy
 
-TIME_TO_LIVE = "INTERVAL 24 HOURS"
+#: How long a ticket lives unless the caller says otherwise.
+TICKET_HOURS = 24.0
 
 
-def park(decided: DataFrame, tickets: DataFrame, at: str = "ts") -> DataFrame:
-    """New tickets for parked decisions: one per fingerprint without a live ticket.
+def park(decided: DataFrame, tickets: DataFrame, at: str = "ts", hours: float = TICKET_HOURS) -> DataFrame:
+    """New tickets for parked decisions: an ask opens one unless its fingerprint has a live ticket.
 
-    A fingerprint asked a million times is reduced by a partial aggregate before it moves.
+    A ticket lives ``hours``; an ask after its end opens the next. Asks of a fingerprint flow through
+    a task in order of time, batch by batch, and only the end of the last ticket is remembered.
     """
-    parked = decided.where(F.col("effect") == policy.APPROVE)
-    fresh = parked.groupBy("fingerprint").agg(
-        F.min_by(
-            F.struct("decision_id", F.col("principal_id").alias("requested_by"), F.col(at).alias("created_at")),
-            F.struct(F.col(at), F.col("decision_id")),
-        ).alias("t")
+    parked = decided.where(F.col("effect") == policy.APPROVE).select(
+        "fingerprint", "decision_id", F.col("principal_id").alias("requested_by"), F.col(at).cast("timestamp").alias("created_at")
     )
     live = tickets.where(F.col("status") == "pending").groupBy("fingerprint").agg(
         F.max(F.coalesce("expires_at", F.to_timestamp(F.lit("9999-12-31")))).alias("_live_until")
     )
+    asks = parked.join(live, "fingerprint", "left").where(F.col("_live_until").isNull() | (F.col("_live_until") <= F.col("created_at")))
+    asks = asks.drop("_live_until").repartition("fingerprint").sortWithinPartitions("fingerprint", "created_at", "decision_id")
+    life = pd.Timedelta(hours=hours)
+
+    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, until = None, None
+        for batch in batches:
+            opens = []
+            for fingerprint, when in zip(batch["fingerprint"], batch["created_at"], strict=True):
+                new = fingerprint != last or when >= until
+                if new:
+                    last, until = fingerprint, when + life
+                opens.append(new)
+            yield batch[opens]
+
     return (
-        fresh.select("fingerprint", "t.*")
-        .join(live, "fingerprint", "left")
-        .where(F.col("_live_until").isNull() | (F.col("_live_until") <= F.col("created_at")))
-        .drop("_live_until")
+        asks.mapInPandas(opened, asks.schema)
         .withColumn("status", F.lit("pending"))
-        .withColumn("expires_at", F.col("created_at") + F.expr(TIME_TO_LIVE))
+        .withColumn("expires_at", F.col("created_at") + F.expr(f"make_interval(0, 0, 0, 0, 0, 0, {hours * 3600})"))
     )
 
 

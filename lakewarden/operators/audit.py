@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakewarden.functions.crypto import canonical_json, hmac_sha256, iso_utc, json_string
 
@@ -22,7 +23,6 @@ DEFAULT_STREAM = "default"
 CHECKPOINTS = "_checkpoints"
 #: Records per verification block: the unit of parallel work inside one stream.
 BLOCK = 1_000_000
-LIST_LIMIT = 1000
 
 # The event vocabulary.
 EVENTS = (
@@ -64,7 +64,10 @@ SEALED = (
 def events(
     df: DataFrame, event: str, at: Column, actor: Column, subject: Column, payload: Column, ordinal: Column
 ) -> DataFrame:
-    """Rows of any job as audit input; ``payload`` is a struct or map column."""
+    """Rows of any job as audit input; ``payload`` is a struct or map column.
+
+    ``ordinal`` settles the order of records of one time; numbers stay numbers.
+    """
     if event not in EVENTS:
         raise ValueError(f"unknown audit event {event!r}")
     staged = df.select(
@@ -73,8 +76,10 @@ def events(
         actor.alias("actor"),
         subject.alias("subject"),
         payload.alias("payload"),
-        ordinal.cast("string").alias("ordinal"),
+        ordinal.alias("ordinal"),
     )
+    if isinstance(staged.schema["ordinal"].dataType, T.IntegralType):
+        staged = staged.withColumn("ordinal", F.col("ordinal").cast("bigint"))
     return staged.withColumn("payload", canonical_json(F.col("payload"), staged.schema["payload"].dataType))
 
 
@@ -149,7 +154,7 @@ def seal(records: DataFrame, key: bytes, heads: DataFrame | None = None) -> Data
     else:
         known = heads.select("stream", F.col("seq").alias("_seq"), F.col("head_hash").alias("_prev"))
         rows = (
-            rows.join(F.broadcast(known) if _few(known) else known, "stream", "left")
+            rows.join(known, "stream", "left")
             .withColumn("_seq", F.coalesce("_seq", F.lit(0)))
             .withColumn("_prev", F.coalesce("_prev", F.lit(GENESIS)))
         )
@@ -177,11 +182,6 @@ def seal(records: DataFrame, key: bytes, heads: DataFrame | None = None) -> Data
     return ordered.mapInPandas(chain, SEALED)
 
 
-def _few(heads: DataFrame, limit: int = 100_000) -> bool:
-    """Whether a head table is small enough to send to every task."""
-    return heads.limit(limit + 1).count() <= limit
-
-
 def stream_heads(log: DataFrame) -> DataFrame:
     """Where each stream has reached; checkpoints aside."""
     real = log.where(F.col("stream") != CHECKPOINTS)
@@ -386,15 +386,15 @@ def listing(
     event: str | None = None,
     actor: str | None = None,
     subject: str | None = None,
-    limit: int = 100,
+    limit: int | None = 100,
     offset: int = 0,
 ) -> DataFrame:
-    """A page of records, newest first."""
+    """A page of records, newest first; all for ``limit=None``."""
     out = log
     for column, value in (("stream", stream), ("event", event), ("actor", actor), ("subject", subject)):
         if value:
             out = out.where(F.col(column) == value)
-    return out.orderBy(F.desc("timestamp"), "stream", F.desc("seq")).offset(max(0, offset)).limit(min(limit, LIST_LIMIT))
+    return out if limit is None else out.orderBy(F.desc("timestamp"), "stream", F.desc("seq")).offset(max(0, offset)).limit(limit)
 
 
 def counts(log: DataFrame) -> DataFrame:

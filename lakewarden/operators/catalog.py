@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lakewarden.functions import taxonomy
 from lakewarden.operators.conditions import glob_regex, glob_regex_column
 from lakewarden.operators.scan import preview
+from lakewarden.session import cut
 
 # Which source of a label outranks which.
 SOURCE_RANK = {"manual": 40, "imported": 30, "scan": 20, "inherited": 10}
@@ -265,16 +266,19 @@ def list_assets(
         out = out.join(labels.where(F.col("label").isin(*covered)), "urn", "left_semi")
     if limit is None:
         return out
-    return out.orderBy("urn").offset(max(0, offset)).limit(min(limit, 500))
+    return out.orderBy("urn").offset(max(0, offset)).limit(limit)
 
 
-def upsert(current: DataFrame, changes: DataFrame, key: str, defaults: dict[str, Column] | None = None) -> DataFrame:
+def upsert(current: DataFrame, changes: DataFrame, key: str, defaults: dict[str, Column] | None = None, at: str | None = None) -> DataFrame:
     """Current rows with the supplied (non-null) fields of ``changes`` laid over them.
 
-    ``created`` tells new rows. ``defaults`` fill fields a new row leaves out.
+    ``created`` tells new rows. ``defaults`` fill fields a new row leaves out. Several changes of one
+    key become one: of each field the value sent last by ``at``, or any one value without it.
     """
     fields = [c for c in current.columns if c != key]
-    new = changes.select(key, *[F.col(c).alias(f"_new_{c}") for c in fields if c in changes.columns], F.lit(True).alias("_sent"))
+    sent = [c for c in fields if c in changes.columns]
+    pick = lambda c: F.first(c, ignorenulls=True) if at is None else F.max_by(c, F.when(F.col(c).isNotNull(), F.col(at)))
+    new = changes.groupBy(key).agg(F.lit(True).alias("_sent"), *[pick(c).alias(f"_new_{c}") for c in sent])
     old = current.withColumn("_kept", F.lit(True))
     joined = old.join(new, key, "full_outer")
     created = F.col("_kept").isNull()
@@ -318,9 +322,11 @@ def scan_labels(findings: DataFrame, min_confidence: float = SCAN_FLOOR) -> Data
 
     ``findings`` is ``(urn, path, start, label, detector, value, confidence)``. Counts and
     the evidence are kept by partial aggregates of fixed size, so an asset holding a third
-    of all findings costs no more memory than any other.
+    of all findings costs no more memory than any other. Findings are written once to the shared
+    folder, masked, so that the text is scanned a single time.
     """
     strong = findings.where(F.col("confidence") >= min_confidence).withColumn("preview", preview(F.col("value")))
+    strong = cut(strong.select("urn", "label", "path", "start", "detector", "confidence", "preview"), "findings")
     place = F.struct(F.col("path"), F.col("start"), F.col("preview"))
     totals = strong.groupBy("urn", "label").agg(
         F.max("confidence").alias("confidence"),
@@ -369,9 +375,10 @@ def apply_scan(labels: DataFrame, scanned: DataFrame, assets: DataFrame) -> Data
     return kept.unionByName(scanned.select(*[c for c in scanned.columns if c in labels.columns]), allowMissingColumns=True)
 
 
-def list_principals(principals: DataFrame, type_: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
+def list_principals(principals: DataFrame, type_: str | None = None, limit: int | None = 100, offset: int = 0) -> DataFrame:
+    """A page of principals; ``limit=None`` lists everything."""
     out = principals.where(F.col("type") == type_) if type_ else principals
-    return out.orderBy("external_id").offset(max(0, offset)).limit(min(limit, 500))
+    return out if limit is None else out.orderBy("external_id").offset(max(0, offset)).limit(limit)
 
 
 def wanted(urn: Column, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> Column:

@@ -6,7 +6,9 @@ carries both facts, and every operator answers true or false.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -16,9 +18,23 @@ from pyspark.sql import types as T
 ROOTS = ("principal", "action", "resource", "context", "findings", "classifications", "env")
 #: Roots whose attributes are also reachable without naming ``attributes``.
 SPREAD_ROOTS = ("principal", "resource")
+# Fixed values, in force unless ``limits`` says otherwise: the longest regular expression a policy
+# may hold, and what a trace shows of a list and of a string.
 MAX_PATTERN = 512
 TRACE_ITEMS = 12
 TRACE_CHARS = 200
+_LIMITS: ContextVar[tuple[int | None, int | None, int | None]] = ContextVar("limits", default=(MAX_PATTERN, TRACE_ITEMS, TRACE_CHARS))
+
+
+@contextmanager
+def limits(pattern: int | None = None, trace_items: int | None = None, trace_chars: int | None = None) -> Iterator[None]:
+    """Other limits for the plans built inside; None sets none."""
+    token = _LIMITS.set((pattern, trace_items, trace_chars))
+    try:
+        yield
+    finally:
+        _LIMITS.reset(token)
+
 
 _NUMBER_KINDS = r"^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"
 
@@ -90,15 +106,19 @@ def absent() -> View:
 
 def quoted(text: Column) -> Column:
     """A string as it appears in a trace: cut to size, in quotes."""
-    cut = F.when(F.length(text) > TRACE_CHARS, F.concat(F.left(text, F.lit(TRACE_CHARS)), F.lit("..."))).otherwise(text)
+    most = _LIMITS.get()[2]
+    cut = text if most is None else F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("..."))).otherwise(text)
     return F.coalesce(F.concat(F.lit("'"), cut, F.lit("'")), F.lit("None"))
 
 
 def summarised(items: Column, size: Column) -> Column:
-    """A list as it appears in a trace: twelve items and how many were left out."""
-    head = F.slice(items, 1, TRACE_ITEMS)
-    more = F.concat(F.lit("'... +"), (size - TRACE_ITEMS).cast("string"), F.lit(" more'"))
-    shown = F.when(size > TRACE_ITEMS, F.array_append(head, more)).otherwise(head)
+    """A list as it appears in a trace: so many items, and how many were left out."""
+    most = _LIMITS.get()[1]
+    if most is None:
+        return F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
+    head = F.slice(items, 1, most)
+    more = F.concat(F.lit("'... +"), (size - most).cast("string"), F.lit(" more'"))
+    shown = F.when(size > most, F.array_append(head, more)).otherwise(head)
     return F.concat(F.lit("["), F.array_join(shown, ", "), F.lit("]"))
 
 
@@ -397,8 +417,9 @@ def _glob(view: View, operand: Any) -> Column:
 def _regex(view: View, operand: Any) -> Column:
     if not isinstance(operand, str):
         raise PolicyError("operator 'regex' needs a string pattern")
-    if len(operand) > MAX_PATTERN:
-        raise PolicyError(f"operator 'regex' pattern exceeds {MAX_PATTERN} characters")
+    longest = _LIMITS.get()[0]
+    if longest is not None and len(operand) > longest:
+        raise PolicyError(f"operator 'regex' pattern exceeds {longest} characters")
     return _some_string(view, [lambda v: v.rlike(operand)])
 
 

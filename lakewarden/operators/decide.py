@@ -73,14 +73,14 @@ def _variant_text(value: Column) -> Column:
     return F.coalesce(F.to_json(value), F.lit("null"))
 
 
-def scrubbed_context(context: Column) -> Column:
-    """A variant map fit to be stored, each value as JSON text."""
+def scrubbed_context(context: Column, limit: int | None = redact.CONTEXT_LIMIT) -> Column:
+    """A variant map fit to be stored, each value as JSON text; strings over ``limit`` are cut (None: whole)."""
 
     def one(k: Column, v: Column) -> Column:
         kind = F.schema_of_variant(v)
         text = F.try_variant_get(v, "$", "string")
-        long = (kind == "STRING") & (F.length(text) > redact.CONTEXT_LIMIT)
-        cut = F.concat(F.left(text, F.lit(redact.CONTEXT_LIMIT)), F.lit("..."))
+        long = F.lit(False) if limit is None else (kind == "STRING") & (F.length(text) > limit)
+        cut = text if limit is None else F.concat(F.left(text, F.lit(limit)), F.lit("..."))
         return (
             F.when(F.lower(k).isin(*redact.SECRET_KEYS), F.lit('"[dropped]"'))
             .when(long, crypto.json_string(cut))
@@ -102,7 +102,7 @@ def fingerprint(df: DataFrame, key: bytes) -> Column:
     def text(name: str) -> Column:
         return crypto.canonical_json(F.col(name), T.StringType())
 
-    context = scrubbed_context(F.col("context"))
+    context = scrubbed_context(F.col("context"), None)
     pairs = F.transform(
         F.array_sort(F.map_keys(context)),
         lambda k: F.concat(crypto.json_string(k), F.lit(":"), F.try_element_at(context, k)),
@@ -156,9 +156,9 @@ def guard_tokens(df: DataFrame) -> DataFrame:
     )
 
 
-def apply_routes(df: DataFrame, candidates: Column) -> DataFrame:
-    """Resolve route duties; a route nothing satisfies turns the decision into a deny."""
-    step = routing.with_route(df.withColumn("original", F.col("resource.urn")), candidates)
+def apply_routes(df: DataFrame, models: DataFrame) -> DataFrame:
+    """Resolve route duties over all ``models``; a route nothing satisfies turns the decision into a deny."""
+    step = routing.with_route(df.withColumn("original", F.col("resource.urn")), models)
     live = (F.col("effect") != policy.DENY) & F.col("route").isNotNull()
     stuck = live & F.col("route.target").isNull()
     resolved = F.transform(
@@ -263,7 +263,7 @@ def finish(
     if not token_key and "tokenize" in asked:
         step = guard_tokens(step)
     if any(o["type"] == "route" for o in duties):
-        step = apply_routes(step, routing.model_candidates(assets, labels))
+        step = apply_routes(step, routing.model_table(assets, labels))
     else:
         step = step.withColumn("route", F.lit(None).cast("struct<target:string>"))
     allowed = (F.col("effect") == policy.ALLOW) & F.lit(apply_obligations)
@@ -296,7 +296,7 @@ RECORD_COLUMNS = (
 )
 
 
-def records(decided: DataFrame, ids: Iterable[str]) -> DataFrame:
+def records(decided: DataFrame, ids: Iterable[str], context_chars: int | None = redact.CONTEXT_LIMIT) -> DataFrame:
     """The decision table: no payload, no matched values, scrubbed context."""
     return decided.select(
         *ids,
@@ -306,7 +306,7 @@ def records(decided: DataFrame, ids: Iterable[str]) -> DataFrame:
         F.coalesce("resource.urn", F.lit("")).alias("resource_urn"),
         F.coalesce("resource.kind", F.lit("")).alias("resource_kind"),
         *RECORD_COLUMNS,
-        scrubbed_context(F.col("context")).alias("context"),
+        scrubbed_context(F.col("context"), context_chars).alias("context"),
     )
 
 

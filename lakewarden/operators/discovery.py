@@ -10,41 +10,46 @@ from pyspark.sql import functions as F
 
 from lakewarden.functions import taxonomy
 from lakewarden.operators import catalog, scan
+from lakewarden.session import cut
 from lakewarden.sources import tables as T
 
-MAX_ASSETS = 500
-AUDIT_URNS = 25
-
-
-def selected(assets: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = (), max_assets: int = MAX_ASSETS) -> tuple[DataFrame, Column]:
-    """Assets under the globs, in listing order, cut at ``max_assets``; and the cut as a test.
+def selected(
+    assets: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = (), max_assets: int | None = None
+) -> tuple[DataFrame, Column]:
+    """Assets under the globs, in listing order, cut at ``max_assets`` if given; and the cut as a test.
 
     Asset listings are metadata: one row per table.
     """
     fits = assets.where(catalog.wanted(F.col("urn"), include, exclude))
+    if max_assets is None:
+        return fits, F.lit(False)
     return fits.orderBy("urn").limit(max_assets), F.lit(fits.count() > max_assets)
 
 
-def sample_leaves(tables: Mapping[str, DataFrame], scheme: str, limit: int) -> tuple[DataFrame | None, list[tuple]]:
+def sample_leaves(tables: Mapping[str, DataFrame], scheme: str, limit: int | None) -> tuple[DataFrame | None, list[tuple]]:
     """String leaves of a sample of every table as one table, and what each sample covered.
 
-    A table that cannot be read becomes an error row and does not stop the others.
+    Each sample is written by a job of its own, so a table that cannot be read, wherever it breaks,
+    becomes an error row and does not stop the others. One row more than ``limit`` is taken, to tell
+    whether the sample is partial.
     """
     parts: list[DataFrame] = []
     outcomes: list[tuple] = []
     for name, df in sorted(tables.items()):
         urn = f"{scheme}.{name}"
         try:
-            rows, total = T.sample(df, limit)
-            numbered = rows.select(F.struct(*rows.columns).alias("row"), F.monotonically_increasing_id().alias("_n"))
-            leaves = scan.leaf_table(numbered, "row", ["_n"]).select(
-                F.lit(urn).alias("urn"), F.concat(F.lit("/"), F.col("_n").cast("string"), F.col("path")).alias("path"), "hint", "value", "too_deep"
-            )
-            parts.append(leaves)
-            taken = min(limit, total)
-            outcomes.append((urn, taken, taken < total, None))
+            rows = T.sample(df, None if limit is None else limit + 1)
+            numbered = cut(rows.select(F.struct(*rows.columns).alias("row"), F.monotonically_increasing_id().alias("_n")), "sample")
+            taken = numbered.count()
         except Exception as wrong:  # one unreadable table must not end the run
             outcomes.append((urn, 0, False, f"registered, but sampling failed: {str(wrong)[:200]}"))
+            continue
+        partial = limit is not None and taken > limit
+        leaves = scan.leaf_table(numbered.limit(limit) if partial else numbered, "row", ["_n"]).select(
+            F.lit(urn).alias("urn"), F.concat(F.lit("/"), F.col("_n").cast("string"), F.col("path")).alias("path"), "hint", "value", "too_deep"
+        )
+        parts.append(leaves)
+        outcomes.append((urn, min(taken, limit) if partial else taken, partial, None))
     union = None
     for part in parts:
         union = part if union is None else union.unionByName(part)
@@ -57,11 +62,11 @@ def run(
     scheme: str,
     known_assets: DataFrame,
     scan_rows: bool = True,
-    limit: int = 100,
+    limit: int | None = 100,
     min_confidence: float = 0.5,
     include: Sequence[str] = (),
     exclude: Sequence[str] = (),
-    max_assets: int = MAX_ASSETS,
+    max_assets: int | None = None,
 ) -> dict[str, Any]:
     """One discovery run: ``outcomes`` and ``labels`` DataFrames, and ``truncated``.
 
@@ -130,10 +135,10 @@ def label_counts(outcomes: DataFrame) -> DataFrame:
     return each.groupBy("label").agg(F.count("*").alias("assets"))
 
 
-def audit_payload(outcomes: DataFrame) -> DataFrame:
-    """The one audit row of a run: totals and the first labelled names."""
+def audit_payload(outcomes: DataFrame, urns: int = 25) -> DataFrame:
+    """The one audit row of a run: totals and the first labelled names, ``urns`` of them."""
     named = F.when(F.size(F.array_union("labels_imported", "labels_scanned")) > 0, F.col("urn"))
     return outcomes.agg(
-        F.slice(F.array_sort(F.collect_list(named)), 1, AUDIT_URNS).alias("classified_urns"),
-        F.greatest(F.count(named) - AUDIT_URNS, F.lit(0)).alias("classified_urns_omitted"),
+        F.slice(F.array_sort(F.collect_list(named)), 1, urns).alias("classified_urns"),
+        F.greatest(F.count(named) - urns, F.lit(0)).alias("classified_urns_omitted"),
     )

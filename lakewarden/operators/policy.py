@@ -431,10 +431,10 @@ def listing(
     enabled: bool | None = None,
     effect: str | None = None,
     tag: str | None = None,
-    limit: int = 200,
+    limit: int | None = 200,
     offset: int = 0,
 ) -> DataFrame:
-    """A page of stored policies, highest priority first. The tag filter acts before paging."""
+    """A page of stored policies, highest priority first; all for ``limit=None``. The tag filter acts before paging."""
     out = table
     if enabled is not None:
         out = out.where(F.col("enabled") == enabled)
@@ -442,7 +442,7 @@ def listing(
         out = out.where(F.col("effect") == effect)
     if tag:
         out = out.where(F.array_contains("tags", tag))
-    return out.orderBy(F.desc("priority"), "key").offset(max(0, offset)).limit(min(limit, 1000))
+    return out if limit is None else out.orderBy(F.desc("priority"), "key").offset(max(0, offset)).limit(limit)
 
 
 DUTY_TEXT = "array<map<string,string>>"

@@ -15,7 +15,7 @@ from lakewarden.operators.rules import RULES, Rule
 
 EDIT = "struct<label:string,strategy:string,start:int,end:int,replacement:string>"
 
-# Context keys never stored, and the longest context string stored whole.
+# Context keys never stored, and the longest context string stored whole by default.
 SECRET_KEYS = ("authorization", "token", "api_key", "apikey", "password", "secret", "cookie")
 CONTEXT_LIMIT = 512
 
@@ -92,8 +92,7 @@ def replacement(
     def minted() -> Column:
         if not token_key:
             return F.raise_error(F.lit("a rule asks for tokens but no tokenisation key is set")).cast("string")
-        too_long = F.raise_error(F.lit("value is over the tokenisation size limit")).cast("string")
-        return F.coalesce(crypto.token(label, value, token_key), too_long)
+        return crypto.token(label, value, token_key)
 
     build = {
         "mask": lambda: mask(label),
@@ -240,11 +239,14 @@ def edit_records(df: DataFrame, ids: Sequence[str]) -> DataFrame:
 
 
 def _rewrite_variant(node: Column, path: Column, edited: Column, depth: int) -> Column:
-    """JSON text of a VARIANT with leaves replaced by those of ``edited``, which are JSON already."""
+    """JSON text of a VARIANT with leaves replaced by those of ``edited``, which are JSON already.
+
+    What lies below the depth limit was not scanned and becomes null.
+    """
     kind = scan.variant_kind(node)
     as_is = F.to_json(node)
     if depth > scan.MAX_DEPTH:
-        return as_is
+        return F.lit("null")
 
     def member(c: Column) -> Column:
         below = F.concat(path, F.lit("/"), scan.pointer_token(c["key"]))
@@ -305,22 +307,24 @@ def redact_structured(
     key: bytes = b"",
     token_key: bytes | None = None,
 ) -> DataFrame:
-    """Rewrite the string leaves of a nested column in place.
+    """Rewrite the string leaves of a nested column in place, and add ``truncated``.
 
-    Leaves are scanned as rows of their own, so one huge document spreads over tasks; only
-    rewritten leaves travel back to their row.
+    Leaves are scanned as rows of their own; only rewritten leaves travel back to their row, which
+    ``ids`` must name uniquely. A row nested deeper than the limit comes back ``truncated``, with
+    null in the place of everything below it: what was not scanned is not delivered.
     """
-    leaves = scan.leaf_table(df, column, ids).where(~F.col("too_deep"))
-    found = scan.with_findings(leaves, "value", rules, hint="hint").withColumn("obligations", obligations)
+    leaves = scan.leaf_table(df, column, ids)
+    found = scan.with_findings(leaves, "value", rules, hint="hint").drop("truncated").withColumn("obligations", obligations)
+    edited = F.when(F.col("redacted").isNotNull(), F.struct("path", "redacted"))
     changed = (
         with_redaction(found, "value", key=key, token_key=token_key)
-        .select(*ids, "path", F.when(F.size("edits") > 0, F.col("redacted")).alias("redacted"))
-        .where(F.col("redacted").isNotNull())
+        .select(*ids, "path", "too_deep", F.when(F.size("edits") > 0, F.col("redacted")).alias("redacted"))
+        .where(F.col("redacted").isNotNull() | F.col("too_deep"))
         .groupBy(*ids)
-        .agg(F.map_from_entries(F.collect_list(F.struct("path", "redacted"))).alias("_edited"))
+        .agg(F.map_from_entries(F.collect_list(edited)).alias("_edited"), F.max("too_deep").alias("truncated"))
     )
     dtype = df.schema[column].dataType
-    joined = df.join(changed, list(ids), "left")
+    joined = df.join(changed, list(ids), "left").withColumn("truncated", F.coalesce("truncated", F.lit(False)))
     untouched = F.col("_edited").isNull()
     if isinstance(dtype, (T.StringType, T.VariantType)):
         from_text = isinstance(dtype, T.StringType)
@@ -336,11 +340,13 @@ def redact_structured(
     return joined.drop("_edited")
 
 
-def scrub_context(context: Column) -> Column:
-    """A string map fit to be stored: credential keys dropped, long strings cut."""
-    return F.transform_values(
-        context,
-        lambda k, v: F.when(F.lower(k).isin(*SECRET_KEYS), F.lit("[dropped]"))
-        .when(F.length(v) > CONTEXT_LIMIT, F.concat(F.left(v, F.lit(CONTEXT_LIMIT)), F.lit("...")))
-        .otherwise(v),
-    )
+def scrub_context(context: Column, limit: int | None = CONTEXT_LIMIT) -> Column:
+    """A string map fit to be stored: credential keys dropped, strings over ``limit`` cut (None: whole)."""
+
+    def one(k: Column, v: Column) -> Column:
+        kept = F.when(F.lower(k).isin(*SECRET_KEYS), F.lit("[dropped]"))
+        if limit is not None:
+            kept = kept.when(F.length(v) > limit, F.concat(F.left(v, F.lit(limit)), F.lit("...")))
+        return kept.otherwise(v)
+
+    return F.transform_values(context, one)

@@ -26,6 +26,8 @@ FINDING = (
     "confidence:double,severity_rank:int>"
 )
 NO_FINDINGS = f"array<{FINDING}>"
+#: What a findings table has of each finding.
+FOUND = ("label", "detector", "start", "end", "value", "confidence", "severity_rank")
 
 
 def _empty(ddl: str) -> Column:
@@ -319,16 +321,7 @@ def preview(value: Column) -> Column:
 def explode_findings(df: DataFrame, ids: Sequence[str], findings: str = "findings") -> DataFrame:
     """One row per finding. The outer form keeps the planner from copying the scan into a filter."""
     rows = df.select(*ids, F.explode_outer(findings).alias("_f")).where(F.col("_f").isNotNull())
-    return rows.select(
-        *ids,
-        F.col("_f.label").alias("label"),
-        F.col("_f.detector").alias("detector"),
-        F.col("_f.start").alias("start"),
-        F.col("_f.end").alias("end"),
-        F.col("_f.value").alias("value"),
-        F.col("_f.confidence").alias("confidence"),
-        F.col("_f.severity_rank").alias("severity_rank"),
-    )
+    return rows.select(*ids, *(F.col(f"_f.{n}").alias(n) for n in FOUND))
 
 
 def scan(
@@ -460,9 +453,17 @@ def variant_leaves(value: Column, max_depth: int = MAX_DEPTH) -> Column:
 
 
 def scan_leaves(leaves: DataFrame, ids: Sequence[str], rules: Sequence[Rule] = RULES, **options) -> DataFrame:
-    """Findings of a ``(ids, path, hint, value)`` leaf table, offsets relative to the leaf."""
-    named = leaves.where(~F.col("too_deep")).withColumnRenamed("value", "_leaf_text")
-    return scan(named, "_leaf_text", [*ids, "path"], rules, hint="hint", **options)
+    """Findings of a ``(ids, path, hint, value)`` leaf table, offsets relative to the leaf.
+
+    ``truncated`` is false for findings. A subtree below the depth limit, whose text nobody looked
+    at, comes back as a row of its own: its path, no label, ``truncated`` true.
+    """
+    found = with_findings(leaves.withColumnRenamed("value", "_leaf_text"), "_leaf_text", rules, "hint", **options)
+    unseen = F.array(F.lit(None).cast(FINDING))
+    marked = found.withColumn("findings", F.when(F.col("too_deep"), unseen).otherwise(F.col("findings")))
+    rows = marked.select(*ids, "path", F.col("too_deep").alias("truncated"), F.explode_outer("findings").alias("_f"))
+    rows = rows.where(F.col("truncated") | F.col("_f").isNotNull())
+    return rows.select(*ids, "path", *(F.col(f"_f.{n}").alias(n) for n in FOUND), "truncated").withColumn("preview", preview(F.col("value")))
 
 
 def leaf_table(df: DataFrame, column: str, ids: Sequence[str], max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -489,7 +490,10 @@ def scan_structured(
     max_depth: int = MAX_DEPTH,
     **options,
 ) -> DataFrame:
-    """Scan every string leaf of a nested column, its key serving as context."""
+    """Scan every string leaf of a nested column, its key serving as context.
+
+    JSON is walked ``max_depth`` levels deep; what lies deeper is reported, see ``scan_leaves``.
+    """
     return scan_leaves(leaf_table(spread(df), column, ids, max_depth), ids, rules, **options)
 
 

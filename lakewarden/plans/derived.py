@@ -187,12 +187,13 @@ DERIVED: dict[str, str] = {
         from (
           select *,
             case when event_type = 'click' then event_id % (select count(*) from {documents}) end as doc_key,
-            case when event_type = 'error' then event_id % (select count(*) from {customer}) end as row_key
+            case when event_type = 'error' then event_id % (select count(*) from {customer}) end as row_key,
+            event_id % (select count(*) from {part}) as part_key, event_id % (select count(*) from {supplier}) as supp_key
           from {events}) e
         join {nation} n on n.n_nationkey = e.event_id % 25
         join {region} r on r.r_regionkey = n.n_regionkey
-        join {part} p on p.p_partkey = e.event_id % 200
-        join {supplier} s on s.s_suppkey = e.event_id % 10
+        join {part} p on p.p_partkey = e.part_key
+        join {supplier} s on s.s_suppkey = e.supp_key
         left join {documents} d on d.doc_id = e.doc_key
         left join {sensitive_text} t on t.row_id = e.row_key""",
     # Decisions as recorded, what was reported about them, and approval tickets.

@@ -15,7 +15,8 @@ from lakewarden.sources import sinks
 
 STREAMS = 8
 
-#: The audit input every check uses: one decision event per row of ``events``.
+#: The audit input every check uses: one decision event per row of ``events``, dated by the day,
+#: so that many records share a time and only their number orders them.
 _STREAM = f"'p' || (user_id % {STREAMS})"
 _ISO = "strftime(ts, '%Y-%m-%dT%H:%M:%S') || case when epoch_us(ts) % 1000000 = 0 then '' else '.' || lpad(cast(epoch_us(ts) % 1000000 as varchar), 6, '0') end || '+00:00'"
 _PAYLOAD = "'{{\"action\":\"' || event_type || '\",\"amount\":' || cast(value as varchar) || ',\"props\":\"' || replace(props, '\"', '\\\"') || '\"}}'"
@@ -35,7 +36,7 @@ def _digest(prev: str, seq: str) -> str:
 def _input_sql(stream: str) -> str:
     return (
         f"inp as (select event_id, ts, {stream} as stream, 'agent:' || user_id as actor, 'e' || event_id as subject, {_PAYLOAD} as payload, {_ISO} as iso,"
-        f" row_number() over (partition by {stream} order by ts, cast(event_id as varchar)) as seq from {{events}})"
+        f" row_number() over (partition by {stream} order by ts, event_id) as seq from (select * replace (date_trunc('day', ts) as ts) from {{events}}) e)"
     )
 
 
@@ -57,7 +58,7 @@ def records(spark: SparkSession, sf: str, stream=None) -> DataFrame:
     rows = audit.events(
         events.withColumn("user", F.col("user_id").cast("string")),
         "decision",
-        F.col("ts").cast("timestamp"),
+        F.date_trunc("day", F.col("ts").cast("timestamp")),
         F.concat(F.lit("agent:"), F.col("user")),
         F.concat(F.lit("e"), F.col("event_id").cast("string")),
         payload,
@@ -107,6 +108,17 @@ def seal_chain(spark: SparkSession, sf: str) -> DataFrame:
     return audit.seal(records(spark, sf), KEY).select("stream", "seq", "subject", "prev_hash", "record_hash")
 
 
+_DAILY = f"{_STREAM} || '/' || strftime(ts, '%Y-%m-%d')"
+
+
+@query("seal_segmented", _chain_sql(_DAILY) + " select stream, seq, subject, record_hash from chain")
+def seal_segmented(spark: SparkSession, sf: str) -> DataFrame:
+    """Every stream cut into a chain per day, so that a busy one spreads over tasks."""
+    rows = records(spark, sf)
+    rows = rows.withColumn("stream", audit.segmented(F.col("stream"), F.date_format("timestamp", "yyyy-MM-dd")))
+    return audit.seal(rows, KEY).select("stream", "seq", "subject", "record_hash")
+
+
 @query("seal_continued", _chain_sql() + " select stream, seq, record_hash from chain")
 def seal_continued(spark: SparkSession, sf: str) -> DataFrame:
     """Sealing in two batches, the second from the heads of the first, gives the same chains."""

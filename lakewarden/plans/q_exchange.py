@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakewarden.operators import obligations as O
+from lakewarden.operators import redact, scan
 from lakewarden.plans import derived
 from lakewarden.plans.registry import query
 from lakewarden.sources import exchange
@@ -170,11 +172,24 @@ def flatten_messages(spark: SparkSession, sf: str) -> DataFrame:
     return flat.select("conv_id", "text", F.size("turns").cast("bigint").alias("messages"))
 
 
-@query("split_messages", "select conv_id, turn, replace(text, ' ', '_') as text from {conversations} where text <> ''")
+#: Three messages a conversation, with blank lines and line ends of their own, an address in most.
+_LETTERS = (
+    "select cast(floor(c_custkey / 3) as bigint) as conv_id, c_custkey % 3 as turn, concat(lower(c_mktsegment), case c_custkey % 4 when 0 then '\n' when 1 then '\n\n' else '' end,"
+    " ' write to user', cast(c_custkey as string), case when c_custkey % 5 = 0 then ' at home' else '@mail.example.com' end, case when c_custkey % 2 = 0 then '\n\nbye\n' else '' end) as text from {customer}"
+)
+
+
+@query(
+    "split_messages",
+    "select conv_id, turn, replace(text, 'user' || c_custkey || '@mail.example.com', '[REDACTED:pii.email]') as text from (select c_custkey, "
+    + _LETTERS.removeprefix("select ").replace("\n\nbye\n", "' || chr(10) || chr(10) || 'bye' || chr(10) || '").replace("\n\n", "' || chr(10) || chr(10) || '").replace("\n", "' || chr(10) || '")
+    + ") t",
+)
 def split_messages(spark: SparkSession, sf: str) -> DataFrame:
-    """Governed conversation text put back into its turns."""
-    flat = exchange.flatten_messages(derived.table(spark, sf, "conversations"), "conv_id", "turn", "text")
-    return exchange.split_messages(flat.withColumn("text", F.replace("text", F.lit(" "), F.lit("_"))), "conv_id", "turn")
+    """Conversations governed as one text and put back into their turns, blank lines and all."""
+    flat = exchange.flatten_messages(derived.run(spark, sf, _LETTERS), "conv_id", "turn", "text")
+    found = scan.with_findings(flat, "text").withColumn("obligations", O.literal([{"type": "redact", "labels": ["pii.email"], "strategy": "mask"}]))
+    return exchange.split_messages(redact.with_redaction(found, "text"), "conv_id", "turn")
 
 
 def _blocks(spark: SparkSession, sf: str) -> DataFrame:

@@ -157,13 +157,13 @@ def path_resolve(spark: SparkSession, sf: str) -> DataFrame:
 POLICIES: list[dict[str, Any]] = [
     {"key": "deny-export", "name": "No export outside", "effect": "deny", "priority": 900,
      "match": {"all": [{"action": "export"}, {"context.destination": "external"}]}},
-    {"key": "approve-training", "name": "Training asks first", "effect": "require_approval", "priority": 600,
-     "match": {"context.purpose": {"in": ["training", "tuning"]}},
-     "obligations": [{"type": "require_purpose", "purposes": ["training"]}]},
-    {"key": "allow-agents", "name": "Agents work masked", "effect": "allow", "priority": 200,
-     "match": {"all": [{"principal.type": "agent"}, {"action": ["read", "infer", "search"]}, {"not": {"context.destination": "external"}}]},
-     "obligations": [{"type": "redact", "labels": ["pii.ssn"], "strategy": "mask"}, {"type": "limit", "max_rows": 100}]},
-    {"key": "allow-big", "name": "Big amounts", "effect": "allow", "priority": 200,
+    {"key": "approve-analytics", "name": "Analytics of small sums", "effect": "require_approval", "priority": 430,
+     "match": {"all": [{"context.purpose": {"startswith": "ana"}}, {"context.amount": {"lte": 75}}]},
+     "obligations": [{"type": "require_purpose", "purposes": ["analytics"]}]},
+    {"key": "allow-batch", "name": "Batches of small sums", "effect": "allow", "priority": 140,
+     "match": {"all": [{"not": {"principal.type": "user"}}, {"context.amount": {"lt": 30}}, {"action": {"not_in": ["export", "return"]}}]},
+     "obligations": [{"type": "redact", "labels": ["pci.iban"], "strategy": "mask"}, {"type": "limit", "max_rows": 100}]},
+    {"key": "allow-big", "name": "Big amounts", "effect": "allow", "priority": 140,
      "match": {"any": [{"context.amount": {"gt": 100}}, {"principal.attributes.trust_tier": "high"}]},
      "obligations": [{"type": "limit", "max_rows": 100}, {"type": "watermark", "text": "big"}]},
     {"key": "allow-users", "name": "Users search", "effect": "allow", "priority": 300,
@@ -173,12 +173,12 @@ POLICIES: list[dict[str, Any]] = [
     {"key": "off", "name": "Switched off", "effect": "deny", "priority": 999, "enabled": False, "match": {}},
 ]
 
-_AGENT = "principal_type = 'agent' and action in ('read', 'infer', 'search') and not coalesce(destination = 'external', false)"
+_BATCH = "principal_type <> 'user' and value < 30 and action not in ('export', 'return')"
 MATCHES = f"""
 matched as (select event_id, principal_type, action, urn,
   coalesce(action = 'export' and destination = 'external', false) as m_export,
-  coalesce(purpose in ('training', 'tuning'), false) as m_training,
-  ({_AGENT}) as m_agents,
+  coalesce(starts_with(purpose, 'ana') and value <= 75, false) as m_analytics,
+  ({_BATCH}) as m_batch,
   (value > 100 or coalesce(claimed_tier = 'high', false)) as m_big,
   principal_type = 'user' as m_users,
   (starts_with(urn, 's3://') and not (action = 'read' or purpose is not null)) as m_s3
@@ -186,16 +186,17 @@ matched as (select event_id, principal_type, action, urn,
 
 #: Keys of the matched policies in listing order: priority falling, key rising.
 LISTED = (
-    "list_filter([case when m_export then 'deny-export' end, case when m_training then 'approve-training' end,"
-    " case when m_users then 'allow-users' end, case when m_s3 then 'deny-s3' end, case when m_agents then 'allow-agents' end,"
+    "list_filter([case when m_export then 'deny-export' end, case when m_analytics then 'approve-analytics' end,"
+    " case when m_users then 'allow-users' end, case when m_s3 then 'deny-s3' end, case when m_batch then 'allow-batch' end,"
     " case when m_big then 'allow-big' end], lambda k: k is not null)"
 )
-_ALLOW = "case when m_users then 'allow-users' when m_big then 'allow-big' when m_agents then 'allow-agents' end"
+#: Of equal priorities the larger key determines.
+_ALLOW = "case when m_users then 'allow-users' when m_big then 'allow-big' when m_batch then 'allow-batch' end"
 WINNER = {
-    "deny_overrides": f"case when m_export then 'deny-export' when m_s3 then 'deny-s3' when m_training then 'approve-training' else {_ALLOW} end",
-    "permit_overrides": f"coalesce({_ALLOW}, case when m_training then 'approve-training' when m_export then 'deny-export' when m_s3 then 'deny-s3' end)",
-    "priority_ordered": "case when m_export then 'deny-export' when m_training then 'approve-training' when m_users then 'allow-users'"
-    " when m_s3 then 'deny-s3' when m_big then 'allow-big' when m_agents then 'allow-agents' end",
+    "deny_overrides": f"case when m_export then 'deny-export' when m_s3 then 'deny-s3' when m_analytics then 'approve-analytics' else {_ALLOW} end",
+    "permit_overrides": f"coalesce({_ALLOW}, case when m_analytics then 'approve-analytics' when m_export then 'deny-export' when m_s3 then 'deny-s3' end)",
+    "priority_ordered": "case when m_export then 'deny-export' when m_analytics then 'approve-analytics' when m_users then 'allow-users'"
+    " when m_s3 then 'deny-s3' when m_big then 'allow-big' when m_batch then 'allow-batch' end",
 }
 EFFECT = "case when winner is null then 'deny' when starts_with(winner, 'allow') then 'allow' when starts_with(winner, 'deny') then 'deny' else 'require_approval' end"
 
@@ -307,8 +308,8 @@ def default_effect(spark: SparkSession, sf: str) -> DataFrame:
 
 #: Duties as text, duplicates once, in the order of the listing.
 DUTIES = (
-    "case effect when 'require_approval' then 'require_purpose:training' when 'allow' then concat_ws(' ',"
-    " case when m_agents then 'redact:mask limit:100' when m_big then 'limit:100' end, case when m_big then 'watermark:big' end) else '' end"
+    "case effect when 'require_approval' then 'require_purpose:analytics' when 'allow' then concat_ws(' ',"
+    " case when m_batch then 'redact:mask limit:100' when m_big then 'limit:100' end, case when m_big then 'watermark:big' end) else '' end"
 )
 
 
@@ -335,8 +336,8 @@ def obligation_union(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "obligations_for_named",
     _decided()
-    + " select event_id as request_id, concat_ws(' ', case when m_training then 'require_purpose:training' end,"
-    " case when m_agents then 'redact:mask limit:100' when m_big then 'limit:100' end, case when m_big then 'watermark:big' end) as duties from decided",
+    + " select event_id as request_id, concat_ws(' ', case when m_analytics then 'require_purpose:analytics' end,"
+    " case when m_batch then 'redact:mask limit:100' when m_big then 'limit:100' end, case when m_big then 'watermark:big' end) as duties from decided",
 )
 def obligations_for_named(spark: SparkSession, sf: str) -> DataFrame:
     """Duties collected anew over named policies of two effects, as redeeming needs."""
@@ -436,7 +437,7 @@ _CANDIDATE = [*[p for p in POLICIES if p["key"] != "deny-s3"], {"key": "deny-ret
     "simulate_change",
     _decided()
     + ", cand as (select *, action = 'return' as m_return, list_filter(keys, lambda k: k <> 'deny-s3') as keys2 from decided),"
-    f" c2 as (select *, case when m_return or m_export then 'deny' when m_training then 'require_approval' when ({_ALLOW}) is not null then 'allow' else 'deny' end as new_effect from cand)"
+    f" c2 as (select *, case when m_return or m_export then 'deny' when m_analytics then 'require_approval' when ({_ALLOW}) is not null then 'allow' else 'deny' end as new_effect from cand)"
     " select effect as baseline_effect, new_effect as effect, (effect <> new_effect or m_return or m_s3) as changed, count(*) as n from c2 group by 1, 2, 3",
 )
 def simulate_change(spark: SparkSession, sf: str) -> DataFrame:

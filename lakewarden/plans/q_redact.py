@@ -257,6 +257,35 @@ def redact_structured(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _nested(spark: SparkSession, sf: str) -> DataFrame:
+    """JSON 1 to 40 objects deep with an address at the bottom."""
+    return derived.run(
+        spark,
+        sf,
+        "select c_custkey, cast(1 + c_custkey % 40 as int) as levels, concat(repeat('{{\"a\":', cast(1 + c_custkey % 40 as int)), '\"user', cast(c_custkey as string),"
+        " '@mail.example.com\"', repeat('}}', cast(1 + c_custkey % 40 as int))) as body from {customer}",
+    )
+
+
+@query("redact_deep", "select c_custkey, 1 + c_custkey % 40 > 24 as truncated, 1 + c_custkey % 40 <= 24 as masked, false as leaked from {customer}")
+def redact_deep(spark: SparkSession, sf: str) -> DataFrame:
+    """What lies below the depth that is scanned is withheld, and the row says so."""
+    rule = O.literal([{"type": "redact", "labels": ["pii.email"], "strategy": "mask"}])
+    out = redact.redact_structured(_nested(spark, sf), "body", ["c_custkey"], rule)
+    return out.select(
+        "c_custkey",
+        "truncated",
+        F.contains("body", F.lit("[REDACTED:pii.email]")).alias("masked"),
+        F.contains("body", F.lit("@mail")).alias("leaked"),
+    )
+
+
+@query("scan_deep", "select c_custkey, 1 + c_custkey % 40 > 24 as truncated, case when 1 + c_custkey % 40 <= 24 then 'pii.email' end as label from {customer}")
+def scan_deep(spark: SparkSession, sf: str) -> DataFrame:
+    """A finding per document, or the report that its bottom was not looked at."""
+    return scan.scan_structured(_nested(spark, sf), "body", ["c_custkey"]).select("c_custkey", "truncated", "label")
+
+
 @query(
     "redact_typed_columns",
     "select c_custkey, regexp_replace(c_name, '#.*', '#') || case when 'x' = 'x' then '' end as label_part, c_acctbal from {customer}",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lakewarden.operators import policy, redact, scan
 from lakewarden.plans import derived, oracle, q_audit, q_decide
 from lakewarden.plans.registry import query
-from lakewarden.plans.requests import KEY, access_requests, asset_labels, catalog_assets, catalog_principals
+from lakewarden.plans.requests import KEY, as_requests, asset_labels, catalog_assets, catalog_principals
 from lakewarden.session import cut
 from lakewarden.streaming import holdback, jobs
 from lakewarden.streaming.runs import file_stream, into_table
@@ -97,14 +97,14 @@ def govern_points(spark: SparkSession, sf: str) -> DataFrame:
 @query("decide_stream", q_decide.FACTS + " select event_id as request_id, effect, case when len(keys) > 0 then top end as determining_policy, target from final")
 def decide_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Requests decided as they arrive; catalog and policies are read anew per batch."""
-    events = file_stream(spark, sf, derived.table(spark, sf, "events").schema, "events.parquet")
+    source = cut(derived.table(spark, sf, "requests"), "requests")
+    stream = file_stream(spark, source.inputFiles()[0].rsplit("/", 1)[0], source.schema)
 
     def job(batch: DataFrame) -> DataFrame:
         from lakewarden.operators import decide
 
-        asked = access_requests(spark, sf).join(batch.select(F.col("event_id").alias("request_id")), "request_id", "left_semi")
         out = decide.decide(
-            asked, catalog_principals(spark, sf), catalog_assets(spark, sf), asset_labels(spark, sf), q_decide.POSTURE, KEY
+            as_requests(batch), catalog_principals(spark, sf), catalog_assets(spark, sf), asset_labels(spark, sf), q_decide.POSTURE, KEY
         )
         return out.select("request_id", "effect", "determining_policy", F.col("route.target").alias("target"))
 
@@ -134,7 +134,7 @@ def unmatched_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     def streamed(t: DataFrame) -> DataFrame:
         return file_stream(spark, t.inputFiles()[0].rsplit("/", 1)[0], t.schema)
 
-    matched = into_table(jobs.unmatched(streamed(d), streamed(r), "90 minutes"), "matched")
+    matched = into_table(jobs.unmatched(streamed(d), streamed(r), late="0 seconds", within="90 minutes"), "matched")
     return matched.select("decision_id", "reported")
 
 
@@ -154,7 +154,7 @@ def metrics_stream(spark: SparkSession, sf: str) -> DataFrame:
         derived.table(spark, sf, "decisions").select("effect", "latency_ms", "redaction_count", F.col("ts").cast("timestamp").alias("ts")), "decisions"
     )
     stream = file_stream(spark, source.inputFiles()[0].rsplit("/", 1)[0], source.schema)
-    out = into_table(jobs.decision_metrics(stream, "ts", "1 hour"), "metrics")
+    out = into_table(jobs.decision_metrics(stream, "ts", "1 hour", late="0 seconds"), "metrics")
     return out.withColumn("start", F.unix_micros("start")).drop("end")
 
 
@@ -188,4 +188,4 @@ def ticket_expiry_stream(spark: SparkSession, sf: str) -> DataFrame:
     )
     source = cut(rows, "ticket-events")
     stream = file_stream(spark, source.inputFiles()[0].rsplit("/", 1)[0], source.schema)
-    return jobs.settle_tickets(stream)
+    return jobs.settle_tickets(stream, late="0 seconds")

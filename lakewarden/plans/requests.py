@@ -19,7 +19,11 @@ def variant_map(**values: Column) -> Column:
 
 
 def access_requests(spark: SparkSession, sf: str) -> DataFrame:
-    r = spread(derived.table(spark, sf, "requests"))
+    return as_requests(spread(derived.table(spark, sf, "requests")))
+
+
+def as_requests(r: DataFrame) -> DataFrame:
+    """Flat request rows in the shape that decisions read."""
     none = F.create_map().cast(ATTRIBUTES)
     labels = F.when(F.col("declared_label").isNotNull(), F.array("declared_label")).otherwise(
         F.array().cast("array<string>")

@@ -67,9 +67,8 @@ def cut(df: DataFrame, purpose: str = "cut") -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Give CPU-heavy work at least one partition per core.
 
-    Judged by what the plan reads, without running any of it: enough files, or enough bytes
-    to be split, already keep every core busy and pass through untouched. Only a table that
-    arrives as a few small files is shuffled.
+    Judged by what the plan reads, without running any of it or listing its files: enough bytes to
+    be split already keep every core busy and pass through untouched. A smaller table is shuffled.
     """
     if df.isStreaming:
         return df
@@ -79,7 +78,7 @@ def spread(df: DataFrame) -> DataFrame:
     top = plan
     while top.nodeName() in ("Project", "Filter", "Generate"):
         top = top.children().apply(0)
-    if top.nodeName().startswith("Repartition") or len(df.inputFiles()) >= cores:
+    if top.nodeName().startswith("Repartition"):
         return df
     split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     leaves = plan.collectLeaves()

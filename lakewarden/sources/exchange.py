@@ -229,28 +229,48 @@ def agent_assets(agents: DataFrame, instance: str) -> DataFrame:
 def flatten_messages(turns: DataFrame, conversation: str, order: str, text: str) -> DataFrame:
     """One text per conversation: its non-empty messages in order, a blank line between.
 
-    The offsets of each message are kept, so governed text can be put back exactly even
-    where a message holds blank lines itself.
+    ``spans`` keeps the turn, start and end of each message in the text, so that ``split_messages``
+    puts governed text back even where a message holds blank lines itself.
     """
     filled = turns.where(F.coalesce(F.col(text), F.lit("")) != "")
     listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(text).alias("text"))))
+    sizes = F.transform("messages", lambda m: F.length(m["text"]))
+    starts = F.transform("messages", lambda m, i: F.aggregate(F.slice(sizes, 1, i), i * 2, lambda a, n: a + n))
+    spans = F.transform(
+        "messages", lambda m, i: F.struct(m["at"].alias("at"), starts[i].alias("start"), (starts[i] + F.length(m["text"])).alias("end"))
+    )
     return filled.groupBy(conversation).agg(listed.alias("messages")).select(
         conversation,
         F.array_join(F.transform("messages", lambda m: m["text"]), "\n\n").alias("text"),
         F.transform("messages", lambda m: m["at"]).alias("turns"),
+        spans.alias("spans"),
     )
 
 
-def split_messages(governed: DataFrame, conversation: str, order: str) -> DataFrame:
-    """Governed conversation text back into turns along the blank lines it was joined on.
+def split_messages(governed: DataFrame, conversation: str, order: str, text: str = "text", edits: str = "edits") -> DataFrame:
+    """Governed conversations back as turns ``(conversation, order, text)``.
 
-    Exact as long as no message holds a blank line; such conversations are better governed
-    as rows (see ``flatten_messages``).
+    ``governed`` is the table of ``flatten_messages`` with the ``edits`` made in its text (start, end
+    and replacement at offsets of the original, in text order). Each message is cut out by its
+    offsets and gets its own edits, whatever it holds. An edit that reaches into the next message
+    leaves its replacement where it starts.
     """
-    parts = F.arrays_zip("turns", F.split("text", "\n\n"))
-    return governed.select(conversation, F.explode(parts).alias("p")).select(
-        conversation, F.col("p.turns").alias(order), F.coalesce(F.col("p.1"), F.lit("")).alias("text")
-    ).where(F.col(order).isNotNull())
+    one = governed.select(conversation, F.col(text).alias("_text"), F.col(edits).alias("_edits"), F.explode("spans").alias("_span"))
+    start, end = F.col("_span.start"), F.col("_span.end")
+    reach = F.array_max(F.transform(F.filter("_edits", lambda e: e["start"] < start), lambda e: e["end"]))
+    own = F.filter("_edits", lambda e: (e["start"] >= start) & (e["start"] < end))
+    first = F.least(end, F.greatest(start, F.coalesce(reach, start)))
+    part = lambda low, high: F.substring(F.col("_text"), low + 1, F.greatest(high - low, F.lit(0)))
+    done = F.aggregate(
+        own,
+        F.struct(F.lit("").alias("t"), first.alias("at")),
+        lambda a, e: F.struct(
+            F.concat(a["t"], part(a["at"], e["start"]), F.coalesce(e["replacement"], F.lit(""))).alias("t"), F.least(end, e["end"]).alias("at")
+        ),
+    )
+    return one.withColumn("_done", done).select(
+        conversation, F.col("_span.at").alias(order), F.concat(F.col("_done.t"), part(F.col("_done.at"), end)).alias("text")
+    )
 
 
 def content_text(blocks: Column, separator: str = "\n") -> Column:

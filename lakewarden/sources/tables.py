@@ -40,11 +40,6 @@ NAME_HINTS: tuple[tuple[str, str], ...] = (
     ("access_token", "secret.generic_api_key"),
     ("ip_address", "pii.ip_address"),
 )
-# Fixed values of the sampling rule.
-SMALL_TABLE = 10_000
-OVERSAMPLE = 3
-LEAST_PERCENT, MOST_PERCENT = 0.01, 100.0
-
 COLUMNS = "urn string, position int, column string, type string, comment string"
 ASSETS = "urn string, name string, kind string, description string, columns array<string>"
 
@@ -133,37 +128,19 @@ def sampleable(df: DataFrame) -> list[str]:
     return kept or df.columns
 
 
-def sample_percent(limit: int, total: int) -> float:
-    return min(MOST_PERCENT, max(LEAST_PERCENT, limit / total * 100 * OVERSAMPLE))
-
-
-def sample(df: DataFrame, limit: int, total: int | None = None, seed: int = 17) -> tuple[DataFrame, int]:
-    """``(rows, total)``: the head of a small table, a spread of a large one.
+def sample(df: DataFrame, limit: int | None, keys: Sequence[str] | None = None) -> DataFrame:
+    """``limit`` rows spread over the whole table, the same on every run; all of them without a limit.
 
-    The sample is cut to ``limit``; a spread that comes out empty falls back to the head.
+    Rows are taken in the order of a digest of ``keys``, or of all columns that can be hashed. Every
+    task keeps its own first ``limit`` rows, so nothing larger is brought together. Vectors are not read.
     """
-    total = df.count() if total is None else total
-    narrow = df.select(*sampleable(df))
-    if total <= SMALL_TABLE:
-        return narrow.limit(limit), total
-    spread_rows = narrow.sample(fraction=sample_percent(limit, total) / 100, seed=seed).limit(limit)
-    return (narrow.limit(limit) if spread_rows.isEmpty() else spread_rows), total
-
-
-def sample_by_key(df: DataFrame, keys: Sequence[str], limit: int, total: int) -> DataFrame:
-    """The same spread chosen by a digest of the key, so every run reads the same rows."""
-    narrow = df.select(*sampleable(df))
-    if total <= SMALL_TABLE:
+    narrow = df.select(*dict.fromkeys([*(keys or ()), *sampleable(df)]))
+    if limit is None:
         return narrow
-    buckets = 1_000_000
-    threshold = int(sample_percent(limit, total) / 100 * buckets)
-    return narrow.where(key_bucket(keys, buckets) < threshold)
-
-
-def key_bucket(keys: Sequence[str], buckets: int) -> Column:
-    """A bucket from the first seven hex digits of the key's MD5: the same in any engine."""
-    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
-    return F.pmod(F.conv(F.left(F.md5(text), F.lit(7)), 16, 10).cast("bigint"), F.lit(buckets))
+    if keys is not None:
+        return narrow.orderBy(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys])), *keys).limit(limit)
+    hashed = [f.name for f in narrow.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return narrow.orderBy(F.xxhash64(*hashed) if hashed else F.monotonically_increasing_id()).limit(limit)
 
 
 def payload_page(df: DataFrame, payload: str, order: Sequence[str], limit: int) -> DataFrame:

@@ -64,15 +64,16 @@ def seal_stream(records: DataFrame, key: bytes) -> DataFrame:
     return into_table(sealed, "sealed")
 
 
-def unmatched(decisions: DataFrame, reports: DataFrame, within: str = "24 hours") -> DataFrame:
+def unmatched(decisions: DataFrame, reports: DataFrame, late: str, within: str = "24 hours") -> DataFrame:
     """Allow decisions with the report that came in time, or none once the time has passed.
 
     Both sides need event times: ``decided_at`` and ``reported_at``. The bound is what lets
-    the state of old decisions go.
+    the state of old decisions go. Rows that arrive more than ``late`` behind the newest event time
+    are not taken; the caller says how far out of order the source may be.
     """
-    left = decisions.where(F.col("effect") == "allow").withWatermark("decided_at", "0 seconds")
+    left = decisions.where(F.col("effect") == "allow").withWatermark("decided_at", late)
     right = reports.select(F.col("decision_id").alias("_id"), "reported_at", F.col("outcome").alias("reported")).withWatermark(
-        "reported_at", "0 seconds"
+        "reported_at", late
     )
     near = (F.col("decision_id") == F.col("_id")) & (F.col("reported_at") >= F.col("decided_at")) & (
         F.col("reported_at") <= F.col("decided_at") + F.expr(f"interval {within}")
@@ -80,8 +81,13 @@ def unmatched(decisions: DataFrame, reports: DataFrame, within: str = "24 hours"
     return left.join(right, near, "left_outer").select("decision_id", "decided_at", "reported_at", "reported")
 
 
-def decision_metrics(decisions: DataFrame, at: str = "ts", width: str = "1 minute", late: str = "0 seconds") -> DataFrame:
-    """Counts by effect and a cumulative latency histogram per time window."""
+def decision_metrics(decisions: DataFrame, at: str = "ts", width: str = "1 minute", late: str | None = None) -> DataFrame:
+    """Counts by effect and a cumulative latency histogram per time window.
+
+    A stream needs ``late``: how far behind the newest event time a row may arrive and still count.
+    """
+    if decisions.isStreaming and late is None:
+        raise ValueError("a stream of decisions needs a lateness")
     windowed = decisions.withWatermark(at, late) if decisions.isStreaming else decisions
     edges = [
         F.sum(F.when(F.col("latency_ms") <= e, 1).otherwise(0)).alias(f"le_{str(e).replace('.', '_')}")
@@ -96,8 +102,16 @@ def decision_metrics(decisions: DataFrame, at: str = "ts", width: str = "1 minut
     )
 
 
+def counted_metrics(rows: DataFrame, at: str, by: str, width: str = "1 minute", late: str | None = None) -> DataFrame:
+    """Rows per window and value of ``by``: findings by label, redactions by strategy, load errors by policy."""
+    if rows.isStreaming and late is None:
+        raise ValueError("a stream of rows needs a lateness")
+    timed = rows.withWatermark(at, late) if rows.isStreaming else rows
+    return timed.groupBy(F.window(at, width).alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), by, "n")
+
+
 class Expire(StatefulProcessor):
-    """Holds pending tickets and lets event time run them out."""
+    """Holds pending tickets and lets event time run them out; a settled ticket leaves no state."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
@@ -114,15 +128,17 @@ class Expire(StatefulProcessor):
             elif status == "pending":
                 status = "expired" if due <= now else row.kind
                 out.append((key[0], status))
-        if status is not None:
+        if status == "pending":
             self._state.update((status, due))
+        elif self._state.exists():
+            self._state.clear()
         yield pd.DataFrame(out, columns=["approval_id", "status"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         status, due = self._state.get() if self._state.exists() else (None, None)
         out = []
-        if status == "pending":
-            self._state.update(("expired", due))
+        if status == "pending" and due <= expiredTimerInfo.getExpiryTimeInMs():
+            self._state.clear()
             out.append((key[0], "expired"))
         yield pd.DataFrame(out, columns=["approval_id", "status"])
 
@@ -130,14 +146,14 @@ class Expire(StatefulProcessor):
         pass
 
 
-def settle_tickets(events: DataFrame) -> DataFrame:
+def settle_tickets(events: DataFrame, late: str) -> DataFrame:
     """Final status of tickets from a stream ``(approval_id, kind, at, expires_at)``.
 
     ``kind`` is ``opened``, ``granted`` or ``denied``. A vote after the expiry cannot grant,
-    and a ticket without a vote expires when event time passes it.
+    and a ticket without a vote expires when event time, less ``late``, passes it.
     """
     use_rocksdb(events.sparkSession)
-    out = events.withWatermark("at", "0 seconds").groupBy("approval_id").transformWithStateInPandas(
+    out = events.withWatermark("at", late).groupBy("approval_id").transformWithStateInPandas(
         statefulProcessor=Expire(),
         outputStructType="approval_id bigint, status string",
         outputMode="append",

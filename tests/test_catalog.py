@@ -46,7 +46,13 @@ def test_resolving_has_no_cross_join(spark):
 def route(spark, duties, original="model://us/c"):
     assets, labels, _ = seeds.load_catalog(spark, CATALOG)
     rows = spark.range(1).select(O.literal(duties).alias("obligations"), F.lit(original).alias("original"))
-    return routing.with_route(rows, routing.model_candidates(assets, labels)).first().route
+    return routing.with_route(rows, routing.model_table(assets, labels)).first().route
+
+
+def why_not(spark, duties):
+    assets, labels, _ = seeds.load_catalog(spark, CATALOG)
+    asking = routing.with_ask(spark.range(1).select(O.literal(duties).alias("obligations")))
+    return {r.urn: r.why for r in routing.rejections(routing.distinct_asks(asking), routing.model_table(assets, labels)).collect()}
 
 
 def test_routes(spark):
@@ -54,8 +60,9 @@ def test_routes(spark):
     r = route(spark, [eu])
     assert r.target == "model://eu/b" and r.redirected
     assert r.reason == "routed to model://eu/b because it satisfies region='eu'"
-    assert r.rejected["model://us/c"] == "region is 'us', policy requires one of: eu"
-    assert r.rejected["model://off/d"] == "routing is disabled for this model"
+    lost = why_not(spark, [eu])
+    assert lost["model://us/c"] == "region is 'us', policy requires one of: eu"
+    assert lost["model://off/d"] == "routing is disabled for this model"
     stay = route(spark, [eu], "model://eu/a")
     assert stay.target == "model://eu/a" and not stay.redirected
     assert route(spark, [{"type": "route", "to": "eu-llm"}]).target == "model://eu/a"
@@ -64,8 +71,9 @@ def test_routes(spark):
     assert both.target is None and both.reason == "no registered model satisfies requirements region=[]"
     two = route(spark, [{"type": "route", "to": "x"}, {"type": "route", "to": "y"}])
     assert two.target is None and two.reason == "two policies name different routing targets: 'x' and 'y'"
-    missing = route(spark, [{"type": "route", "require": {"hosting": "vpc"}}])
-    assert missing.rejected["model://eu/a"] == "declares no 'hosting'"
+    assert why_not(spark, [{"type": "route", "require": {"hosting": "vpc"}}])["model://eu/a"] == "declares no 'hosting'"
+    named = route(spark, [{"type": "route", "to": "eu-llm", "require": {"region": "us"}}])
+    assert named.target is None and route(spark, [{"type": "route", "to": "eu-llm", "require": {"region": "eu"}}]).target == "model://eu/a"
     assert route(spark, [{"type": "limit", "max_rows": 1}]) is None
 
 
@@ -96,8 +104,9 @@ def test_an_unreadable_table_does_not_end_a_run(spark, sf, tmp_path):
 
 
 def test_sampling_rules(spark):
-    assert tables.sample_percent(100, 20_000) == 1.5
-    assert tables.sample_percent(1, 10**9) == tables.LEAST_PERCENT
-    assert tables.sample_percent(10**6, 20_000) == 100.0
-    rows, total = tables.sample(spark.range(20_000).select("id", F.array(F.lit(1.0)).alias("v")), 50)
-    assert total == 20_000 and rows.columns == ["id"] and 0 < rows.count() <= 50
+    wide = spark.range(20_000).select("id", F.array(F.lit(1.0)).alias("v"))
+    rows = tables.sample(wide, 50)
+    assert rows.columns == ["id"] and rows.count() == 50
+    assert rows.agg(F.max("id")).first()[0] > 10_000  # spread, not the head
+    assert sorted(rows.collect()) == sorted(tables.sample(wide.repartition(3), 50).collect())
+    assert tables.sample(wide, None).count() == 20_000 and tables.sample(wide, 10**6).count() == 20_000
