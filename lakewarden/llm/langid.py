@@ -24,52 +24,60 @@ from pyspark.sql.window import Window
 
 UNDETERMINED = "und"
 #: Bounds of the labelled sample: rows per language, and letters and blanks of each language's automaton.
-SAMPLE_ROWS, SAMPLE_CHARS = 64, 60_000
+SAMPLE_ROWS, SAMPLE_CHARS = 64, 40_000
 #: Words remembered per worker.
-_REMEMBERED = 400_000
+_REMEMBERED = 150_000
 _WORDS = re.compile(r"[^\W\d_]+")
 _DIGIT = 40
 
 
 class SuffixAutomaton:
-    """All substrings of a text; built in time proportional to it."""
+    """All substrings of a text; built in time proportional to it.
+
+    Steps stand in one table, from (state, letter) to state, which takes a fraction of the memory
+    that a table per state does.
+    """
 
     def __init__(self, text: str) -> None:
-        self.step: list[dict[str, int]] = [{}]
+        self.codes = {c: i for i, c in enumerate(sorted(set(text)))}
+        self.width = max(len(self.codes), 1)
+        below: list[dict[int, int]] = [{}]
         link, length, last = [-1], [0], 0
-        for c in text:
-            new = len(self.step)
-            self.step.append({})
+        for c in map(self.codes.__getitem__, text):
+            new = len(below)
+            below.append({})
             link.append(0)
             length.append(length[last] + 1)
             p = last
-            while p >= 0 and c not in self.step[p]:
-                self.step[p][c] = new
+            while p >= 0 and c not in below[p]:
+                below[p][c] = new
                 p = link[p]
             if p >= 0:
-                q = self.step[p][c]
+                q = below[p][c]
                 if length[q] == length[p] + 1:
                     link[new] = q
                 else:
-                    twin = len(self.step)
-                    self.step.append(dict(self.step[q]))
+                    twin = len(below)
+                    below.append(dict(below[q]))
                     link.append(link[q])
                     length.append(length[p] + 1)
-                    while p >= 0 and self.step[p].get(c) == q:
-                        self.step[p][c] = twin
+                    while p >= 0 and below[p].get(c) == q:
+                        below[p][c] = twin
                         p = link[p]
                     link[q] = link[new] = twin
             last = new
+        self.step = {state * self.width + c: to for state, steps in enumerate(below) for c, to in steps.items()}
 
     def phrases(self, text: str) -> int:
         """Longest matches, one after the other, that ``text`` takes; a letter never seen is one of its own."""
-        step, state, count = self.step, 0, 1
+        step, codes, width, state, count = self.step, self.codes, self.width, 0, 1
         for c in text:
-            to = step[state].get(c)
+            code = codes.get(c)
+            to = None if code is None else step.get(state * width + code)
             if to is None:
                 if state:
                     count += 1
-                    to = step[0].get(c)
+                    to = None if code is None else step.get(code)
                 if to is None:
                     to = 0
                     count += 1
