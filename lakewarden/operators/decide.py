@@ -156,9 +156,13 @@ def guard_tokens(df: DataFrame) -> DataFrame:
     )
 
 
-def apply_routes(df: DataFrame, models: DataFrame) -> DataFrame:
-    """Resolve route duties over all ``models``; a route nothing satisfies turns the decision into a deny."""
-    step = routing.with_route(df.withColumn("original", F.col("resource.urn")), models)
+def apply_routes(df: DataFrame, models: DataFrame, policies: Iterable[Mapping[str, Any]] = ()) -> DataFrame:
+    """Resolve route duties over all ``models``; a route nothing satisfies turns the decision into a deny.
+
+    ``policies`` are those that were evaluated, if the caller has them at hand.
+    """
+    routes = [o for p in policy.ordered(policies) for o in p.get("obligations") or [] if o["type"] == "route"]
+    step = routing.with_route(df.withColumn("original", F.col("resource.urn")), models, routes=routes)
     live = (F.col("effect") != policy.DENY) & F.col("route").isNotNull()
     stuck = live & F.col("route.target").isNull()
     resolved = F.transform(
@@ -263,7 +267,7 @@ def finish(
     if not token_key and "tokenize" in asked:
         step = guard_tokens(step)
     if any(o["type"] == "route" for o in duties):
-        step = apply_routes(step, routing.model_table(assets, labels))
+        step = apply_routes(step, routing.model_table(assets, labels), policies)
     else:
         step = step.withColumn("route", F.lit(None).cast("struct<target:string>"))
     allowed = (F.col("effect") == policy.ALLOW) & F.lit(apply_obligations)

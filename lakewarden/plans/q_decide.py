@@ -84,16 +84,16 @@ facts as (
     coalesce(pl.labels, []) as fnd, coalesce(pl.n, 0) as n_found,
     coalesce(rk.kind, case split_part(r.urn, '://', 1) when 'pg' then 'table' when 's3' then 'object_store' when 'model' then 'model' when 'mcp' then 'tool' end) as kind
   from {{requests}} r left join {{principals}} p on p.external_id = r.principal_id left join rl using (urn) left join rk using (urn) left join pl on pl.id = md5(payload)),
-every as (select *, list_distinct(list_concat(res, fnd)) as both from facts),
+mixtures as (select *, list_distinct(list_concat(res, fnd)) as mixed from facts),
 m as (select *,
   value > 120 and coalesce(destination = 'external', false) as m_large,
   urn like 's3://promo/%7' or ({_has('fnd', 'secret.jwt', 'pci.iban')} and principal_type <> 'user') as m_sealed,
-  len(both) >= 4 as m_wide,
+  len(mixed) >= 4 as m_wide,
   starts_with(action, 'exp') and purpose is null as m_export,
   action = 'infer' and value < 60 as m_us,
   action = 'return' and not starts_with(urn, 'mcp://') as m_answer,
   coalesce(purpose in ('support', 'analytics'), false) and not coalesce(tier = 'untrusted', false) as m_desk,
-  action in ('read', 'search') and len(fnd) = 0 and not ({_has('both', 'phi')}) as m_quiet from every),
+  action in ('read', 'search') and len(fnd) = 0 and not ({_has('mixed', 'phi')}) as m_quiet from mixtures),
 keyed as (select *, list_filter([case when m_large then 'large-sums-inside' end, case when m_sealed then 'sealed-shelves' end,
   case when m_wide then 'wide-mixtures' end, case when m_export then 'unexplained-exports' end, case when m_us then 'small-us-models' end,
   case when m_answer then 'answers-out' end, case when m_desk then 'desk-work' end, case when m_quiet then 'quiet-reads' end], lambda k: k is not null) as keys from m),
