@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from lakewarden.session import cut
 
 
+#: Edges per written file.
+EDGES = 250_000
+
+
 def unused(name: str, columns: list[str]) -> str:
     """``name``, made longer until no column is called so."""
     taken = {c.lower() for c in columns}
@@ -38,5 +42,6 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = cut(small.union(low).distinct(), "edges")
+        # Few edges need few files: every file costs executors a process to set its mode.
+        stars = cut(small.union(low).distinct().coalesce(-(-count // EDGES)), "edges")
     return stars.select(F.col("u").alias("id"), F.col("v").alias("component")).union(stars.select("v", "v").distinct())
