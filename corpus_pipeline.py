@@ -49,6 +49,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with pseudonyms in the place of validated personal data."""
+    common.bounded_batches(spark)
     return _with_text(docs, pii.pseudonyms(PII_KEY)("text")["text"], docs.columns)
 
 

@@ -20,6 +20,8 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakewarden.llm import common
+
 RANKS = "byte_bpe_multi_50k.tiktoken"
 PART = 1 << 16
 _SAFE = regex.compile(r"(?<=\S) (?=\S)")
@@ -98,6 +100,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
+    common.bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"

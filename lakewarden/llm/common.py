@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewarden.session import cut
@@ -12,6 +12,17 @@ from lakewarden.session import cut
 EDGES = 250_000
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand texts to Python a thousand at a time unless the session asks for another number.
+
+    Spark's own ten thousand rows of some kilobytes are copied several times on their way, on heap,
+    off heap and in Python, for every task at once.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 def unused(name: str, columns: list[str]) -> str:
     """``name``, made longer until no column is called so."""
     taken = {c.lower() for c in columns}

@@ -22,11 +22,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lakewarden.llm import common
+
 UNDETERMINED = "und"
 #: Bounds of the labelled sample: rows per language, and letters and blanks of each language's automaton.
 SAMPLE_ROWS, SAMPLE_CHARS = 64, 40_000
-#: Words remembered per worker.
-_REMEMBERED = 150_000
+#: Words remembered per worker, in each of two generations.
+_REMEMBERED = 100_000
 _WORDS = re.compile(r"[^\W\d_]+")
 _DIGIT = 40
 
@@ -92,12 +94,17 @@ class _Parsed(dict):
         self.langs = sorted(texts)
         self.automata = [SuffixAutomaton(texts[x]) for x in self.langs]
         self.bits = [math.log2(max(len(texts[x]), 2)) for x in self.langs]
+        self.older: dict[str, int] = {}
 
     def __missing__(self, word: str) -> int:
         if len(self) >= _REMEMBERED:
+            # Words in use come back from the older generation; the others go with it.
+            self.older = dict(self)
             self.clear()
-        spaced = f" {word} "
-        found = sum(a.phrases(spaced) << (_DIGIT * i) for i, a in enumerate(self.automata))
+        found = self.older.get(word)
+        if found is None:
+            spaced = f" {word} "
+            found = sum(a.phrases(spaced) << (_DIGIT * i) for i, a in enumerate(self.automata))
         self[word] = found
         return found
 
@@ -160,6 +167,7 @@ def hash_order(value: object) -> int:
 
 def predictor(spark: SparkSession, model: tuple[tuple[str, str], ...]):
     """A function from a text column to a column ``struct<lang, score>``; null texts and texts without a letter are ``und``."""
+    common.bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # languages times SAMPLE_CHARS at most
 
     @F.arrow_udf("struct<lang: string, score: double>")

@@ -207,6 +207,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows with one id are one vertex, linked by whatever either text is linked with; a row without an
     id is nobody's duplicate, has a null component and is kept. Other columns of ``docs`` are ignored.
     """
+    common.bounded_batches(docs.sparkSession)
     run, schema = _sketched(n)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketches = cut(texts.mapInArrow(run, schema), "sketches")

@@ -27,7 +27,7 @@ import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm import bpe
+from lakewarden.llm import bpe, common
 from lakewarden.session import cut
 
 LENGTH, END_ID, GROUP = 1024, 2, 40_000
@@ -151,6 +151,7 @@ def pack(
     Pieces fill their sequences from 0 without gaps. A null or empty text is its end id alone.
     Repeated rows are packed as often as they come. ``group`` bounds the pieces that one task packs.
     """
+    common.bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakewarden.llm import common
+
 ROUNDS = 8
 
 
@@ -295,5 +297,6 @@ def pseudonyms(key: bytes):
 
 def pseudonymize(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, text, n_replaced, kinds)``, one row for each row of ``docs``; ``kinds`` lists ``kind:count`` pairs."""
+    common.bounded_batches(docs.sparkSession)
     found = pseudonyms(key)(text_col)
     return docs.select(F.col(id_col).alias("doc_id"), found.alias("p")).select("doc_id", "p.text", "p.n_replaced", "p.kinds")

@@ -111,6 +111,7 @@ def with_spans(docs: DataFrame, into: str, id_col: str = "doc_id", text_col: str
     """
     text, ident = F.col(text_col), F.col(id_col).cast("long")
     texts = docs.select(ident.alias("id"), F.xxhash64(text).alias("version"), text.alias("text")).where("id is not null and text is not null")
+    common.bounded_batches(docs.sparkSession)
     run, schema = _path_rows(window, mark)
     paths = texts.mapInArrow(run, schema)
     # Written, so that both sides of the join are dealt anew and a very common mark can be split.
