@@ -167,6 +167,16 @@ def decision_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.decision_metrics(rows).withColumn("start", F.unix_micros("start")).drop("end")
 
 
+@query(
+    "label_metrics",
+    "select epoch_us(date_trunc('hour', ts)) as start, label, count(*) as n from (select ts, unnest(string_split(labels_text, ',')) as label from {decisions}) t where label <> '' group by 1, 2",
+)
+def label_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings by label and hour; redactions by strategy and load errors by policy count the same way."""
+    rows = derived.table(spark, sf, "decisions").select(F.col("ts").cast("timestamp").alias("ts"), F.explode(F.split("labels_text", ",")).alias("label"))
+    return jobs.counted_metrics(rows.where("label <> ''"), "ts", "label", "1 hour").withColumn("start", F.unix_micros("start"))
+
+
 @query(
     "ticket_expiry_stream",
     "with v as (select event_id as approval_id, event_id % 3 as k, ts, ts + interval '24' hour as due, ts + case when event_id % 3 = 0 then interval '30' hour else interval '2' hour end as voted from {events} where event_type = 'signup'),"

@@ -10,7 +10,7 @@ from lakewarden.operators import audit
 from lakewarden.plans.q_stream import govern
 from lakewarden.session import fresh_path
 from lakewarden.streaming import holdback, jobs
-from lakewarden.streaming.runs import file_stream
+from lakewarden.streaming.runs import file_stream, into_table
 
 KEY = b"stream key"
 
@@ -83,3 +83,17 @@ def test_sealing_over_batches_equals_one_batch(spark):
     key = ["stream", "seq", "record_hash"]
     assert sorted(sealed.select(key).collect()) == sorted(whole.select(key).collect())
     assert all(r.valid for r in audit.verify(sealed, KEY).collect())
+
+
+def test_rows_out_of_order_count_within_the_lateness(spark):
+    base = datetime(2024, 1, 1, 10, tzinfo=timezone.utc)
+    folder = fresh_path(spark, "late-in")
+    for minutes in (90, 30, 600):
+        row = [(base + timedelta(minutes=minutes), "allow", 1.0, 0)]
+        spark.createDataFrame(row, "ts timestamp, effect string, latency_ms double, redaction_count bigint").coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(1.1)
+    schema = spark.read.parquet(folder).schema
+    stream = file_stream(spark, folder, schema, per_batch=1)
+    assert into_table(jobs.decision_metrics(stream, "ts", "1 hour", late="2 hours"), "late").count() == 2
+    with pytest.raises(ValueError, match="lateness"):
+        jobs.decision_metrics(file_stream(spark, folder, schema))
