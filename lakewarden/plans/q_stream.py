@@ -108,7 +108,7 @@ def decide_stream(spark: SparkSession, sf: str) -> DataFrame:
         )
         return out.select("request_id", "effect", "determining_policy", F.col("route.target").alias("target"))
 
-    return jobs.decide_stream(events, job)
+    return jobs.decide_stream(stream, job)
 
 
 @query("seal_stream", q_audit._chain_sql() + " select stream, seq, subject, record_hash from chain")
