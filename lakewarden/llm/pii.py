@@ -103,6 +103,18 @@ def phone(f: Feistel, text: str) -> str | None:
     return _refill(text, d[:-10] + str(f.walk(int(national), 10**10, b"phone", plan)).zfill(10))
 
 
+def abroad(f: Feistel, text: str) -> str | None:
+    """A number with a country code: 8 to 15 digits, of which the first group stays."""
+    d = _digits(text)
+    if not 8 <= len(d) <= 15:
+        return None
+    kept = min(len(re.match(r"\+(\d+)", text).group(1)), 2)
+    rest = d[kept:]
+    # A significant number starts with another digit than zero and keeps doing so.
+    fits = lambda v: (str(v).zfill(len(rest))[0] == "0") == (rest[0] == "0")
+    return _refill(text, d[:kept] + str(f.walk(int(rest), 10 ** len(rest), b"abroad%d" % len(rest) + d[:kept].encode(), fits)).zfill(len(rest)))
+
+
 def ssn(f: Feistel, text: str) -> str | None:
     d = _digits(text)
 
@@ -216,6 +228,7 @@ KINDS: dict[str, tuple[str, Callable[[Feistel, str], str | None]]] = {
     "card": (r"(?<!\d)(?<!\d[ -])\d{4}(?:[ -]?\d{2,7}){2,4}(?![ -]?\d)", card),
     "ssn": (r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", ssn),
     "phone": (r"(?<![\d.])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)", phone),
+    "abroad": (r"(?<![\w)])\+\d{1,3}(?:[ .-]?\(?\d{1,5}\)?){2,6}(?!\d)", abroad),
 }
 _KIND = {kind: re.compile(pattern, re.ASCII) for kind, (pattern, _) in KINDS.items()}
 #: Every value holds one of these, and is looked for around it only.
@@ -245,6 +258,8 @@ def _tries(text: str, sign: int, since: int) -> Iterator[tuple[str, int]]:
             yield "iban", sign - 2
         if sign - 1 >= since and text[sign - 1] in "+(":
             yield "phone", sign - 1
+            if text[sign - 1] == "+":
+                yield "abroad", sign - 1
         if sign - 1 >= since and text[sign - 1] == "(" and sign - 3 >= since and text[sign - 3] == "1":
             yield "phone", sign - 3
         for kind in ("date", "ipv4", "card", "ssn", "phone"):

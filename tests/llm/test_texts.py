@@ -217,6 +217,8 @@ def test_pseudonyms_keep_format_and_links():
     assert pii.luhn(re.sub(r"\D", "", new.split(",")[0]))
     assert pii.rewrite(f"again: {text}", b"key")[0] == f"again: {new}"
     assert pii.rewrite(text, b"other")[0] != new
+    far, kinds = pii.rewrite("at +49 30 1234567 and +33 1 23 45 67 89", b"key")
+    assert kinds == {"abroad": 2} and re.sub(r"\d", "0", far) == "at +00 00 0000000 and +00 0 00 00 00 00" and far.startswith("at +49 ")
     for plain in ("4111 1111 1111 1112", "2021-13-44", "999.1.1.1", "version 1.2.3", "12 34 56"):
         assert pii.rewrite(plain, b"key") == (plain, {})
 
