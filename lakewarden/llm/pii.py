@@ -5,7 +5,8 @@ remainder, a date the calendar, a telephone or social security number its number
 value is replaced by a keyed permutation of its format: a Feistel network over the numbers of the
 format, walked on until the result is valid again. Equal values get equal pseudonyms in every
 document and on every run with the same key, different values of one format different ones, and
-separators stay where they were. Check digits are computed anew.
+separators stay where they were. Check digits are computed anew. Where a number or word follows a
+value like one more group of it, the shorter readings that end at a group are validated as well.
 
 Texts are rewritten row by row where they lie; no shuffle, and nothing is remembered between rows.
 """
@@ -225,7 +226,7 @@ KINDS: dict[str, tuple[str, Callable[[Feistel, str], str | None]]] = {
     # The two separators of a date are the same.
     "date": (r"(?<![\d./-])(?:\d{4}([-./])\d{1,2}\1\d{1,2}|\d{1,2}([-./])\d{1,2}\2\d{4})(?![\d/-]|\.\d)", date),
     "ipv4": (r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", ipv4),
-    "card": (r"(?<!\d)(?<!\d[ -])\d{4}(?:[ -]?\d{2,7}){2,4}(?![ -]?\d)", card),
+    "card": (r"(?<!\d)\d{4}(?:[ -]?\d{2,7}){2,4}(?!\d)", card),
     "ssn": (r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", ssn),
     "phone": (r"(?<![\d.])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)", phone),
     "abroad": (r"(?<![\w)])\+\d{1,3}(?:[ .-]?\(?\d{1,5}\)?){2,6}(?!\d)", abroad),
@@ -237,6 +238,26 @@ _RUN = re.compile(r"[A-Za-z0-9]*")
 _NAME = re.compile(r"[\w.+%-]{1,64}\Z", re.ASCII)
 _KEYWORD = re.compile(r"(?i:password|token|secret|passwd|api_key|apikey)\"? ?\Z")
 _OPENING = re.compile(r' ?["\']?')
+#: Kinds written in groups, which a neighbouring number or word may follow like one more group.
+_GROUPED = ("iban", "card", "phone", "abroad")
+_GROUP_END = re.compile(r"(?<=[A-Z0-9)])(?![A-Z0-9)])", re.ASCII)
+_GROUP_START = re.compile(r"(?<=[ .-])\d", re.ASCII)
+_IBAN_LENGTH = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+#: Beginnings and numbers of digits in which cards are issued.
+_ISSUED = re.compile(
+    r"4(?:\d{12}|\d{15}|\d{18})|5[1-5]\d{14}|2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720)\d{12}|3[47]\d{13}"
+    r"|3(?:0[0-5]|[689]\d)\d{11,16}|35\d{14,17}|6\d{15,18}",
+    re.ASCII,
+)
 
 
 def _tries(text: str, sign: int, since: int) -> Iterator[tuple[str, int]]:
@@ -266,6 +287,67 @@ def _tries(text: str, sign: int, since: int) -> Iterator[tuple[str, int]]:
             yield kind, sign
 
 
+def _likeness(text: str) -> tuple[bool, bool, int]:
+    """The order in which readings as a card are tried: one group first, then issued numbers, then longer ones."""
+    return not text.isdigit(), not _ISSUED.fullmatch(_digits(text)), -len(text)
+
+
+def _ends(kind: str, text: str, start: int, last: int) -> list[int]:
+    """Where a value may end that starts at ``start``: after any of its groups up to ``last``, in the order to try."""
+    ends = [m.start() for m in _GROUP_END.finditer(text, start, last) if m.start() < last and _KIND[kind].fullmatch(text, start, m.start())]
+    ends = [last, *reversed(ends)]
+    if kind == "iban":
+        return sorted(ends, key=lambda end: _IBAN_LENGTH.get(text[start : start + 2]) != len(text[start:end].replace(" ", "")))
+    return sorted(ends, key=lambda end: _likeness(text[start:end])) if kind == "card" else ends
+
+
+def _cards(f: Feistel, text: str, start: int) -> Iterator[tuple[int, str]]:
+    found = _KIND["card"].match(text, start)
+    for end in _ends("card", text, start, found.end()) if found else ():
+        new = card(f, text[start:end])
+        if new is not None:
+            yield end, new
+
+
+def _cut_by(f: Feistel, kind: str, text: str, start: int, end: int) -> str | None:
+    """The kind of a likelier value that starts inside ``start`` to ``end``; this reading must not take its beginning."""
+    own = _likeness(text[start:end])[:2]
+    for at in [m.start() for m in _GROUP_START.finditer(text, start + 1, end)]:
+        for to, _ in _cards(f, text, at):
+            if to > end if kind != "card" else to >= end and _likeness(text[at:to])[:2] < own:
+                return "card"
+        if kind == "card":
+            for other in ("date", "phone"):
+                found = _KIND[other].match(text, at)
+                if found and found.end() >= end and KINDS[other][1](f, found.group()) is not None:
+                    if found.end() > end:
+                        return other
+                    if own[1]:
+                        return "card"
+    return None
+
+
+def _read(f: Feistel, kind: str, text: str, start: int) -> tuple[int, str] | None:
+    """End and pseudonym of the value of this kind at ``start``; shorter readings are tried where a longer one is not valid."""
+    found = _KIND[kind].match(text, start)
+    if not found:
+        return None
+    if kind not in _GROUPED:
+        new = KINDS[kind][1](f, found.group())
+        return None if new is None else (found.end(), new)
+    spare = None
+    for end in _ends(kind, text, start, found.end()):
+        new = KINDS[kind][1](f, text[start:end])
+        if new is None:
+            continue
+        cut = None if kind == "iban" else _cut_by(f, kind, text, start, end)
+        if cut is None:
+            return end, new
+        if cut != "card" and spare is None:
+            spare = end, new
+    return spare
+
+
 @functools.lru_cache(maxsize=4)
 def _feistel(key: bytes) -> Feistel:
     return Feistel(key)
@@ -278,11 +360,10 @@ def rewrite(text: str, key: bytes) -> tuple[str, dict[str, int]]:
     while sign := _SIGN.search(text, at):
         at = sign.end()
         for kind, start in _tries(text, sign.start(), done):
-            found = _KIND[kind].match(text, start)
-            new = found and KINDS[kind][1](f, found.group())
-            if new is not None:
-                out += [text[done:start], new]
-                done = at = found.end()
+            found = _read(f, kind, text, start)
+            if found:
+                out += [text[done:start], found[1]]
+                done = at = found[0]
                 counts[kind] = counts.get(kind, 0) + 1
                 break
         else:

@@ -223,6 +223,43 @@ def test_pseudonyms_keep_format_and_links():
         assert pii.rewrite(plain, b"key") == (plain, {})
 
 
+@pytest.mark.parametrize(
+    ("value", "kind"),
+    [
+        ("4111111111111111", "card"),
+        ("4111 1111 1111 1111", "card"),
+        ("5500-0000-0000-0004", "card"),
+        ("3782 822463 10005", "card"),
+        ("GB82 WEST 1234 5698 7654 32", "iban"),
+        ("BE71 0961 2345 6769", "iban"),
+        ("ES91 2100 0418 4502 0005 1332", "iban"),
+        ("DE89370400440532013000", "iban"),
+        ("123-45-6789", "ssn"),
+        ("2021-03-04", "date"),
+        ("626-555-5759", "phone"),
+    ],
+)
+def test_pseudonyms_beside_numbers_and_capitals(value, kind):
+    alone, counts = pii.rewrite(value, b"key")
+    assert counts == {kind: 1}
+    for form in ("15 {}", "order 15 {} x", "{} 123", "{} 12/25", "{} 2025", "2025 {}", "{} EUR", "{} PAID", "USD {}", "7 {} 8 EUR"):
+        new, counts = pii.rewrite(form.format(value), b"key")
+        assert (new, counts) == (form.format(alone), {kind: 1})
+    for other, its in (("5500000000000004", "card"), ("2025-01-02", "date"), ("4000 0566 5566 5556", "card"), ("BE68 5390 0754 7034", "iban")):
+        said = pii.rewrite(other, b"key")[0]
+        for pair, want in ((f"{value} {other}", f"{alone} {said}"), (f"{other} {value}", f"{said} {alone}")):
+            new, counts = pii.rewrite(pair, b"key")
+            assert new == want and sum(counts.values()) == 2 and set(counts) == {kind, its}
+
+
+def test_pseudonyms_cut_no_card_beside_a_telephone_number():
+    card, far = "4111 1111 1111 1111", "+49 30 1234567"
+    said, there = pii.rewrite(card, b"key")[0], pii.rewrite(far, b"key")[0]
+    assert pii.rewrite(f"{far} {card}", b"key") == (f"{there} {said}", {"abroad": 1, "card": 1})
+    assert pii.rewrite(f"626 555 {card}", b"key") == (f"626 555 {said}", {"card": 1})
+    assert pii.rewrite(f"{far} 20251", b"key") == (f"{there} 20251", {"abroad": 1})
+
+
 def test_pseudonyms_odd_rows(odd_docs, no_docs):
     got = pii.pseudonymize(odd_docs, b"k").collect()
     want = sorted((str(r.doc_id), r.text or "") for r in odd_docs.collect())
