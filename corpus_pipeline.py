@@ -33,16 +33,26 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.where(found["lang"] != F.lit(langid.UNDETERMINED))
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs``, written with a number of its own for each row, and the number's column; ids may repeat or be null."""
+    number = common.unused("row_number", docs.columns)
+    return cut(docs.withColumn(number, F.monotonically_increasing_id()), "pipeline-numbered"), number
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one whose id names the group."""
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.hint("merge").join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each near-duplicate group: the first by id, those without an id last."""
+    rows, number = _numbered(docs)
+    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(number))
+    groups = minhash.near_duplicates(rows, number).select(F.col("doc_id").alias(number), F.col("component_id").alias("group"))
+    first = rows.select(number, place.alias("place")).join(groups, number).groupBy("group").agg(F.min("place").alias("place"))
+    return rows.hint("merge").join(first.select(F.col("place")[number].alias(number)), number, "left_semi").select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words that an earlier window covers; a text left without any word goes."""
-    spans = common.unused("spans", docs.columns)
-    found = substring.with_spans(docs, spans)
+    rows, number = _numbered(docs)
+    spans = common.unused("spans", rows.columns)
+    found = substring.with_spans(rows, spans, row_col=number)
     rest = _with_text(found, F.when(F.col(spans).isNull(), F.col("text")).otherwise(substring.kept_text("text", spans)), [*docs.columns, spans])
     return rest.where(F.col(spans).isNull() | (F.col("text") != "")).select(docs.columns)
 

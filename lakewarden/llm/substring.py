@@ -99,7 +99,9 @@ def _window_rows(window: int, mark: int):
     return run, schema
 
 
-def with_spans(docs: DataFrame, into: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, mark: int = MARK) -> DataFrame:
+def with_spans(
+    docs: DataFrame, into: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, mark: int = MARK, row_col: str | None = None
+) -> DataFrame:
     """``docs`` with a new column ``into``: the covered words of each row as sorted ``struct<first, end>`` spans, null where there are none.
 
     Words are parted by white space and compared as they are. A window counts as repeated if its
@@ -108,20 +110,28 @@ def with_spans(docs: DataFrame, into: str, id_col: str = "doc_id", text_col: str
     is left alone. Rows with the same id and text are one document and get the same spans; rows with
     the same id and different texts are told apart by a hash of the text, and a window that starts
     at the same word of both is repeated in neither.
+
+    With ``row_col``, a column of long numbers that no two rows share, every row is a document of its
+    own: rows come in the order of id and number, those without an id last.
     """
     text, ident = F.col(text_col), F.col(id_col).cast("long")
-    texts = docs.select(ident.alias("id"), F.xxhash64(text).alias("version"), text.alias("text")).where("id is not null and text is not null")
+    if row_col is None:
+        version, order, elsewhere = F.xxhash64(text), ["id", "at"], "id <> first.id or at <> first.at"
+    else:
+        ident, version = F.coalesce(ident, F.lit((1 << 63) - 1)), F.col(row_col)
+        order, elsewhere = ["id", "version", "at"], "id <> first.id or version <> first.version or at <> first.at"
+    texts = docs.select(ident.alias("id"), version.alias("version"), text.alias("text")).where("id is not null and text is not null")
     common.bounded_batches(docs.sparkSession)
     run, schema = _path_rows(window, mark)
     paths = texts.mapInArrow(run, schema)
     # Written, so that both sides of the join are dealt anew and a very common mark can be split.
     again = cut(paths.select("mark").groupBy("mark").agg(F.count("*").alias("many")).where("many > 1").select("mark"), "marks")
     found = cut(paths.join(again, "mark", "left_semi"), "paths")
-    place = F.struct("id", "at", "version")
+    place = F.struct(*order, *(c for c in ["version"] if c not in order))
     classes = cut(found.groupBy("mark", "path", "n").agg(F.min(place).alias("first"), F.count("*").alias("many")), "classes")
     later = (
         found.join(classes.where("many > 1").select("mark", "path", "n", "first"), ["mark", "path", "n"])
-        .where("id <> first.id or at <> first.at")
+        .where(elsewhere)
         .select("id", "version", F.col("at").alias("first"), (F.col("at") + F.col("n") + window - 1).alias("end"))
     )
     forks = cut(classes.groupBy("mark").agg(F.count("*").alias("paths")).where("paths > 1").select("mark"), "forks")
@@ -130,17 +140,17 @@ def with_spans(docs: DataFrame, into: str, id_col: str = "doc_id", text_col: str
     # Texts are dealt by id at every size; both joins below read the same exchange where plans allow.
     singles = texts.hint("merge").join(heads.groupBy("id", "version").agg(F.collect_list("at").alias("wanted")), ["id", "version"]).select("id", "version", "text", "wanted")
     windows = cut(singles.mapInArrow(expand, windows_schema), "windows")
-    firsts = cut(windows.groupBy("mark", "hash").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("many")).where("many > 1"), "firsts")
+    firsts = cut(windows.groupBy("mark", "hash").agg(F.min(F.struct(*order)).alias("first"), F.count("*").alias("many")).where("many > 1"), "firsts")
     single = (
         windows.join(firsts.select("mark", "hash", "first"), ["mark", "hash"])
-        .where("id <> first.id or at <> first.at")
+        .where(elsewhere)
         .select("id", "version", F.col("at").alias("first"), (F.col("at") + window).alias("end"))
     )
     # A document's spans are bounded by its own length.
     spans = later.union(single).groupBy("id", "version").agg(F.sort_array(F.collect_set(F.struct("first", "end"))).alias(into))
     own = common.unused("span_id", docs.columns), common.unused("span_version", docs.columns)
     spans = spans.withColumnsRenamed(dict(zip(("id", "version"), own, strict=True)))
-    return docs.hint("merge").join(spans, (ident == F.col(own[0])) & (F.xxhash64(text) == F.col(own[1])), "left").drop(*own)
+    return docs.hint("merge").join(spans, (ident == F.col(own[0])) & (version == F.col(own[1])), "left").drop(*own)
 
 
 def _rest(texts: pa.Array, spans: pa.Array) -> Iterator[tuple[int, list[bytes]]]:

@@ -150,6 +150,24 @@ def test_pipeline_stages(spark):
         docs = after
 
 
+def test_pipeline_rows_that_share_an_id_or_have_none(spark, base_text):
+    import corpus_pipeline
+
+    said = base_text.split()
+    near, other, third = " ".join([*said[:200], "changed", *said[201:]]), " ".join(f"o{i}" for i in range(90)), " ".join(f"t{i}" for i in range(90))
+    rows = [(1, base_text), (1, base_text), (3, near), (3, other), (None, third), (None, third), (None, base_text), (9, third), (None, "lonely words")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, frame, "").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, base_text), (3, other), (9, third), (None, "lonely words")], key=str)
+    got = corpus_pipeline.repeated_passages(spark, frame, "").collect()
+    kept = [r for r in got if r.text in (base_text, other, third, "lonely words")]
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, base_text), (3, other), (9, third), (None, "lonely words")], key=str)
+    assert [tuple(r) for r in got if r not in kept] == [(3, "changed")]
+    mixed = spark.createDataFrame([(5, other), (5, f"{other} {third}"), (5, third)], "doc_id long, text string").coalesce(1)
+    got = corpus_pipeline.repeated_passages(spark, mixed, "").collect()
+    assert sorted(w for r in got for w in r.text.split()) == sorted(f"{other} {third}".split())
+
+
 def test_pipeline_without_rows(spark, tmp_path):
     import corpus_pipeline
 
