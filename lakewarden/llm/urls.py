@@ -39,9 +39,14 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     )
 
 
-def vertex(host: Column, path: Column) -> Column:
-    """One spelling for URLs that differ by scheme, query, fragment, ``www.`` or a closing slash."""
-    return F.concat(F.regexp_replace(host, r"^www\.", ""), F.regexp_replace(path, r"(?:/|/index\.html?)$", ""))
+def query(url: Column) -> Column:
+    """The query of a URL with its question mark; empty where there is none."""
+    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^[^?#]*(\?[^#]+)", 1)
+
+
+def vertex(host: Column, path: Column, asked: Column) -> Column:
+    """One spelling for URLs that differ by scheme, fragment, ``www.`` or a closing slash; ``asked`` is the query."""
+    return F.concat(F.regexp_replace(host, r"^www\.", ""), F.regexp_replace(path, r"(?:/|/index\.html?)$", ""), asked)
 
 
 def targets(html: Column) -> Column:
@@ -60,16 +65,34 @@ def targets(html: Column) -> Column:
     return F.when(F.lower(html).rlike("canonical|refresh"), found).otherwise(F.array().cast("array<string>"))
 
 
-def absolute(target: Column, url: Column, host: Column) -> Column:
-    """``target`` as seen from the page ``url``."""
+def without_dots(path: Column) -> Column:
+    """``path`` with the steps ``.`` and ``..`` taken."""
+    steps = F.slice(F.split(path, "/"), 2, 1 << 30)
+    taken = F.aggregate(
+        steps,
+        F.array().cast("array<string>"),
+        lambda held, x: F.when(x == "..", F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0)))).when(x == ".", held).otherwise(F.concat(held, F.array(x))),
+    )
+    folder = F.when(path.rlike(r"/\.\.?$") & (F.size(taken) > 0), "/").otherwise("")
+    return F.when(path.rlike(r"/\.\.?(?:/|$)"), F.concat(F.lit("/"), F.array_join(taken, "/"), folder)).otherwise(path)
+
+
+def absolute(target: Column, url: Column, host: Column, path: Column) -> Column:
+    """``target`` as seen from the page ``url`` with this host and path; empty if its scheme names no host."""
+    target = F.replace(target, F.lit("&amp;"), F.lit("&"))
     scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
-    base = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)", 1)
-    return (
-        F.when(target.contains("://"), target)
-        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
-        .when(target.startswith("/"), F.concat(scheme, F.lit("://"), host, target))
-        .otherwise(F.concat(F.regexp_replace(base, r"([^/])$", "$1/"), target))
+    origin = (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.regexp_extract(target, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1))
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), F.regexp_extract(target, r"^(//[^/?#]*)", 1)))
+        .otherwise(F.concat(scheme, F.lit("://"), host))
     )
+    named = target.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:|//)")
+    rest = F.regexp_replace(target, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*", "")
+    own = F.regexp_extract(rest, r"^([^?#]*)", 1)
+    folder = F.when(path == "", "/").otherwise(F.regexp_replace(path, r"[^/]*$", ""))
+    whole = F.when(named | own.startswith("/"), own).when(own == "", path).otherwise(F.concat(folder, own))
+    asked = F.when(named | (own != "") | rest.contains("?"), query(rest)).otherwise(query(url))
+    return F.when(origin == "", "").otherwise(F.concat(origin, without_dots(whole), asked))
 
 
 def judged(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -104,22 +127,22 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame
     host, path = host_and_path(url)
     seen = cut(
         pages.select(F.col(id_col).alias("page_id"), url.alias("url"), host.alias("host"), path.alias("path"), targets(F.col(html_col)).alias("targets"))
-        .select("page_id", "url", "host", "path", F.when(F.col("host") != "", vertex(F.col("host"), F.col("path"))).alias("vertex"), "targets")
+        .select("page_id", "url", "host", "path", F.when(F.col("host") != "", vertex(F.col("host"), F.col("path"), query(F.col("url")))).alias("vertex"), "targets")
         .withColumn("row", F.monotonically_increasing_id()),
         "pages",
     )
     there = (
         seen.where("vertex is not null")
-        .select("vertex", F.explode("targets").alias("target"), "url", "host")
-        .select("vertex", absolute(F.col("target"), F.col("url"), F.col("host")).alias("to"))
-        .select("vertex", *(c.alias(n) for c, n in zip(host_and_path(F.col("to")), ("host", "path"), strict=True)))
+        .select("vertex", F.explode("targets").alias("target"), "url", "host", "path")
+        .select("vertex", absolute(F.col("target"), F.col("url"), F.col("host"), F.col("path")).alias("to"))
+        .select("vertex", "to", *(c.alias(n) for c, n in zip(host_and_path(F.col("to")), ("host", "path"), strict=True)))
         .where("host <> ''")
-        .withColumn("alias", vertex(F.col("host"), F.col("path")))
+        .withColumn("alias", vertex(F.col("host"), F.col("path"), query(F.col("to"))))
     )
     groups = common.components(there.select("vertex", "alias"))
     # Addresses that are only pointed at carry explicit verdicts too; a spelling is judged once.
     spelled = seen.where("vertex is not null").select("vertex", "host", "path").union(there.select("alias", "host", "path")).distinct()
-    explicit = judged(spelled.withColumn("row", F.concat_ws("\n", "host", "path")), rules).where("rule is not null")
+    explicit = judged(spelled.withColumn("row", F.concat_ws("\n", "vertex", "host", "path")), rules).where("rule is not null")
     group = F.coalesce("component", "vertex")
     spread = (
         explicit.join(groups.withColumnRenamed("id", "vertex"), "vertex", "left")

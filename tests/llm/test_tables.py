@@ -51,6 +51,25 @@ def test_verdicts_spread(spark):
     assert urls.filter_urls(frame.limit(0)).count() == 0
 
 
+def test_addresses_keep_their_query_and_are_resolved(spark):
+    rows = [
+        (1, "http://a.net/watch?v=1", page("http://x.com/de/bad")),
+        (2, "http://a.net/watch?v=2", page()),
+        (3, "http://www.a.net/watch?v=1#top", page()),
+        (4, "http://b.net/4", page("/go?u=https://x.com/de/a")),
+        (5, "http://c.net/dir/sub/page", page("../up")),
+        (6, "http://c.net/dir/up", page("http://x.com/de/bad")),
+        (7, "http://d.net/list?page=1", page("?page=2")),
+        (8, "http://d.net/list?page=2", page("http://x.com/de/bad")),
+        (9, "http://d.net/list?page=3", page("#top")),
+        (10, "http://e.net", page("x/./../y?a=1&amp;b=2")),
+        (11, "http://e.net/y?a=1&b=2", page("http://x.com/fr/../de/")),
+        (12, "http://f.net/12", page("mailto:a@b.c?u=http://x.com/de/a")),
+    ]
+    got = {r.page_id: r.verdict for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [i for i in sorted(got) if got[i] == "block"] == [1, 3, 5, 6, 7, 8, 10, 11]
+
+
 def linked(rows, cosine=0.93):
     fine = [(i, np.array(v, float), x) for i, v, x in rows if x is not None and v and all(c is not None and np.isfinite(c) for c in v) and any(v)]
     links = []
