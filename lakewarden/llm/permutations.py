@@ -1,9 +1,9 @@
 """Nearest neighbours by inner product, through a permutation index.
 
 ``PIVOTS`` vectors, a bounded sample in the order of a hash of their ids, stand as landmarks. Every
-vector is represented by its ``PREFIX`` nearest pivots in order. Inner products are turned into
-angles first: a vector is divided by the largest norm and completed to length one by a coordinate
-that queries have as zero, which keeps their order.
+vector is represented by its ``PREFIX`` nearest pivots in order: a row's by distance, which is the
+order of ``row . pivot - |pivot|^2 / 2``, a query's by inner product. Nothing depends on the norms of
+other rows, so a single huge vector moves no other row's pivots.
 
 Vectors are dealt into blocks of about ``BLOCK`` rows, and each block posts its vectors in inverted
 files, one list of (vector, rank) per pivot. A block of queries runs through the lists of its own
@@ -30,7 +30,7 @@ PIVOTS, PREFIX, SHARE = 512, 64, 0.15
 BLOCK, QUERY_BLOCK = 8192, 1024
 
 
-def _indexed(pivots: dict[int, np.ndarray], norms: dict[int, float], prefix: int):
+def _indexed(pivots: dict[int, np.ndarray], prefix: int):
     schema = "id long, vector array<double>, dim int, asks boolean, nearest binary, asked binary"
 
     def ranked(closeness: np.ndarray) -> np.ndarray:
@@ -43,11 +43,9 @@ def _indexed(pivots: dict[int, np.ndarray], norms: dict[int, float], prefix: int
         for batch in batches:
             for dim in set(batch.column(2).to_pylist()):
                 held = batch.filter(pa.compute.equal(batch.column(2), dim))
-                rows, marks, longest = vectors.matrix(held.column(1)), pivots[dim], norms[dim]
-                scaled, landmarks = rows / longest, marks / longest
-                rest = lambda m: np.sqrt(np.maximum(0, 1 - (m * m).sum(axis=1)))
-                flat = scaled @ landmarks.T
-                nearest = ranked(flat + rest(scaled)[:, None] * rest(landmarks)[None, :])
+                rows, marks = vectors.matrix(held.column(1)), pivots[dim]
+                flat = rows @ marks.T
+                nearest = ranked(flat - (marks * marks).sum(axis=1)[None, :] / 2)
                 asked = ranked(flat)
                 asks = held.column(3).to_pylist()
                 yield pa.RecordBatch.from_arrays(
@@ -137,12 +135,12 @@ def nearest(
     own = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     useful = own.where(vectors.usable(F.col("vector")) & F.col("id").isNotNull()).select("id", "vector", F.size("vector").alias("dim"), "asks").distinct()
     useful = cut(useful, "vectors")
-    dims = useful.groupBy("dim").agg(F.count("*").alias("many"), F.max(F.expr("aggregate(vector, 0d, (s, x) -> s + x * x)")).alias("square"), F.sum(F.col("asks").cast("int")).alias("asking")).collect()
+    dims = useful.groupBy("dim").agg(F.count("*").alias("many"), F.sum(F.col("asks").cast("int")).alias("asking")).collect()
     turn = Window.partitionBy("dim").orderBy(F.xxhash64("id"), "id", "vector")
     # A bounded sample of each length: the pivots.
     sample = useful.withColumn("n", F.row_number().over(turn)).where(F.col("n") <= pivots).select("dim", "n", "vector").collect()
     marks = {d["dim"]: np.array([r["vector"] for r in sorted((r for r in sample if r["dim"] == d["dim"]), key=lambda r: r["n"])]) for d in dims}
-    build, schema = _indexed(marks, {d["dim"]: float(np.sqrt(d["square"])) or 1.0 for d in dims}, prefix)
+    build, schema = _indexed(marks, prefix)
     index = cut(useful.mapInArrow(build, schema), "index")
     sizes = spark.createDataFrame(
         [(d["dim"], max(1, -(-d["many"] // block)), max(1, -(-(d["asking"] or 0) // query_block))) for d in dims], "dim int, blocks int, query_blocks int"

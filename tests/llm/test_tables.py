@@ -125,6 +125,20 @@ def test_search_recall_and_order(spark):
     assert hits / total >= 0.9
 
 
+@pytest.mark.parametrize("huge", [1e8, float(np.finfo(np.float32).max)])
+def test_search_recall_beside_a_huge_vector(spark, huge):
+    rows = duck_vectors()
+    rows.append((2001, (huge * np.array(rows[7][1])).tolist()))
+    got = permutations.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=20).collect()
+    ids, data = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    hits = total = 0
+    for query in ids[ids % 20 == 0]:
+        score = data @ data[ids == query][0]
+        best = set(ids[ids != query][np.lexsort((ids[ids != query], -score[ids != query]))[:20]].tolist())
+        hits, total = hits + len(best & {r.vec_id for r in got if r.query_id == query}), total + 20
+    assert hits / total >= 0.9
+
+
 def duck_vectors():
     import duckdb
 
