@@ -204,3 +204,57 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakewarden.llm import permutations
 
     return permutations.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@register
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakewarden.llm import align
+
+    return align.align(table(spark, sf_dir, "documents"))
+
+
+@register
+def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakewarden.llm import resample
+
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), buckets=10_000, least_words=20, percent=5, seed=42)
+
+
+def _nibbles() -> list[int]:
+    """The steps of CRC-32 for four bits at a time, from its reversed polynomial."""
+    steps = []
+    for value in range(16):
+        for _ in range(4):
+            value = (value >> 1) ^ (0xEDB88320 if value & 1 else 0)
+        steps.append(value)
+    return steps
+
+
+#: n-grams once per distinct one, their CRC by a fold over the hexadecimal digits of their bytes.
+ORACLES["op12_importance_resample"] = f"""
+with text(side, doc_id, t) as (select 0, doc_id, text from documents union all select 1, row_number() over (), text from benchmark),
+split as (select side, doc_id, list_filter(regexp_split_to_array(translate(coalesce(t, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w from text),
+gram as (select side, doc_id, unnest([array_to_string(w[i:i + k], ' ') for i in range(1, len(w) - k + 1)]) as g from split, (values (0), (1), (2)) s(k)),
+held as (select side, doc_id, g, count(*) as n from gram group by all),
+code as (select g, xor(list_reduce([instr('123456789ABCDEF', d)::bigint for d in string_split(regexp_replace(hex(encode(g)), '(.)(.)', '\\2\\1', 'g'), '')],
+    lambda c, d: xor(c >> 4, list_extract({_nibbles()}, (xor(c, d) & 15) + 1)), 4294967295::bigint), 4294967295) % 10000 as bucket from (select distinct g from held)),
+own as (select side, doc_id, bucket, sum(n)::bigint as n from held join code using (g) group by all),
+total as (select side, sum(n)::bigint as n from own group by side),
+gain as (select bucket, floor(1000 * ln(((t + 1) * (big_s + 10000))::double / ((s + 1) * (big_t + 10000))::double))::bigint as gain
+    from (select bucket, coalesce(sum(n) filter (side = 0), 0)::bigint as s, coalesce(sum(n) filter (side = 1), 0)::bigint as t from own group by bucket),
+    (select coalesce(max(n) filter (side = 0), 0) as big_s, coalesce(max(n) filter (side = 1), 0) as big_t from total)),
+weighed as (select doc_id, sum(n)::bigint as n_features, sum(n * gain)::bigint as weight from own join gain using (bucket) where side = 0 group by doc_id),
+scored as (select doc_id, len(w) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('42:' || doc_id), 8))::bigint + 0.5::double) / 4294967296::double)))::bigint as score
+    from split left join weighed using (doc_id) where side = 0),
+placed as (select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id) as place, count(*) over (partition by n_words >= 20) as many from scored)
+select doc_id, n_features, weight, score, case when n_words >= 20 and place <= 5 * many // 100 then place end as rank from placed
+"""
+
+
+@register
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakewarden.llm import token_counts
+
+    return token_counts.counts(table(spark, sf_dir, "documents"), limit=1024)
