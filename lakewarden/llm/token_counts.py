@@ -5,9 +5,9 @@ per byte; a heap holds its adjacent pairs by the rank of their merge, and the lo
 leftmost among equals, is merged until no pair has one. The count is the number of symbols less the
 number of merges. A cut of ``n`` bytes takes ``n log n`` steps, however long it is.
 
-Texts repeat their words, so a worker remembers the counts of what stands between blanks: no cut
-ends later than the character before a blank between two non-blanks or begins earlier than the blank,
-so the counts of such runs add up. Two generations bound what is remembered; long runs never are.
+Texts repeat their words, so a worker remembers counts twice: of runs, which are non-blanks with the
+blank before them, and of the cuts within them. Blanks part the splitter's cuts in the same way, so
+the counts of runs add up. Two generations bound what is remembered; long runs never are.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import functools
 import heapq
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import public_tokenizers
 import pyarrow as pa
@@ -24,14 +24,17 @@ import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm import common
+from lakewarden.llm import bpe, common
 
 LIMIT = 1024
 VOCABULARY = "byte_bpe_50k.json"
-#: Runs remembered per worker, in each of two generations, and the longest remembered.
-_REMEMBERED, _LONGEST = 100_000, 64
-#: What Python counts as white space holds all that the splitter does, so both sides are non-blank for both.
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: Runs and cuts remembered per worker, in each of two generations, and the longest remembered.
+_REMEMBERED, _LONGEST = 200_000, 64
+_RUNS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: Blank for Python, but not for the splitter; texts that hold one are cut by the splitter alone.
+_ODD = re.compile("[\x1c-\x1f]")
+#: The splitter's cuts of an ASCII run without those.
+_CUTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
 
 
 def merges(symbols: str, ranks: dict[tuple[str, str], int]) -> int:
@@ -58,41 +61,66 @@ def merges(symbols: str, ranks: dict[tuple[str, str], int]) -> int:
     return done
 
 
-class Counter(dict):
-    """Tokens by run of characters after a blank, the blank counted in."""
+def byte_names() -> dict[str, str]:
+    """What a byte is called in the vocabulary file, and the byte as a character: printable ones are their own name, others follow from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [c for c in range(0x100) if c not in own]
+    return {chr(c): chr(c) for c in own} | {chr(0x100 + k): chr(c) for k, c in enumerate(rest)}
 
-    def __init__(self, path: str) -> None:
-        model = tokenizers.Tokenizer.from_file(path)
-        said = json.loads(model.to_str())
-        bpe, added = said["model"], said["added_tokens"]
-        odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges") if bpe.get(k)]
-        odd += ["normalizer"] * bool(said["normalizer"]) + [k for t in added for k in ("single_word", "lstrip", "rstrip", "normalized") if t[k]]
-        if bpe["type"] != "BPE" or said["pre_tokenizer"]["type"] != "ByteLevel" or said["pre_tokenizer"]["add_prefix_space"] or odd:
-            raise ValueError(f"{path} is no plain byte-level BPE: {odd or [bpe['type'], said['pre_tokenizer']]}")
-        self.split = model.pre_tokenizer.pre_tokenize_str
-        self.ranks = {tuple(pair): rank for rank, pair in enumerate(bpe["merges"])}
-        names = sorted((t["content"] for t in added), key=len, reverse=True)
-        # Longer names first, so that the longest of those that begin at one place counts.
-        self.special = re.compile("|".join(map(re.escape, names))) if names else None
-        self.older: dict[str, int] = {}
 
-    def plain(self, run: str) -> int:
-        """Tokens of a run that spells no added token."""
-        return sum(len(part) - merges(part, self.ranks) for part, _ in self.split(run))
+class Memory(dict):
+    """Counts by string; what ``find`` gives is remembered in two generations."""
+
+    def __init__(self, find: Callable[[str], int]) -> None:
+        self.find = find
+        self.older: dict[str, int] = {}
 
     def __missing__(self, run: str) -> int:
         if len(run) > _LONGEST:
-            return self.plain(" " + run)
+            return self.find(run)
         if len(self) >= _REMEMBERED:
             # Runs in use come back from the older generation; the others go with it.
             self.older = dict(self)
             self.clear()
         found = self.older.get(run)
         if found is None:
-            found = self.plain(" " + run)
+            found = self.find(run)
         self[run] = found
         return found
 
+
+class Counter:
+    """Tokens of texts by one vocabulary file."""
+
+    def __init__(self, path: str) -> None:
+        model = tokenizers.Tokenizer.from_file(path)
+        said = json.loads(model.to_str())
+        bpe_model, added, before = said["model"], said["added_tokens"], said["pre_tokenizer"]
+        odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges") if bpe_model.get(k)]
+        odd += ["normalizer"] * bool(said["normalizer"]) + [k for t in added for k in ("single_word", "lstrip", "rstrip", "normalized") if t[k]]
+        if bpe_model["type"] != "BPE" or before["type"] != "ByteLevel" or before["add_prefix_space"] or not before["use_regex"] or odd:
+            raise ValueError(f"{path} is no plain byte-level BPE: {odd or [bpe_model['type'], before]}")
+        self.split = model.pre_tokenizer.pre_tokenize_str
+        names = str.maketrans(byte_names())
+        self.ranks = {(a.translate(names), b.translate(names)): rank for rank, (a, b) in enumerate(bpe_model["merges"])}
+        spelled = sorted((t["content"] for t in added), key=len, reverse=True)
+        # Longer names first, so that the longest of those that begin at one place counts.
+        self.special = re.compile("|".join(map(re.escape, spelled))) if spelled else None
+        self.cuts, self.runs = Memory(self.merged), Memory(self.cut)
+
+    def merged(self, cut: str) -> int:
+        """Tokens of one cut."""
+        symbols = cut.encode().decode("latin-1")
+        return len(symbols) - merges(symbols, self.ranks)
+
+    def cut(self, run: str) -> int:
+        """Tokens of a run that spells no added token."""
+        if run.isascii() and not _ODD.search(run):
+            cuts = _CUTS.findall(run)
+        else:
+            cuts = [run[a:b] for _, (a, b) in self.split(run)]
+        return sum(map(self.cuts.__getitem__, cuts))
+
     def tokens(self, text: str) -> int:
         """Tokens of ``text``; an added token spelled in it is one token and parts what stands beside it."""
         total = 0
@@ -100,10 +128,11 @@ class Counter(dict):
         if self.special is not None:
             pieces = self.special.split(text)
             total = len(pieces) - 1
-        for piece in pieces:
-            if piece:
-                first, *rest = _SAFE.split(piece)
-                total += self.plain(first) + sum(map(self.__getitem__, rest))
+        for piece in filter(None, pieces):
+            if _ODD.search(piece):
+                total += self.cut(piece)
+            else:
+                total += sum(sum(map(self.runs.__getitem__, _RUNS.findall(part))) for part in bpe.parts(piece))
         return total
 
 

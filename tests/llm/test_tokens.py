@@ -63,8 +63,9 @@ def test_runs_are_remembered_within_bounds(monkeypatch):
     monkeypatch.setattr(token_counts, "_REMEMBERED", 10)
     known = token_counts.Counter(VOCABULARY)
     text = " ".join(f"word{i % 37}" for i in range(500))
-    assert known.tokens(text) == library(text) and len(known) <= 10 and len(known.older) <= 10
-    assert known.tokens("x " + "y" * 100) == library("x " + "y" * 100) and "y" * 100 not in known
+    assert known.tokens(text) == library(text)
+    assert all(0 < len(x) <= 10 and len(x.older) <= 10 for x in (known.runs, known.cuts))
+    assert known.tokens("x " + "y" * 100) == library("x " + "y" * 100) and " " + "y" * 100 not in known.runs
 
 
 def test_counts_odd_rows(odd_docs, no_docs):
