@@ -12,14 +12,15 @@ Sketches are cut into bands. Texts that agree on a band are candidates, and a ca
 only after the two full sets were compared. A pair at the lowest linked similarity of 0.8 shares
 none of the 24 bands of 4 rows with a chance of about 3 in a million.
 
-Work stays in proportion to groups of copies. Texts with equal sets are one class from the start.
-Within a band's bucket every class is compared with the bucket's first class; what these links do
-not join is compared pair by pair, and only across the components found so far, since a link inside
-a component changes nothing.
+Texts with equal sets are one class from the start. Whoever shares a band's bucket shares that
+bucket's first class, its pivot; the classes of a pivot's group are compared in blocks of bounded
+size by matrix products over their hashed shingles. Of the pairs found, those that join two
+components are compared once more, as words, before they count as links.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -159,38 +160,54 @@ def _links(n: int, percent: int):
         left = np.flatnonzero(part == i)
         if i == j:
             x, y = similar_pairs([sets[k] for k in left], None, percent)
-            a, b = ids[left[x]], ids[left[y]]
+            left, right = left, left
         else:
             right = np.flatnonzero(part == j)
             if not len(left) or not len(right):
                 return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
             x, y = similar_pairs([sets[k] for k in left], [sets[k] for k in right], percent)
-            a, b = ids[left[x]], ids[right[y]]
-        a, b = spanning(a, b)
+        a, b = confirmed(left[x], right[y], table.column("text"), n, percent)
+        a, b = ids[a], ids[b]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run, schema
 
 
-def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fewer edges with the components of ``a -- b``: from each vertex to the smallest of its component."""
-    if not len(a):
-        return a, b
-    names, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = flat[: len(a)], flat[len(a) :]
-    root = np.arange(len(names))
-    while True:
-        low = np.minimum(root[x], root[y])
-        before = root.copy()
-        np.minimum.at(root, root[x], low)
-        np.minimum.at(root, root[y], low)
-        np.minimum.at(root, x, low)
-        np.minimum.at(root, y, low)
-        root = root[root]
-        if (root == before).all():
-            break
-    own = np.flatnonzero(root != np.arange(len(names)))
-    return names[own], names[root[own]]
+_LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
+
+
+def shingle_words(text: str | None, n: int) -> set[tuple[bytes, ...]]:
+    """The shingles of a text as words."""
+    # Splitting bytes parts at blanks and the control characters 9 to 13, and at nothing else.
+    said = (text or "").encode().translate(_LOWER).split()
+    return set(zip(*(said[i:] for i in range(n)), strict=False)) if len(said) >= n else {tuple(said)} if said else set()
+
+
+def confirmed(x: np.ndarray, y: np.ndarray, texts: pa.ChunkedArray, n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs ``x -- y`` of rows that join two components and hold for the shingles as words."""
+
+    @functools.lru_cache(maxsize=2)
+    def shingles(k: int) -> set[tuple[bytes, ...]]:
+        return shingle_words(texts[k].as_py(), n)
+
+    root: dict[int, int] = {}
+
+    def find(k: int) -> int:
+        while (up := root.get(k, k)) != k:
+            root[k] = root.get(up, up)
+            k = up
+        return k
+
+    kept: list[tuple[int, int]] = []
+    for a, b in zip(x.tolist(), y.tolist(), strict=True):
+        one, two = find(a), find(b)
+        if one != two:
+            common = len(shingles(a) & shingles(b))
+            if common and 100 * common >= percent * (len(shingles(a)) + len(shingles(b)) - common):
+                root[max(one, two)] = min(one, two)
+                kept.append((a, b))
+    found = np.array(kept, np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
 
 
 #: Members and shingles of the blocks that a group's sets are compared in.

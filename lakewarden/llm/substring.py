@@ -11,9 +11,9 @@ all windows of later occurrences are repeats. Where a minimizer has a single cla
 and nothing is left to do. Only where it has several are the windows of each class's first
 occurrence looked at singly, to find those whose words start earlier in another class.
 
-Source coordinates carry the result: repeats are spans of words of a document, found by hashes of
-64 bits of all words together with the minimizer's own 64 bits, and spans are cut from the text
-they were found in.
+Source coordinates carry and verify the result: a path or window is compared by a BLAKE2b digest of
+128 bits that is made, at each of its coordinates, from the words that stand there, never by a sum of
+word hashes, so what is removed has the same words as what stays. Hashes of words only choose minimizers.
 """
 
 from __future__ import annotations
@@ -30,16 +30,14 @@ from lakewarden.llm import common, words
 from lakewarden.session import cut
 
 WINDOW, MARK = 20, 8
-_PRIME = np.uint64(0x9E6C63D0876A9A47 | 1)
-_INVERSE = np.uint64(pow(int(_PRIME), -1, 1 << 64))
 
 
 def _paths_of(block: words.Words, window: int, mark: int) -> tuple[np.ndarray, ...]:
-    """``(text, start, windows, minimizer, hash)`` of the paths of the texts in ``block``; ``start`` counts words of the text."""
+    """``(text, start, windows, minimizer)`` of the paths of the texts in ``block``; ``start`` counts words of the text."""
     fits = np.flatnonzero(block.within(window)) if len(block.hash) >= window else np.zeros(0, np.int64)
     if not len(fits):
         none = np.zeros(0, np.int64)
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none.view(np.uint64)
     marks = block.grams(mark, 300 + mark)
     wide = window - mark + 1
     # The first smallest mark of each window.
@@ -54,31 +52,39 @@ def _paths_of(block: words.Words, window: int, mark: int) -> tuple[np.ndarray, .
     heads = np.flatnonzero(opens)
     counts = np.diff(np.append(heads, len(fits)))
     first = fits[heads]
-    last = first + counts + window - 1
-    powers = np.multiply.accumulate(np.append(np.uint64(1), np.full(len(block.hash), _PRIME)))
-    shifts = np.multiply.accumulate(np.append(np.uint64(1), np.full(len(block.hash), _INVERSE)))
-    sums = np.append(np.uint64(0), np.cumsum(block.hash * powers[:-1]))
-    hashes = words.mix((sums[last] - sums[first]) * shifts[first] + counts.astype(np.uint64))
     text = block.doc[first]
-    return text, first - block.first[text], counts, best[heads], hashes
+    return text, first - block.first[text], counts, best[heads]
+
+
+def _mark_rows(window: int, mark: int):
+    """The minimizer of each path."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, block in words.blocks(batch.column(2), fold=False):
+                yield pa.RecordBatch.from_arrays([pa.array(_paths_of(block, window, mark)[3].view(np.int64))], names=["mark"])
+
+    return run, "mark long"
 
 
 def _path_rows(window: int, mark: int):
-    schema = "mark long, path long, id long, version long, at int, n int"
+    schema = "mark long, path binary, id long, version long, at int, n int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, versions = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             for low, high, block in words.blocks(batch.column(2), fold=False):
-                text, at, n, mark_hash, path = _paths_of(block, window, mark)
-                columns = [mark_hash.view(np.int64), path.view(np.int64), ids[low:high][text], versions[low:high][text], at.astype(np.int32), n.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["mark", "path", "id", "version", "at", "n"])
+                text, at, n, mark_hash = _paths_of(block, window, mark)
+                path = block.digests(block.first[text] + at, n + window - 1)
+                columns = [mark_hash.view(np.int64), path, ids[low:high][text], versions[low:high][text], at.astype(np.int32), n.astype(np.int32)]
+                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["mark", "path", "id", "version", "at", "n"])
 
     return run, schema
 
 
 def _window_rows(window: int, mark: int):
-    schema = "mark long, hash long, id long, version long, at int"
+    schema = "mark long, hash binary, id long, version long, at int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,15 +92,16 @@ def _window_rows(window: int, mark: int):
             owner = np.repeat(np.arange(len(ids)), np.asarray(lists.value_lengths()))
             wanted = (owner << 32) | np.asarray(lists.flatten(), np.int64)
             for low, high, block in words.blocks(batch.column(2), fold=False):
-                text, at, n, marks, _ = _paths_of(block, window, mark)
+                text, at, n, marks = _paths_of(block, window, mark)
                 held = np.isin(((text + low) << 32) | at, wanted)
                 text, at, n, marks = text[held], at[held], n[held], marks[held]
                 steps = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 places = np.repeat(at, n) + steps
                 rows = np.repeat(text, n)
-                hashes = block.grams(window, 900 + window)[block.first[rows] + places]
-                columns = [np.repeat(marks, n).view(np.int64), hashes.view(np.int64), ids[low + rows], versions[low + rows], places.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["mark", "hash", "id", "version", "at"])
+                digests = block.digests(block.first[rows] + places, np.full(len(rows), window))
+                columns = [np.repeat(marks, n).view(np.int64), digests, ids[low + rows], versions[low + rows], places.astype(np.int32)]
+                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["mark", "hash", "id", "version", "at"])
 
     return run, schema
 
@@ -122,10 +129,9 @@ def with_spans(
         order, elsewhere = ["id", "version", "at"], "id <> first.id or version <> first.version or at <> first.at"
     texts = docs.select(ident.alias("id"), version.alias("version"), text.alias("text")).where("id is not null and text is not null")
     common.bounded_batches(docs.sparkSession)
-    run, schema = _path_rows(window, mark)
-    paths = texts.mapInArrow(run, schema)
+    paths = texts.mapInArrow(*_path_rows(window, mark))
     # Written, so that both sides of the join are dealt anew and a very common mark can be split.
-    again = cut(paths.select("mark").groupBy("mark").agg(F.count("*").alias("many")).where("many > 1").select("mark"), "marks")
+    again = cut(texts.mapInArrow(*_mark_rows(window, mark)).groupBy("mark").agg(F.count("*").alias("many")).where("many > 1").select("mark"), "marks")
     found = cut(paths.join(again, "mark", "left_semi"), "paths")
     place = F.struct(*order, *(c for c in ["version"] if c not in order))
     classes = cut(found.groupBy("mark", "path", "n").agg(F.min(place).alias("first"), F.count("*").alias("many")), "classes")

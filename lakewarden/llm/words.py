@@ -1,11 +1,15 @@
 """Words of many texts at once, over the UTF-8 bytes that Arrow hands over.
 
 A word is told apart by byte classes, so a batch is cut and hashed with array operations and no
-word ever becomes a Python object. Hashes are 64 bits, equal for equal bytes.
+word ever becomes a Python object. Hashes are 64 bits, equal for equal bytes. Each byte is mixed with
+its place in the word before the sum, so that words of a regular build do not collide by that build.
+Operators that remove or link by hashes compare digests of the words or the words themselves after.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,16 +40,15 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BYTES = mix(np.arange(256, dtype=U64) + U64(0x51ED))
 _FOLDED = _BYTES.copy()
 _FOLDED[0x41:0x5B] = _BYTES[0x61:0x7B]
-_POWERS = np.ones(1, U64)
+_PLACES = np.zeros(0, U64)
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        steps = np.full(max(n, 4096), U64(0xD1342543DE82EF95), U64)
-        steps[0] = 1
-        _POWERS = np.multiply.accumulate(steps)
-    return _POWERS
+def _places(n: int) -> np.ndarray:
+    """A key for each place in a word."""
+    global _PLACES
+    if len(_PLACES) < n:
+        _PLACES = seeds(max(n, 4096), 0x5D1)
+    return _PLACES
 
 
 class Words:
@@ -65,9 +68,8 @@ class Words:
             # From the first word on; what stands before it is white space.
             body = data[self.start[0] :]
             at = np.arange(len(body)) - np.repeat(self.start - self.start[0], spans)
-            codes = (_FOLDED if fold else _BYTES)[body]
+            codes = mix((_FOLDED if fold else _BYTES)[body] ^ _places(int(spans.max()) + 1)[at])
             codes[SPACE[body]] = 0
-            codes *= _powers(int(spans.max()) + 1)[at]
             self.hash = mix(np.add.reduceat(codes, self.start - self.start[0]))
         else:
             self.hash = np.zeros(0, U64)
@@ -88,6 +90,12 @@ class Words:
         size = max(len(self.hash) - n + 1, 0)
         return self.doc[:size] == self.doc[n - 1 : n - 1 + size]
 
+    def digests(self, first: np.ndarray, count: np.ndarray) -> list[bytes]:
+        """A 128-bit BLAKE2b digest of the words of each run of ``count`` words from word ``first`` on, joined by one blank."""
+        ends, data, make = self.ends(), self.data.tobytes(), functools.partial(hashlib.blake2b, digest_size=16)
+        spans = zip(self.start[first].tolist(), ends[first + count - 1].tolist(), strict=True)
+        return [make(b" ".join(data[x:y].split())).digest() for x, y in spans]
+
     def ends(self) -> np.ndarray:
         """The byte after each word."""
         spans = ~SPACE[self.data]

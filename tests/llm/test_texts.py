@@ -293,3 +293,33 @@ def test_parts_tokenize_as_the_whole(size):
 def test_every_operator_has_its_query():
     numbers = sorted(int(re.match(r"op(\d+)_", n).group(1)) for n in queries.QUERIES)
     assert numbers == list(range(1, 11))
+
+
+def thue_morse(letters, power):
+    word = letters[0]
+    for _ in range(power):
+        word += word.translate(str.maketrans(letters, letters[::-1]))
+    return word
+
+
+@pytest.mark.parametrize("power", [5, 9, 10, 11, 12])
+def test_words_of_a_regular_build_are_told_apart(spark, power):
+    x, y = thue_morse("ab", power), thue_morse("ba", power)
+    head, tail = (" ".join(f"{c}{i}" for i in range(10)) for c in "ht")
+    rows = [(1, f"{head} {x} {tail}"), (2, f"{head} {y} {tail}"), (3, x), (4, y), (5, f"{x} {y} " * 30), (6, f"{y} {x} " * 30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeats(frame).collect()}
+    assert got == removed(rows) and got[2][1] == 0
+    near = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame.where("doc_id in (3, 4)")).collect()}
+    assert near == {3: 3, 4: 4}
+
+
+def test_links_hold_for_the_words_themselves():
+    import numpy as np
+    import pyarrow as pa
+
+    said = [f"w{i}" for i in range(60)]
+    texts = pa.chunked_array([[" ".join(said), " ".join([*said, "x"]), " ".join(reversed(said)), " ".join([*said, "y"]), None]])
+    x, y = np.array([0, 0, 0, 1, 2]), np.array([1, 2, 4, 3, 3])  # as if hashes had found (0, 2), (0, 4) and (2, 3) alike
+    a, b = minhash.confirmed(x, y, texts, 5, 80)
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(0, 1), (1, 3)]
