@@ -33,17 +33,26 @@ def govern(prefixes: DataFrame) -> DataFrame:
     return out.withColumn("refusal", F.when(~allowed, F.col("reason"))).withColumnRenamed("redacted", "governed")
 
 
+def find(stretches: DataFrame) -> DataFrame:
+    """Scan a table of stretches; the same on a batch and on a stream."""
+    return holdback.hits(scan.with_findings(stretches, "tail", output="found"), "found")
+
+
+def judge(found: DataFrame) -> DataFrame:
+    """Decide stretches by the labels known at each, and find what to rewrite."""
+    out = policy.evaluate(found, ANSWER_RULES)
+    allowed = F.col("effect") == "allow"
+    out = redact.with_redaction(out, "tail", "hits", "obligations", KEY, when=allowed)
+    return out.withColumns({"refusal": F.when(~allowed, F.col("reason")), "ways": holdback.ways(F.col("obligations"), F.col("findings"))})
+
+
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Every text of the corpus cut into chunks, as a model would produce it."""
     corpus = derived.table(spark, sf, "corpus").where(F.length("text") > 0)
-    count = F.ceil(F.length("text") / CHUNK).cast("int")
-    rows = corpus.select("id", "text", count.alias("n"), F.explode(F.sequence(F.lit(0), count - 1)).alias("seq"))
-    return rows.select(
-        F.col("id").alias("completion_id"),
-        "seq",
-        F.substring(F.col("text"), F.col("seq") * CHUNK + 1, F.lit(CHUNK)).alias("delta"),
-        (F.col("seq") == F.col("n") - 1).alias("is_last"),
-    )
+    cut_up = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    # Cut before the pieces become rows, so that no row carries the whole text.
+    rows = corpus.select(F.col("id").alias("completion_id"), F.size(cut_up).alias("n"), F.posexplode(cut_up).alias("seq", "delta"))
+    return rows.select("completion_id", "seq", "delta", (F.col("seq") == F.col("n") - 1).alias("is_last"))
 
 
 _DELIVERED = (
@@ -54,11 +63,18 @@ done as (select c.id, r.id is not null as refused, case when r.id is not null th
   lambda a, x: {{'t': substr(a.t, 1, x.s) || x.r || substr(a.t, x.e + 1), 's': 0::bigint, 'e': 0::bigint, 'r': ''}}).t end as text, cast(length(text) // 512 + 1 as int) as decisions
   from {corpus} c left join refused r using (id) left join steps using (id) where length(text) > 0)"""
 )
-_ANSWERS = _DELIVERED + " select id as completion_id, refused, text, decisions, false as overran from done"
+#: Held back at the end is what was not out after the last point before it: the governed text up to there less the window.
+_ANSWERS = _DELIVERED + (
+    ", shift as (select id, sum(length('[REDACTED:' || label || ']') - (e - s)) as more from kept join (select id, length(text) // 512 * 512 as p from {corpus}) using (id)"
+    " where label in ('pii.email', 'pii.phone', 'pci.card_number') and e <= p group by id)"
+    " select id as completion_id, refused, done.text, decisions, false as overran,"
+    " case when not refused then cast(length(c.text) - greatest(0, length(c.text) // 512 * 512 + coalesce(more, 0) - 1024) as int) end as held_back"
+    " from done join {corpus} c using (id) left join shift using (id)"
+)
 
 
 def _answers(rows: DataFrame) -> DataFrame:
-    return rows.select("completion_id", F.col("refusal").isNotNull().alias("refused"), "text", "decisions", "overran")
+    return rows.select("completion_id", F.col("refusal").isNotNull().alias("refused"), "text", "decisions", "overran", F.when(F.col("refusal").isNull(), F.col("held_back")).alias("held_back"))
 
 
 @query("holdback_stream", _ANSWERS)
@@ -66,13 +82,13 @@ def holdback_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Answers governed while they are produced: a stream of chunks in, safe text out."""
     source = cut(chunks(spark, sf), "chunks")
     stream = file_stream(spark, source.inputFiles()[0].rsplit("/", 1)[0], source.schema)
-    return _answers(holdback.delivered(holdback.released(stream, govern)))
+    return _answers(holdback.delivered(holdback.released(stream, find, judge)))
 
 
 @query("holdback_batch", _ANSWERS)
 def holdback_batch(spark: SparkSession, sf: str) -> DataFrame:
     """The same over a finished chunk table, without state."""
-    return _answers(holdback.outcomes(govern(holdback.prefixes(chunks(spark, sf)))))
+    return _answers(holdback.answers(judge(holdback.with_labels(find(holdback.stretches(chunks(spark, sf)))))))
 
 
 @query("buffered_answers", _DELIVERED + " select id as completion_id, refused, case when not refused then text end as text from done")
@@ -84,13 +100,14 @@ def buffered_answers(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "govern_points",
-    "select id as completion_id, length(text) // 512 + 1 as prefixes, length(text) as longest, cast((512 * (length(text) // 512) * (length(text) // 512 + 1)) // 2 + length(text) as bigint) as governed_chars from {corpus} where length(text) > 0",
+    "select id as completion_id, length(text) // 512 + 1 as points, length(text) as longest, coalesce(list_sum([512 * i - greatest(0, 512 * i - 1536) for i in range(1, length(text) // 512 + 1)]), 0)::bigint"
+    " + length(text) - greatest(0, 512 * (length(text) // 512) - 1024) as governed_chars from {corpus} where length(text) > 0",
 )
 def govern_points(spark: SparkSession, sf: str) -> DataFrame:
-    """When each answer is governed, and how much text that is in all."""
-    due = holdback.prefixes(chunks(spark, sf))
+    """When each answer is governed, and how much text that is in all: at most three times the answer and a stretch."""
+    due = holdback.stretches(chunks(spark, sf))
     return due.groupBy("completion_id").agg(
-        F.count("*").alias("prefixes"), F.max("seen").cast("bigint").alias("longest"), F.sum(F.length("prefix")).alias("governed_chars")
+        F.count("*").alias("points"), F.max("seen").cast("bigint").alias("longest"), F.sum(F.length("tail")).alias("governed_chars")
     )
 
 

@@ -1,31 +1,52 @@
 """Governing text while it is still being produced.
 
-Text arrives in chunks per completion. Every ``every`` new characters the whole prefix is
-governed, and what lies ``window`` characters behind the governed end is released. Three
-stages: a stateful one that emits the prefixes to govern, the ordinary JVM scan and
-decision over them, and a stateful one that compares each governed prefix with what went
-out before. The first and last hold one completion's text as state; the costly middle is
-stateless and spreads freely.
+Text arrives in chunks per completion. Every ``every`` new characters it is governed up to its end, and
+what lies ``window`` characters behind that end is released.
+
+No text is scanned whole again. A finding depends on what stands within ``reach`` characters of its
+start, so each point scans one stretch: the new characters and twice the reach before them. Findings
+that start more than the reach before a point are settled there; the others are looked at again with
+the next stretch. A point is decided by the labels settled so far and those of its own stretch. What
+is kept of an answer is its open end: text, edits and released characters from the first place on
+that can still change. All of it is linear in the text.
+
+Three steps: a stateful one that cuts the stretches, the ordinary JVM scan and decision over them,
+and a stateful one that releases; labels are carried along in between. The first and last hold one
+completion's open end; the costly middle is stateless and spreads freely.
+
+``prefixes`` and ``outcomes`` govern every prefix whole, which is quadratic; they say what the rest has
+to equal. Two answers differ from theirs, and both are stopped: one with a value longer than the
+reach less the context of a finding, and one whose duties for a label change after a value of it was
+settled.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from types import SimpleNamespace
+from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from lakewarden.operators import redact
 from lakewarden.session import fresh_path
 from lakewarden.streaming.runs import file_stream, into_table, use_rocksdb
 
 # Characters held back, and new characters between governing.
 WINDOW = 1024
 EVERY = 512
+#: Characters on either side of a finding's start that decide it; a value must be shorter, less its context.
+REACH, CONTEXT = 512, 48
 OVERRUN = "a value longer than the streaming window was found"
 
-PREFIX = "completion_id string, step int, prefix string, final boolean, seen int"
+STRETCH = "completion_id string, step int, at int, own int, since int, seen int, settled_to int, tail string, final boolean"
+_ANSWER_TYPES = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_()]
+LABELLED = f"{STRETCH}, hits_json string, findings array<string>"
 RELEASE = (
     "completion_id string, step int, text string, refusal string, decisions int,"
     " held_back int, overran boolean, final boolean"
@@ -35,12 +56,8 @@ RELEASE = (
 # --------------------------------------------------------------------------- as a batch
 
 
-def prefixes(chunks: DataFrame, every: int = EVERY) -> DataFrame:
-    """The prefixes to govern of chunks ``(completion_id, seq, delta)``, all at once.
-
-    A completion is one answer, so its chunks fit a row; the fold over their lengths finds
-    the points at which enough has been added.
-    """
+def _points(chunks: DataFrame, every: int) -> DataFrame:
+    """``(completion_id, text, points)`` of whole answers; a point is a number of characters at which enough has been added."""
     listed = chunks.groupBy("completion_id").agg(
         F.array_sort(F.collect_list(F.struct("seq", "delta"))).alias("c")
     )
@@ -57,10 +74,14 @@ def prefixes(chunks: DataFrame, every: int = EVERY) -> DataFrame:
         )
 
     points = F.aggregate("c", start, step, lambda s: s["points"])
-    rows = listed.select("completion_id", text.alias("text"), points.alias("points"))
+    return listed.select("completion_id", text.alias("text"), points.alias("points"))
+
+
+def prefixes(chunks: DataFrame, every: int = EVERY) -> DataFrame:
+    """All prefixes of chunks ``(completion_id, seq, delta)`` at their points, and the whole."""
     marks = F.transform("points", lambda p, i: F.struct((i + 1).alias("step"), p.alias("at"), F.lit(False).alias("final")))
     last = F.struct((F.size("points") + 1).alias("step"), F.length("text").alias("at"), F.lit(True).alias("final"))
-    each = rows.select("completion_id", "text", F.explode(F.concat(marks, F.array(last))).alias("m"))
+    each = _points(chunks, every).select("completion_id", "text", F.explode(F.concat(marks, F.array(last))).alias("m"))
     return each.select(
         "completion_id",
         F.col("m.step").alias("step"),
@@ -70,6 +91,155 @@ def prefixes(chunks: DataFrame, every: int = EVERY) -> DataFrame:
     )
 
 
+def stretches(chunks: DataFrame, every: int = EVERY, reach: int = REACH) -> DataFrame:
+    """What to scan of chunks ``(completion_id, seq, delta)`` at each point and at the end, all at once.
+
+    ``tail`` is the text from ``at`` to ``seen``, new from ``since`` on. Findings that start at ``own``
+    or later are the row's own, those that start before ``settled_to`` will not change any more.
+    """
+    def stretch(seen: Column, since: Column, step: Column, final: bool) -> Column:
+        own = F.greatest(F.lit(0), since - reach)
+        at = F.greatest(F.lit(0), own - reach)
+        return F.struct(
+            step.alias("step"),
+            at.alias("at"),
+            own.alias("own"),
+            since.alias("since"),
+            seen.alias("seen"),
+            F.greatest(F.lit(0), seen - reach).alias("settled_to"),
+            F.substring("text", at + 1, seen - at).alias("tail"),
+            F.lit(final).alias("final"),
+        )
+
+    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.try_element_at("points", i))
+    many = F.size("points")
+    marks = F.transform("points", lambda p, i: stretch(p, before(i), i + 1, False))
+    # Cut before they become rows, so that no row carries the whole text.
+    each = F.concat(marks, F.array(stretch(F.length("text"), before(many), many + 1, True)))
+    return _points(chunks, every).select("completion_id", F.explode(each).alias("m")).select("completion_id", "m.*")
+
+
+def hits(scanned: DataFrame, found: str) -> DataFrame:
+    """Stretches with ``hits``, the row's own findings among those of its ``tail``, at their places in the answer."""
+    own = F.filter(found, lambda f: f["start"] + F.col("at") >= F.col("own"))
+    placed = F.transform(own, lambda f: f.withField("start", f["start"] + F.col("at")).withField("end", f["end"] + F.col("at")))
+    return scanned.withColumn("hits", placed).drop(found)
+
+
+def with_labels(found: DataFrame) -> DataFrame:
+    """Stretches with ``findings``, the labels settled at earlier points and those of the row itself."""
+    settled = F.transform(F.filter("hits", lambda f: f["start"] < F.col("settled_to")), lambda f: f["label"])
+    earlier = Window.partitionBy("completion_id").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    # Stretches without a settled finding add nothing to the list, and there are as many labels as detectors know.
+    known = F.flatten(F.collect_list(F.when(F.size(settled) > 0, F.array_distinct(settled))).over(earlier))
+    own = F.transform("hits", lambda f: f["label"])
+    return found.withColumn("findings", F.array_sort(F.array_distinct(F.concat(known, own))))
+
+
+def ways(obligations: Column, findings: Column) -> Column:
+    """How the redactions among ``obligations`` treat each label; what settled text was rewritten by."""
+
+    def how(label: Column) -> Column:
+        rule = redact.rule_for(obligations, label)
+        return F.coalesce(F.to_json(F.struct(rule["strategy"].alias("s"), rule["keep_last"].alias("k"), rule["hash_length"].alias("h"))), F.lit("{}"))
+
+    return F.transform(findings, lambda x: F.concat(x, F.lit(" "), how(x)))
+
+
+class Answer:
+    """The open end of one answer, and what was released of it."""
+
+    def __init__(self, window: int, reach: int, state: dict[str, Any] | None = None) -> None:
+        self.window, self.reach = window, reach
+        # Places in the text are counted from its beginning, as is what was ``sent``; ``made`` governed
+        # characters stand before ``base``, where the open text begins.
+        self.s = state or {"base": 0, "made": 0, "sent": 0, "open": "", "out": "", "edits": [], "ways": {}, "decisions": 0, "stopped": False}
+
+    def step(self, row: Any) -> tuple[str, str | None, int, int, bool] | None:
+        """``(text, refusal, decisions, held back, overran)`` at one point, None after a stop."""
+        s = self.s
+        if s["stopped"]:
+            return None
+        s["open"] += row.tail[row.since - row.at :]
+        s["decisions"] += 1
+        held = max(0, row.seen - s["sent"]) if row.final else 0
+        refusal = row.refusal if isinstance(row.refusal, str) else None
+        text, overran = "", False
+        if refusal is None:
+            now = dict(w.split(" ", 1) for w in row.ways)
+            own = sorted((e["start"], e["end"], e["replacement"]) for e in row.edits)
+            edits = [*map(tuple, s["edits"]), *own]
+            governed = self._governed(edits)
+            overran = any(now.get(label) != way for label, way in s["ways"].items()) or not governed.startswith(s["out"])
+            closed = [h for h in row.hits if h["start"] < row.settled_to]
+            overran = overran or any(h["end"] - h["start"] > self.reach - CONTEXT for h in closed)
+            if not overran:
+                total = s["made"] + len(governed)
+                end = total if row.final else total - self.window
+                if end > s["sent"]:
+                    text, s["sent"] = governed[s["sent"] - s["made"] : end - s["made"]], end
+                s["out"] = governed[: s["sent"] - s["made"]]
+                s["ways"] |= {h["label"]: now.get(h["label"]) for h in closed}
+                s["edits"] = [e for e in edits if e[0] < row.settled_to]
+                self._advance(row.settled_to)
+        s["stopped"] = refusal is not None or overran
+        return text, refusal or (OVERRUN if overran else None), s["decisions"], held, overran
+
+    def _governed(self, edits: list[tuple[int, int, str]]) -> str:
+        base, text = self.s["base"], self.s["open"]
+        pieces, at = [], base
+        for start, end, replacement in edits:
+            pieces += [text[at - base : start - base], replacement]
+            at = end
+        return "".join([*pieces, text[at - base :]])
+
+    def _advance(self, to: int) -> None:
+        """Move the base over what is both settled and released, up to ``to`` and never into an edit."""
+        s = self.s
+        base, made = s["base"], s["made"]
+        for start, end, replacement in [*s["edits"], (to, to + 1, "")]:
+            plain = min(start - base, to - base, s["sent"] - made)
+            if plain > 0:
+                base, made = base + plain, made + plain
+            if base < start or end > to or made + len(replacement) > s["sent"]:
+                break
+            base, made = end, made + len(replacement)
+        s["open"], s["out"] = s["open"][base - s["base"] :], s["out"][made - s["made"] :]
+        s["edits"] = [e for e in s["edits"] if e[0] >= base]
+        s["base"], s["made"] = base, made
+
+
+def answers(judged: DataFrame, window: int = WINDOW, reach: int = REACH) -> DataFrame:
+    """What each completion delivered, from stretches with ``hits``, ``edits``, ``ways`` and ``refusal``: the columns of ``outcomes``."""
+
+    names = ["completion_id", "text", "refusal", "decisions", "held_back", "overran"]
+    kind = judged.schema["completion_id"].dataType.simpleString()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Stretches come sorted, so one answer is open at a time, across batches too.
+        open_id, answer, pieces, last = None, None, [], ()
+        schema = None
+        for batch in batches:
+            made = []
+            schema = pa.schema([batch.schema.field("completion_id"), *((n, t) for n, t in zip(names[1:], _ANSWER_TYPES, strict=True))])
+            for fields in batch.to_pylist():
+                row = SimpleNamespace(**fields)
+                if answer is None or row.completion_id != open_id:
+                    if answer is not None:
+                        made.append((open_id, "".join(pieces), *last))
+                    open_id, answer, pieces = row.completion_id, Answer(window, reach), []
+                if (one := answer.step(row)) is not None:
+                    pieces.append(one[0])
+                    last = one[1:]
+            yield pa.RecordBatch.from_pylist([dict(zip(names, m, strict=True)) for m in made], schema)
+        if answer is not None:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, (open_id, "".join(pieces), *last), strict=True))], schema)
+
+    columns = ["completion_id", "step", "at", "since", "seen", "settled_to", "tail", "final", "hits", "edits", "ways", "refusal"]
+    ordered = judged.select(columns).repartition("completion_id").sortWithinPartitions("completion_id", "step")
+    return ordered.mapInArrow(fold, f"completion_id {kind}, text string, refusal string, decisions int, held_back int, overran boolean")
+
+
 def outcomes(governed: DataFrame, window: int = WINDOW) -> DataFrame:
     """What each completion delivered, from governed prefixes ``(..., governed, refusal)``.
 
@@ -114,69 +284,82 @@ def buffered(chunks: DataFrame, govern: Callable[[DataFrame], DataFrame]) -> Dat
 # --------------------------------------------------------------------------- as a stream
 
 
-class Accumulate(StatefulProcessor):
-    """Collects a completion's text and emits the prefix whenever it is due."""
+class Cut(StatefulProcessor):
+    """Cuts the stretches of an answer; remembers the text that the next one begins with."""
 
-    def __init__(self, every: int) -> None:
-        self._every = every
+    def __init__(self, every: int, reach: int) -> None:
+        self._every, self._reach = every, reach
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("text", "seen string, governed_at int, step int")
+        self._state = handle.getValueState("text", "tail string, at int, since int, step int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen, at, step = self._state.get() if self._state.exists() else ("", 0, 0)
+        tail, at, since, step = self._state.get() if self._state.exists() else ("", 0, 0, 0)
         out, done = [], False
         for row in pd.concat(list(rows)).sort_values("seq").itertuples():
-            seen += row.delta
-            if len(seen) - at >= self._every:
-                at, step = len(seen), step + 1
-                out.append((key[0], step, seen, False, len(seen)))
-            if row.is_last:
-                step, done = step + 1, True
-                out.append((key[0], step, seen, True, len(seen)))
+            tail += row.delta
+            done = done or row.is_last
+            for final in [False] * (at + len(tail) - since >= self._every) + [True] * row.is_last:
+                seen, own, step = at + len(tail), max(0, since - self._reach), step + 1
+                settled_to = max(0, seen - self._reach)
+                out.append((key[0], step, at, own, since, seen, settled_to, tail, final))
+                since, start = seen, max(0, settled_to - self._reach)
+                tail, at = tail[start - at :], start
+        if done:
+            self._state.clear()
+        else:
+            self._state.update((tail, at, since, step))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in STRETCH.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+class Label(StatefulProcessor):
+    """Adds the labels settled at earlier points to each stretch; remembers labels only."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._state = handle.getValueState("labels", "labels string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = set(json.loads(self._state.get()[0])) if self._state.exists() else set()
+        out, done = [], False
+        names = [c.split()[0] for c in STRETCH.split(", ")]
+        for row in pd.concat(list(rows)).sort_values("step").itertuples():
+            own = json.loads(row.hits_json)
+            out.append((*(getattr(row, n) for n in names), row.hits_json, sorted(known | {h["label"] for h in own})))
+            known |= {h["label"] for h in own if h["start"] < row.settled_to}
+            done = done or row.final
         if done:
             self._state.clear()
         else:
-            self._state.update((seen, at, step))
-        yield pd.DataFrame(out, columns=["completion_id", "step", "prefix", "final", "seen"])
+            self._state.update((json.dumps(sorted(known)),))
+        yield pd.DataFrame(out, columns=[*names, "hits_json", "findings"])
 
     def close(self) -> None:
         pass
 
 
 class Release(StatefulProcessor):
-    """Releases what is safely behind the governed end, and stops at a refusal."""
+    """Releases what is safely behind the governed end, and stops at a refusal; remembers the open end."""
 
-    def __init__(self, window: int) -> None:
-        self._window = window
+    def __init__(self, window: int, reach: int) -> None:
+        self._window, self._reach = window, reach
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("sent", "emitted string, decisions int, stopped boolean")
+        self._state = handle.getValueState("open", "answer string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        sent, decisions, stopped = self._state.get() if self._state.exists() else ("", 0, False)
+        answer = Answer(self._window, self._reach, json.loads(self._state.get()[0]) if self._state.exists() else None)
         out, done = [], False
         for row in pd.concat(list(rows)).sort_values("step").itertuples():
             done = done or row.final
-            if stopped:
-                continue
-            held = max(0, row.seen - len(sent)) if row.final else 0
-            decisions += 1
-            refusal = row.refusal if isinstance(row.refusal, str) else None
-            overran = refusal is None and not row.governed.startswith(sent)
-            text = ""
-            if refusal or overran:
-                stopped = True
-            else:
-                end = len(row.governed) if row.final else max(0, len(row.governed) - self._window)
-                if end > len(sent):
-                    text, sent = row.governed[len(sent) : end], row.governed[:end]
-            why = refusal or (OVERRUN if overran else None)
-            out.append((key[0], row.step, text, why, decisions, held, overran, row.final))
+            if (made := answer.step(row)) is not None:
+                out.append((key[0], row.step, *made, row.final))
         if done:
             self._state.clear()
         else:
-            self._state.update((sent, decisions, stopped))
+            self._state.update((json.dumps(answer.s),))
         yield pd.DataFrame(
             out, columns=["completion_id", "step", "text", "refusal", "decisions", "held_back", "overran", "final"]
         )
@@ -185,30 +368,41 @@ class Release(StatefulProcessor):
         pass
 
 
+def _through_table(stream: DataFrame, purpose: str) -> DataFrame:
+    """Run a stream to its end into a table, and read that as a stream, so that each restarts on its own."""
+    spark = stream.sparkSession
+    middle, state = fresh_path(spark, purpose), fresh_path(spark, f"{purpose}-state")
+    stream.writeStream.outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).format("parquet").start(middle).awaitTermination()
+    return file_stream(spark, middle, stream.schema)
+
+
+def _stateful(stream: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
+    return stream.groupBy("completion_id").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="None"
+    )
+
+
 def released(
-    chunks: DataFrame, govern: Callable[[DataFrame], DataFrame], every: int = EVERY, window: int = WINDOW
+    chunks: DataFrame,
+    find: Callable[[DataFrame], DataFrame],
+    judge: Callable[[DataFrame], DataFrame],
+    every: int = EVERY,
+    window: int = WINDOW,
+    reach: int = REACH,
 ) -> DataFrame:
     """Governed output of a chunk stream ``(completion_id, seq, delta, is_last)``, run to its end.
 
-    ``govern`` adds ``governed`` and ``refusal`` to a prefix table; it is the same batch code.
-    The two stateful stages are two queries joined by a table, so each restarts on its own.
+    ``find`` adds ``hits`` to stretches, ``judge`` adds ``refusal``, ``edits`` and ``ways`` to those with
+    ``hits`` and ``findings``; both are the same batch code.
     """
-    spark = chunks.sparkSession
-    use_rocksdb(spark)
-    due = chunks.groupBy("completion_id").transformWithStateInPandas(
-        statefulProcessor=Accumulate(every), outputStructType=PREFIX, outputMode="append", timeMode="None"
-    )
-    ready = govern(due).select("completion_id", "step", "final", "seen", "governed", "refusal")
-    middle = fresh_path(spark, "governed")
-    state = fresh_path(spark, "governed-state")
-    ready.writeStream.outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).format(
-        "parquet"
-    ).start(middle).awaitTermination()
-    governed = file_stream(spark, middle, ready.schema)
-    out = governed.groupBy("completion_id").transformWithStateInPandas(
-        statefulProcessor=Release(window), outputStructType=RELEASE, outputMode="append", timeMode="None"
-    )
-    return into_table(out, "released")
+    use_rocksdb(chunks.sparkSession)
+    found = find(_stateful(chunks, Cut(every, reach), STRETCH))
+    kind = found.schema["hits"].dataType.simpleString()
+    spelled = _through_table(found.select("*", F.to_json("hits").alias("hits_json")).drop("hits"), "stretches")
+    labelled = _stateful(spelled, Label(), LABELLED).withColumn("hits", F.from_json("hits_json", kind)).drop("hits_json")
+    columns = [c.split()[0] for c in STRETCH.split(", ")]
+    judged = _through_table(judge(labelled).select(*columns, "hits", "edits", "ways", "refusal"), "judged")
+    return into_table(_stateful(judged, Release(window, reach), RELEASE), "released")
 
 
 def delivered(pieces: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import time
 from datetime import datetime, timedelta, timezone
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakewarden.operators import audit
-from lakewarden.plans.q_stream import govern
+from lakewarden.plans.q_stream import find, govern, judge
 from lakewarden.session import fresh_path
 from lakewarden.streaming import holdback, jobs
 from lakewarden.streaming.runs import file_stream, into_table
@@ -46,7 +47,7 @@ def test_stream_equals_batch(spark, size, files):
     chunks = parts(spark, folder, size, files)
     batch = {r.completion_id: r for r in holdback.outcomes(govern(holdback.prefixes(chunks))).collect()}
     stream = file_stream(spark, folder, chunks.schema, per_batch=1)
-    out = {r.completion_id: r for r in holdback.delivered(holdback.released(stream, govern)).collect()}
+    out = {r.completion_id: r for r in holdback.delivered(holdback.released(stream, find, judge)).collect()}
     for name in TEXTS:
         a, b = batch[name], out[name]
         assert (a.text, a.refusal, a.decisions, a.overran) == (b.text, b.refusal, b.decisions, b.overran), name
@@ -59,6 +60,69 @@ def test_stream_equals_batch(spark, size, files):
     assert FILLER.startswith(out["secret"].text[: len(FILLER)])
 
 
+def in_stretches(chunks, every=512, window=1024, reach=512):
+    found = holdback.with_labels(find(holdback.stretches(chunks, every, reach)))
+    return {r.completion_id: r[1:] for r in holdback.answers(judge(found), window, reach).orderBy("completion_id").collect()}
+
+
+def whole_prefixes(chunks, every=512, window=1024):
+    return {r.completion_id: r[1:] for r in holdback.outcomes(govern(holdback.prefixes(chunks, every)), window).collect()}
+
+
+def answers_of(spark, texts, size):
+    rows = [(k, i, t[i * size : i * size + size], (i + 1) * size >= len(t)) for k, t in texts.items() for i in range(-(-len(t) // size))]
+    return spark.createDataFrame(rows, "completion_id string, seq int, delta string, is_last boolean")
+
+
+@pytest.mark.parametrize("every, window, size", [(512, 1024, 64), (100, 300, 7), (64, 10, 33), (700, 0, 50), (1, 60, 90)])
+def test_stretches_equal_whole_prefixes(spark, every, window, size):
+    rng = random.Random(every)
+    some = ["ann@example.com", "4111 1111 1111 1111", "+1 415 555 0132", "10.20.30.40", "plain", "words", "born 1990-01-02", "call", "card", "x" * 60, "1234 5678"]
+    texts = {f"r{k}": " ".join(rng.choices(some, [3, 3, 3, 2, 40, 40, 2, 5, 5, 3, 3], k=rng.randint(1, 400 if every > 1 else 60))) for k in range(25)}
+    texts |= {f"s{k}": f"{t} password: abc{k}def99 {t[:50]}" for k, t in enumerate(list(texts.values())[:6])}
+    chunks = answers_of(spark, {**TEXTS, **texts} if every > 1 else texts, size)
+    got, want = in_stretches(chunks, every, window), whole_prefixes(chunks, every, window)
+    assert got == want
+    assert any(r[1] for r in want.values())
+
+
+def test_stretches_are_linear_in_the_text(spark):
+    texts = {str(n): "word " * (n // 5) for n in (5_000, 50_000, 100_000)}
+    chunks = answers_of(spark, texts, 64)
+    read = {r[0]: r[1] for r in holdback.stretches(chunks).groupBy("completion_id").agg(F.sum(F.length("tail"))).collect()}
+    assert all(read[k] <= 3 * len(t) + 1536 for k, t in texts.items())
+
+
+def test_the_open_end_stays_small():
+    import types
+
+    answer, text, since = holdback.Answer(100, 80), "abcde fghij " * 500, 0
+    out = []
+    for seen in [*range(50, len(text), 50), len(text)]:
+        at = max(0, since - 160)
+        own = max(0, since - 80)
+        row = types.SimpleNamespace(tail=text[at:seen], at=at, own=own, since=since, seen=seen, settled_to=max(0, seen - 80), final=seen == len(text), refusal=None, edits=[], ways=[], hits=[])
+        out.append(answer.step(row)[0])
+        since = seen
+        assert len(answer.s["open"]) <= 200 and len(answer.s["out"]) <= 200
+    assert "".join(out) == text
+
+
+def test_duties_that_change_and_long_values_stop_an_answer():
+    import types
+
+    def row(**more):
+        base = {"tail": "x" * 300, "at": 0, "own": 0, "since": 0, "seen": 300, "settled_to": 220, "final": False, "refusal": None, "edits": [], "ways": ["pii.email {}"], "hits": []}
+        return types.SimpleNamespace(**base | more)
+
+    hit = {"label": "pii.email", "start": 10, "end": 20}
+    answer = holdback.Answer(50, 80)
+    assert answer.step(row(hits=[hit]))[4] is False
+    assert answer.step(row(tail="y" * 100, at=300, since=300, seen=400, settled_to=320, ways=["pii.email {\"s\":\"mask\"}"]))[4] is True
+    assert answer.step(row()) is None
+    assert holdback.Answer(50, 80).step(row(hits=[{**hit, "end": 60}]))[1] == holdback.OVERRUN
+
+
 def test_a_value_longer_than_the_window_stops_the_stream(spark):
     text = "a " * 20 + "4111 1111 1111 1111 end" + " b" * 200
     rows = [("c", i, text[i * 10 : i * 10 + 10], i * 10 + 10 >= len(text)) for i in range(-(-len(text) // 10))]
