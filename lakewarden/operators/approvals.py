@@ -6,54 +6,82 @@ expires_at, decided_by, resolved_at, redeemed_at, redeemed_by)``.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakewarden.functions.crypto import iso_utc
 from lakewarden.operators import policy
+from lakewarden.session import cut
 
 #: How long a ticket lives unless the caller says otherwise.
 TICKET_HOURS = 24.0
+#: Slices of a ticket's life in which the next ask is looked up.
+SLICES = 64
 
 
-def park(decided: DataFrame, tickets: DataFrame, at: str = "ts", hours: float = TICKET_HOURS) -> DataFrame:
+def park(decided: DataFrame, tickets: DataFrame, at: str = "ts", hours: float = TICKET_HOURS, slices: int = SLICES) -> DataFrame:
     """New tickets for parked decisions: an ask opens one unless its fingerprint has a live ticket.
 
-    A ticket lives ``hours``; an ask after its end opens the next. Asks of a fingerprint flow through
-    a task in order of time, batch by batch, and only the end of the last ticket is remembered.
+    A ticket lives ``hours``; an ask after its end opens the next. Every ask points to the first ask
+    after its own end, and the chains from the first asks on are found by doubling these pointers, in as
+    many rounds as the logarithm of the longest chain. Neither a fingerprint nor its chain is walked
+    by one task: pointers are looked up within short slices of time, ``slices`` to a ticket's life.
+    Asks of one time come in the order of their decision; a missing fingerprint is one of its own.
     """
+    own = {"_live_until", "_ask", "_t", "_slice"}
     parked = decided.where(F.col("effect") == policy.APPROVE).select(
         "fingerprint", "decision_id", F.col("principal_id").alias("requested_by"), F.col(at).cast("timestamp").alias("created_at")
     )
     live = tickets.where(F.col("status") == "pending").groupBy("fingerprint").agg(
         F.max(F.coalesce("expires_at", F.to_timestamp(F.lit("9999-12-31")))).alias("_live_until")
     )
+    life = round(hours * 3_600_000_000)
+    width = max(1, life // slices)
+    sliced = lambda t: F.floor(t / width)
     asks = parked.join(live, "fingerprint", "left").where(F.col("_live_until").isNull() | (F.col("_live_until") <= F.col("created_at")))
-    asks = asks.drop("_live_until").repartition("fingerprint").sortWithinPartitions("fingerprint", "created_at", "decision_id")
-    life = pd.Timedelta(hours=hours)
-
-    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, until = None, None
-        for batch in batches:
-            opens = []
-            for fingerprint, when in zip(batch["fingerprint"], batch["created_at"], strict=True):
-                new = fingerprint != last or when >= until
-                if new:
-                    last, until = fingerprint, when + life
-                opens.append(new)
-            yield batch[opens]
-
+    asks = asks.withColumns({"_ask": F.monotonically_increasing_id(), "_t": F.unix_micros("created_at")}).withColumn("_slice", sliced(F.col("_t")))
+    asks = cut(asks, "asks")
+    chain = _chained(asks.select(F.col("fingerprint").alias("f"), "_slice", "_t", "decision_id", "_ask"), life, sliced)
     return (
-        asks.mapInPandas(opened, asks.schema)
+        asks.join(chain.withColumnRenamed("id", "_ask"), "_ask", "left_semi")
+        .drop(*own)
         .withColumn("status", F.lit("pending"))
         .withColumn("expires_at", F.col("created_at") + F.expr(f"make_interval(0, 0, 0, 0, 0, 0, {hours * 3600})"))
     )
 
 
+def _chained(asks: DataFrame, life: int, sliced: Callable[[Column], Column]) -> DataFrame:
+    """Numbers (``id``) of the asks that open a ticket, among ``(f, _slice, _t, decision_id, _ask)``."""
+    ask = F.struct("_t", "decision_id", "_ask")
+    ends = F.col("_t") + life
+    # Asks, and for each the place where its ticket ends; at one time the end comes first, so that the ask counts as after it.
+    marks = asks.select("f", F.col("_slice").alias("s"), F.col("_t").alias("t"), ask.alias("ask"), F.lit(None).cast("long").alias("origin")).union(
+        asks.select("f", sliced(ends), ends, F.lit(None).cast(asks.select(ask.alias("a")).schema["a"].dataType), "_ask")
+    )
+    # Backwards in time, the last ask seen is the next one.
+    within = Window.partitionBy("f", "s").orderBy(F.col("t").desc(), F.col("origin").asc_nulls_first(), F.col("ask").desc())
+    across = Window.partitionBy("f").orderBy(F.col("s").desc())
+    upto = within.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    later = marks.groupBy("f", "s").agg(F.min("ask").alias("first")).select("f", "s", F.last("first", ignorenulls=True).over(earlier).alias("later"))
+    near = marks.select("f", "s", "origin", F.last("ask", ignorenulls=True).over(upto).alias("near")).where("origin is not null")
+    same = near["f"].eqNullSafe(later["f"]) & (near["s"] == later["s"])
+    jumps = cut(
+        near.join(later, same, "left").select("origin", F.coalesce("near", "later")["_ask"].alias("to")).where("to is not null"), "jumps"
+    )
+    reached = cut(asks.groupBy("f").agg(F.min(ask).alias("first")).select(F.col("first._ask").alias("id")), "reached")
+    while True:
+        more = cut(reached.join(jumps, F.col("id") == F.col("origin")).select(F.col("to").alias("id")).distinct(), "reached")
+        if more.isEmpty():
+            return reached
+        reached = cut(reached.union(more), "reached")
+        on = jumps.select(F.col("origin").alias("to"), F.col("to").alias("beyond"))
+        jumps = cut(jumps.join(on, "to").select("origin", F.col("beyond").alias("to")), "jumps")
+
+
 def redemption_error(fingerprint: Column, now: Column) -> Column:
     """Why a ticket in the row cannot be spent on a request, or null."""
     status = F.col("status")

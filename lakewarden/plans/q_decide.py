@@ -607,16 +607,15 @@ def contradiction_correction(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "park_for_approval",
-    "with recursive live as (select fingerprint, max(expires_at) as until from {tickets} where status = 'pending' and approval_id % 2 = 0 group by 1),"
+    "with recursive live as (select fingerprint, max(expires_at) as until from {tickets} where status = 'pending' group by 1),"
     " ask as (select request_fingerprint as fingerprint, decision_id, ts from {decisions} left join live on fingerprint = request_fingerprint where effect = 'require_approval' and (until is null or until <= ts)),"
-    " next as (select a.decision_id, b.decision_id as then_id from ask a asof join ask b on a.fingerprint = b.fingerprint and a.ts + interval '24' hour <= b.ts),"
+    " next as materialized (select a.decision_id, arg_min(b.decision_id, (b.ts, b.decision_id)) as then_id from ask a join ask b on a.fingerprint = b.fingerprint and a.ts + interval '24' hour <= b.ts group by 1),"
     " opened as (select arg_min(decision_id, (ts, decision_id)) as decision_id from ask group by fingerprint union all select then_id from opened join next using (decision_id))"
     " select fingerprint, decision_id, 'pending' as status from opened join ask using (decision_id)",
 )
 def park_for_approval(spark: SparkSession, sf: str) -> DataFrame:
     """A ticket for every ask that no live one of its request covers."""
-    known = derived.table(spark, sf, "tickets").where(F.col("approval_id") % 2 == 0)
-    parked = approvals.park(decisions(spark, sf).withColumnRenamed("request_fingerprint", "fingerprint"), known)
+    parked = approvals.park(decisions(spark, sf).withColumnRenamed("request_fingerprint", "fingerprint"), derived.table(spark, sf, "tickets"))
     return parked.select("fingerprint", "decision_id", "status")
 
 
