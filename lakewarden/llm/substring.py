@@ -184,7 +184,8 @@ def kept_text(text_col: str, spans_col: str) -> Column:
     def run(texts: pa.Array, spans: pa.Array) -> pa.Array:
         return pa.array([b" ".join(kept).decode() for _, kept in _rest(texts, spans)], pa.string())
 
-    return run(F.col(text_col), F.col(spans_col))
+    # Else a filter on the result would run it a second time, in a second worker beside the first.
+    return run.asNondeterministic()(F.col(text_col), F.col(spans_col))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, mark: int = MARK) -> DataFrame:
