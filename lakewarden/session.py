@@ -56,11 +56,12 @@ def fresh_path(spark: SparkSession, purpose: str) -> str:
 def cut(df: DataFrame, purpose: str = "cut") -> DataFrame:
     """Write ``df`` once and read it back, so later stages never recompute it.
 
-    A written table survives the loss of any executor, unlike a cached block.
+    A written table survives the loss of any executor, unlike a cached block. It is read once or
+    twice and never kept for long, so it is packed tighter than Spark's default.
     """
     spark = df.sparkSession
     path = fresh_path(spark, purpose)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
