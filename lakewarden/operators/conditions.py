@@ -414,12 +414,16 @@ def _glob(view: View, operand: Any) -> Column:
     return _some_string(view, [lambda v, p=p: v.rlike(p) for p in patterns])
 
 
-def _regex(view: View, operand: Any) -> Column:
+def check_pattern(operand: Any) -> None:
     if not isinstance(operand, str):
         raise PolicyError("operator 'regex' needs a string pattern")
     longest = _LIMITS.get()[0]
     if longest is not None and len(operand) > longest:
         raise PolicyError(f"operator 'regex' pattern exceeds {longest} characters")
+
+
+def _regex(view: View, operand: Any) -> Column:
+    check_pattern(operand)
     return _some_string(view, [lambda v: v.rlike(operand)])
 
 

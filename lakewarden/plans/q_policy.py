@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewarden.operators import conditions, policy
+from lakewarden.operators import conditions, obligations, policy, policy_index
 from lakewarden.plans import derived
 from lakewarden.plans.registry import add, query
 from lakewarden.plans.requests import access_requests
@@ -530,6 +530,74 @@ def replay_as_of(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("request_id", "effect", F.size("matched_policies").alias("matched"))
 
 
+_USER = "case {u} % 3 when 0 then 'agent:' when 1 then 'user:' else 'service:' end, cast({u} as string)"
+_EFFECT_OF = "case o_orderkey % 7 when 0 then 'deny' when 1 then 'require_approval' else 'allow' end"
+#: A policy per order: equality, lists, prefixes, numbers, alternatives and negations, most on one principal.
+_RULES = (
+    "select o_orderkey as policy, concat('k', lpad(cast(o_orderkey as string), 9, '0')) as key, cast(null as string) as name,"
+    f" cast(o_orderkey % 50 as int) as priority, {_EFFECT_OF} as effect, u, case o_orderkey % 5"
+    " when 0 then concat('{{\"principal.id\":\"', who, '\"}}')"
+    " when 1 then concat('{{\"principal.id\":[\"', who, '\",\"nobody\"],\"action\":\"export\"}}')"
+    " when 2 then concat('{{\"all\":[{{\"resource.urn\":{{\"startswith\":\"pg://\"}}}},{{\"principal.id\":{{\"eq\":\"', who, '\"}}}}]}}')"
+    " when 3 then concat('{{\"any\":[{{\"principal.id\":\"', who, '\",\"context.amount\":{{\"gt\":50}}}},{{\"principal.id\":\"', who, '\",\"action\":{{\"glob\":\"*e*r*\"}}}}]}}')"
+    " else concat('{{\"all\":[{{\"principal.id\":\"', who, '\"}},{{\"not\":{{\"action\":[\"read\",\"search\"]}}}}]}}') end as match"
+    f" from (select *, concat({_USER.format(u='u')}) as who from (select o_orderkey, o_custkey % 1000 as u from {{orders}}) o) w"
+)
+_RULE_HOLDS = (
+    "case policy % 5 when 0 then true when 1 then action = 'export' when 2 then starts_with(urn, 'pg://')"
+    " when 3 then coalesce(value > 50, false) or regexp_full_match(action, '.*e.*r.*') else action not in ('read', 'search') end"
+)
+#: What a table of matches ``m (event_id, policy, key, priority, effect)`` decides for all of ``r``.
+_SETTLED = (
+    " s as (select *, case effect when 'deny' then 2 when 'require_approval' then 1 else 0 end as strength from m),"
+    " w as (select *, row_number() over (partition by event_id order by strength desc, priority desc, key desc) as place, count(*) over (partition by event_id) as n from s)"
+    " select r.event_id as request_id, coalesce(effect, 'deny') as effect, key as determining_policy, cast(coalesce(n, 0) as int) as matched"
+    " from r left join w on w.event_id = r.event_id and place = 1"
+)
+_INDEXED = ("principal.id", "principal.type", "action", "resource.urn", "context.amount")
+
+
+def _decided_by_table(out: DataFrame) -> DataFrame:
+    return out.select("request_id", "effect", "determining_policy", F.size("matched_policies").alias("matched"))
+
+
+@query(
+    "policies_indexed",
+    f"with p as ({_RULES}), r as (select * from {{requests}}), m as (select event_id, policy, key, priority, effect from r join p on user_id = u where {_RULE_HOLDS})," + _SETTLED,
+)
+def policies_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests against a policy per order, found through an index instead of one Column each."""
+    table = derived.run(spark, sf, _RULES).withColumn("obligations", F.array().cast(obligations.OBLIGATIONS))
+    return _decided_by_table(policy_index.evaluate(access_requests(spark, sf), table, _INDEXED))
+
+
+#: A version per order, of forty policies; each holds until the next one of its policy.
+_DATED = (
+    "select policy, concat('line', cast(policy % 40 as string)) as key, cast(null as string) as name, cast(policy % 6 as int) as priority,"
+    " case policy % 7 when 0 then 'deny' when 1 then 'require_approval' else 'allow' end as effect,"
+    " case policy % 4 when 0 then '{{\"action\":\"read\"}}' when 1 then '{{\"action\":[\"read\",\"search\"],\"principal.type\":\"agent\"}}'"
+    " when 2 then '{{\"context.amount\":{{\"gte\":50}}}}' else '{{}}' end as match,"
+    " valid_from, lead(valid_from) over (partition by policy % 40 order by valid_from, policy) as valid_to"
+    " from (select o_orderkey as policy, timestamp '2024-01-01 00:00:00' + interval '1' second * cast((o_orderkey * 7919) % 2592000 as int) as valid_from from {orders}) o"
+)
+_VERSION_HOLDS = (
+    "case policy % 4 when 0 then action = 'read' when 1 then action in ('read', 'search') and principal_type = 'agent'"
+    " when 2 then coalesce(value >= 50, false) else true end"
+)
+
+
+@query(
+    "replay_versions",
+    f"with p as ({_DATED}), r as (select * from {{requests}}),"
+    f" m as (select event_id, policy, key, priority, effect from r join p on ts >= valid_from and ts < coalesce(valid_to, timestamp '9999-01-01') where {_VERSION_HOLDS}),"
+    + _SETTLED,
+)
+def replay_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests against the versions in force at their time, versions being rows of a history."""
+    table = derived.run(spark, sf, _DATED).withColumn("obligations", F.array().cast(obligations.OBLIGATIONS))
+    return _decided_by_table(policy_index.evaluate(access_requests(spark, sf), table, _INDEXED, at="ts"))
+
+
 _LISTED = "select concat('k', lpad(cast(p_partkey as string), 7, '0')) as key, case p_partkey % 3 when 0 then 'allow' when 1 then 'deny' else 'require_approval' end as effect, p_size as priority, p_partkey % 4 <> 0 as enabled, case when p_partkey % 2 = 0 then p_brand else p_type end as tag from {part}"
 
 
