@@ -171,10 +171,13 @@ def _some(view: Column, operands: Column, hit) -> Column:
 def holds(features: Column, test: Column) -> Column:
     """Whether one test, a row's value, holds for a request's features. Never null."""
     none = F.array()
-    view = F.coalesce(
-        F.try_element_at(features, test["selector"]),
-        F.struct(*[F.lit(x).alias(n) for n, x in (("present", False), ("is_null", False), ("is_list", False), ("count", 0))], *[none.alias(n) for n in ("strings", "numbers", "booleans")]).cast(_FEATURE),
-    )
+    absent = F.struct(*[F.lit(x).alias(n) for n, x in (("present", False), ("is_null", False), ("is_list", False), ("count", 0))], *[none.alias(n) for n in ("strings", "numbers", "booleans")])
+    view = F.coalesce(F.try_element_at(features, test["selector"]), absent.cast(_FEATURE))
+    # Bound once by the lambda, not spelled out in every case.
+    return F.forall(F.array(view), lambda v: _holds(v, test))
+
+
+def _holds(view: Column, test: Column) -> Column:
     operands, first = test["operands"], F.get(test["operands"], F.lit(0))
     texts = F.transform(operands, lambda o: o["text"])
     same_list = view["is_list"] & F.forall(texts, lambda t: t.isNotNull()) & (view["strings"] == texts) & (view["count"] == F.size(operands))
