@@ -7,7 +7,7 @@ Tables: ``assets(urn, name, kind, owner, description, attributes map<string,vari
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,6 +42,10 @@ KIND_OF_SCHEME = {
 EVIDENCE_SAMPLES = 3
 EVIDENCE_PATHS = 5
 SCAN_FLOOR = 0.5
+#: Characters of a pattern's inner literals that are looked up at once.
+GRAM = 8
+#: Parts into which the names of one anchor are cut.
+SLICES = 16
 
 ATTRIBUTES = "map<string,variant>"
 
@@ -69,29 +73,88 @@ def merged_labels(labels: DataFrame) -> DataFrame:
     return labels.groupBy("urn", "label").agg(best.alias("confidence"))
 
 
-def covering_assets(urns: DataFrame, assets: DataFrame) -> DataFrame:
+def _windows(text: Column, size: Column) -> Column:
+    """All runs of ``size`` characters of ``text``, which has at least as many."""
+    return F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substr(text, i, size))
+
+
+def _at(place: str) -> Callable[[Column], Column]:
+    return lambda text: F.struct(F.lit(place).alias("place"), text.alias("text"))
+
+
+def anchors(pattern: Column) -> Column:
+    """``array<struct<place, text>>``: texts of which every name that a glob covers holds each.
+
+    These are the glob's literal beginning and end and, of the pieces between wildcards, every run of
+    ``GRAM`` characters, or the piece itself if it is shorter. A glob of wildcards alone has the empty
+    beginning, which every name holds.
+    """
+    pieces = F.split(F.regexp_replace(pattern, r"\[[^\]]+\]", "*"), r"[*?]+")
+    inner = F.filter(F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0))), lambda x: x != "")
+    grams = F.flatten(F.transform(inner, lambda x: _windows(x, F.least(F.length(x), F.lit(GRAM)))))
+    ends = F.array(_at("start")(F.element_at(pieces, 1)), _at("end")(F.element_at(pieces, -1)))
+    found = F.array_distinct(F.concat(F.filter(ends, lambda x: x["text"] != ""), F.transform(grams, _at("inside"))))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(_at("start")(F.lit(""))))
+
+
+def _held(name: Column, sizes: dict[str, list[int]]) -> Column:
+    """The anchors that a name may answer to, of the given sizes only."""
+    take = {
+        "start": lambda n: F.array(F.left(name, n)),
+        "end": lambda n: F.array(F.right(name, n)),
+        "inside": lambda n: _windows(name, n),
+    }
+    none = F.array().cast("array<struct<place:string,text:string>>")
+    parts = [none]
+    for place, lengths in sizes.items():
+        fitting = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(name))
+        texts = F.array_distinct(F.flatten(F.transform(fitting, take[place])))
+        parts.append(F.transform(texts, _at(place)))
+    return F.concat(*parts)
+
+
+def _sizes(found: DataFrame) -> dict[str, list[int]]:
+    """The distinct lengths of anchors by place: as many numbers as the longest pattern has characters, at most."""
+    out: dict[str, list[int]] = {}
+    for place, n in sorted(found.select("place", F.length("text")).distinct().collect()):
+        out.setdefault(place, []).append(n)
+    return out
+
+
+def covering_assets(urns: DataFrame, assets: DataFrame, slices: int = SLICES) -> DataFrame:
     """``(urn, asset_urn, is_exact)``: the asset itself and every pattern asset covering it.
 
-    A pattern can only cover names that start with its literal beginning, so the glob test
-    runs behind an equi-join on that beginning instead of over all pairs.
+    Patterns are posted in an inverted index under one of their literals each: the one that the fewest
+    names hold, be it the beginning, the end or a run of characters between. Names look up their own
+    beginnings, ends and runs, of those lengths only that the index has, and what meets is tested as a
+    glob. An anchor that many names hold is cut into ``slices`` by the name; patterns are repeated in
+    each, so this should be a small number. ``urns`` and ``assets`` are read several times and had
+    better be written tables; a null name is covered by nothing.
     """
-    exact = urns.join(assets.select(F.col("urn").alias("asset_urn")), F.col("urn") == F.col("asset_urn")).select(
-        "urn", "asset_urn", F.lit(True).alias("is_exact")
-    )
-    wild = F.col("urn").rlike(r"[*?]")
-    patterns = assets.where(wild).select(
-        F.col("urn").alias("asset_urn"),
-        F.regexp_extract("urn", r"^([^*?\[]*)", 1).alias("stem"),
-        glob_regex_column(F.col("urn")).alias("glob"),
+    names = urns.select("urn").where(F.col("urn").isNotNull()).distinct()
+    known = assets.select(F.col("urn").alias("asset_urn")).distinct()
+    exact = names.join(known, F.col("urn") == F.col("asset_urn")).select("urn", "asset_urn", F.lit(True).alias("is_exact"))
+    patterns = known.where(F.col("asset_urn").rlike(r"[*?]"))
+    choices = patterns.select("asset_urn", F.inline(anchors(F.col("asset_urn"))))
+    held = names.select("urn", F.inline(_held(F.col("urn"), _sizes(choices))))
+    asked = held.join(choices.select("place", "text").distinct(), ["place", "text"], "left_semi").groupBy("place", "text").agg(F.count("*").alias("many"))
+    # No name holds an anchor that none was counted for, so its pattern covers none.
+    rarest = (
+        choices.join(asked, ["place", "text"], "left")
+        .groupBy("asset_urn")
+        .agg(F.min(F.struct(F.coalesce("many", F.lit(0)).alias("many"), "place", "text")).alias("best"))
+        .where("best.many > 0")
     )
-    stems = urns.select(
-        "urn",
-        F.explode(
-            F.transform(F.sequence(F.lit(0), F.length("urn")), lambda n: F.left(F.col("urn"), n))
-        ).alias("stem"),
+    posted = rarest.select(
+        "asset_urn",
+        "best.place",
+        "best.text",
+        glob_regex_column(F.col("asset_urn")).alias("glob"),
+        F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"),
     )
     by_glob = (
-        stems.join(patterns, "stem")
+        held.withColumn("slice", F.pmod(F.xxhash64("urn"), F.lit(slices)).cast("int"))
+        .join(posted, ["place", "text", "slice"])
         .where((F.col("urn") != F.col("asset_urn")) & F.expr("urn rlike glob"))
         .select("urn", "asset_urn", F.lit(False).alias("is_exact"))
     )
@@ -104,12 +167,15 @@ def resolve(urns: DataFrame, assets: DataFrame, labels: DataFrame) -> DataFrame:
     Labels take the highest confidence over the covering assets. Attributes are layered by
     key: shorter patterns first, the exact asset last. A name gathers only the assets that
     cover it, so a row's array is bounded by the patterns of the catalog.
+
+    ``urns``, ``assets`` and ``labels`` are read once each: the distinct names and the catalog with
+    its labels are written to the shared folder when the plan is built, and so is the answer.
     """
-    names = urns.select("urn").where(F.col("urn").isNotNull() & (F.col("urn") != "")).distinct()
+    names = cut(urns.select("urn").where(F.col("urn").isNotNull() & (F.col("urn") != "")).distinct(), "names")
     labelled = merged_labels(labels).groupBy(F.col("urn").alias("asset_urn")).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "confidence")))).alias("labels")
     )
-    known = assets.select(F.col("urn").alias("asset_urn"), "attributes", "kind").join(labelled, "asset_urn", "left")
+    known = cut(assets.select(F.col("urn").alias("asset_urn"), "attributes", "kind").join(labelled, "asset_urn", "left"), "catalog")
     no_labels = F.create_map().cast("map<string,double>")
     layer = F.struct(
         "is_exact",
@@ -121,7 +187,7 @@ def resolve(urns: DataFrame, assets: DataFrame, labels: DataFrame) -> DataFrame:
     )
     # Attributes have no order of their own, so layers are ordered by their place alone.
     covered = (
-        covering_assets(names, assets)
+        covering_assets(names, known.select(F.col("asset_urn").alias("urn")))
         .join(known, "asset_urn")
         .groupBy("urn")
         .agg(F.collect_list(layer).alias("found"))
@@ -136,7 +202,7 @@ def resolve(urns: DataFrame, assets: DataFrame, labels: DataFrame) -> DataFrame:
         no_labels,
         lambda acc, x: F.map_zip_with(acc, x["labels"], lambda k, a, b: F.greatest(a, b)),
     )
-    return rows.select(
+    resolved = rows.select(
         "urn",
         (F.size("layers") > 0).alias("registered"),
         F.coalesce(exact["kind"], infer_kind(F.col("urn"))).alias("kind"),
@@ -146,6 +212,7 @@ def resolve(urns: DataFrame, assets: DataFrame, labels: DataFrame) -> DataFrame:
             "layers", F.create_map().cast(ATTRIBUTES), lambda acc, x: overlay(acc, x["attributes"])
         ).alias("attributes"),
     )
+    return cut(resolved, "resolved")
 
 
 def _by_place(a: Column, b: Column) -> Column:

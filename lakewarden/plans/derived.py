@@ -164,6 +164,21 @@ DERIVED: dict[str, str] = {
         union all
         select concat('s3://', lower(p_type), '/', cast(p_partkey as string)), 'pii.phone', 'scan', cast(0.55 as double) + (p_partkey % 4) * 0.1
         from {{part}} where p_partkey % 3 = 0""",
+    # Patterns that begin, end or both with a wildcard, some with a class, and one that covers everything.
+    "globs": """
+        select concat('*/', cast(p_partkey as string)) as urn from {part}
+        union
+        select concat('*', lower(split_part(p_type, ' ', 3)), '/*', substr(cast(p_partkey as string), 1, 2), '*') from {part}
+        union
+        select concat('?3://*', lower(split_part(p_type, ' ', 2)), ' *[0-4]') from {part}
+        union
+        select concat('*vendor', cast(s_nationkey as string), '/*') from {supplier}
+        union
+        select concat('*.', lower(n_name)) from {nation}
+        union
+        select concat('pg://*', substr(lower(r_name), 1, 3), '*.nation_?') from {region}
+        union
+        select '*' from {region}""",
     # One access request per event; clicks carry a document, errors a templated row.
     "requests": """
         select e.event_id, e.ts, e.user_id, e.event_type, e.value,

@@ -15,6 +15,7 @@ from lakewarden.plans.requests import (
     catalog_assets,
     catalog_principals,
 )
+from lakewarden.session import cut
 from lakewarden.sources import tables as T
 
 _GLOB = "'^' || replace(replace(replace(a.urn, '.', '[.]'), '*', '.*'), '?', '.') || '$'"
@@ -53,6 +54,17 @@ def resolve_urn(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "cover_by_literals",
+    "select distinct r.urn, g.urn as pattern from {requests} r join {globs} g on r.urn glob g.urn and r.urn <> g.urn",
+)
+def cover_by_literals(spark: SparkSession, sf: str) -> DataFrame:
+    """Requested names under patterns that start with a wildcard, found by the rarest literal of each."""
+    names = cut(derived.table(spark, sf, "requests").select("urn").distinct(), "names")
+    globs = cut(derived.table(spark, sf, "globs"), "globs")
+    return catalog.covering_assets(names, globs).where("not is_exact").select("urn", F.col("asset_urn").alias("pattern"))
+
+
 @query(
     "attribute_layering",
     "with " + COVER.strip() + ", layers as (select c.urn, c.is_exact, c.asset_urn, a.zone, a.tier from cover c join {assets} a on a.urn = c.asset_urn),"

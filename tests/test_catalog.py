@@ -43,6 +43,53 @@ def test_resolving_has_no_cross_join(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def _tree(plan):
+    return plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_names_are_covered_as_by_testing_every_pattern(spark):
+    import random
+    import re
+
+    from lakewarden.operators.conditions import glob_regex
+
+    draw = random.Random(7)
+    word = lambda n: "".join(draw.choice("ab/.:") for _ in range(n))
+    names = sorted({word(draw.randint(0, 14)) for _ in range(300)} | {"a[b", "abababababababab", "é/ab", "a*b"})
+    globs = {draw.choice(["*", "?", "", "[ab]", "[!a]"]) + word(draw.randint(0, 3)) + draw.choice(["*", "?", "**", "*[.:]"]) + word(draw.randint(0, 10)) + draw.choice(["", "*", "?*", "?"]) for _ in range(200)}
+    globs = sorted(globs | {"*", "?", "**", "*a", "a*", "*abababababa*", "a*b", "*[b", "é*", "ab", "a.b", ""})
+    want = {(n, g) for n in names for g in globs if re.search(r"[*?]", g) and n != g and re.match(glob_regex(g).replace("\\z", "\\Z"), n)}
+    frames = [spark.createDataFrame([(x,) for x in [*rows, None, *rows[:3]]], "urn string") for rows in (names, globs)]
+    for slices in (1, 5):
+        got = catalog.covering_assets(*frames, slices=slices).collect()
+        assert len(got) == len({(r.urn, r.asset_urn) for r in got})
+        assert {(r.urn, r.asset_urn) for r in got if not r.is_exact} == want
+        assert {r.urn for r in got if r.is_exact} == set(names) & set(globs)
+    assert catalog.covering_assets(frames[0], frames[1].limit(0)).count() == 0
+    assert catalog.covering_assets(frames[0].limit(0), frames[1]).count() == 0
+
+
+def test_a_common_beginning_is_no_key_where_a_pattern_has_a_rarer_literal(spark):
+    names = spark.range(3000).select(F.format_string("pg://db/%05d", "id").alias("urn"))
+    globs = spark.range(50).select(F.format_string("pg://*%05d*", "id").alias("urn"))
+    plan = catalog.covering_assets(names, globs)
+    assert plan.count() == 50
+    # Beside the beginning that all names share, each pattern has a run that one name holds.
+    choices = globs.select("urn", F.inline(catalog.anchors(F.col("urn"))))
+    assert {(r.place, len(r.text)) for r in choices.collect()} == {("start", 5), ("inside", 5)}
+
+
+def test_resolving_reads_its_tables_once_and_plans_small(spark, tmp_path):
+    assets, labels, _ = seeds.load_catalog(spark, CATALOG)
+    names = spark.createDataFrame([("pg://public.customers",), (None,), ("",)], "urn string")
+    out = catalog.resolve(names, assets, labels)
+    assert [r.urn for r in out.collect()] == ["pg://public.customers"]
+    assert _tree(out).count("Relation") == 1 and "Join" not in _tree(out)
+    assert catalog.resolve(names.limit(0), assets, labels).count() == 0
+    bare = catalog.resolve(names, assets.limit(0), labels).first()
+    assert not bare.registered and bare.matched_patterns == [] and bare.kind == "table"
+
+
 def route(spark, duties, original="model://us/c"):
     assets, labels, _ = seeds.load_catalog(spark, CATALOG)
     rows = spark.range(1).select(O.literal(duties).alias("obligations"), F.lit(original).alias("original"))
