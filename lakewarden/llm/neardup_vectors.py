@@ -4,8 +4,9 @@ Vectors with one label are compared by cosine, but only inside leaves. A node wi
 ``LEAF`` vectors is split at the median of its vectors' projections on a random direction of its
 own; vectors close to the median go to both sides, as far as two vectors of the lowest linked cosine
 typically lie apart, so a linked pair is rarely parted, and hardly ever in all ``TREES`` trees. A
-node whose vectors nearly all lie within that distance cannot be parted that way; it stays whole,
-however large, and its vectors are compared in blocks.
+node whose vectors mostly lie within that distance cannot be parted that way; it stays whole,
+however large, and its vectors are compared in blocks. A level so holds at most ``GROWTH`` times the ids
+of the one before.
 
 Splits are Spark jobs level by level: projections, a median per node by partial aggregates, a join.
 Vectors are never copied into the levels, only ids. Exact copies are one member with a weight. A
@@ -22,14 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm import common, minhash, vectors
+from lakewarden.llm import common, vectors
 from lakewarden.session import cut
 
 TREES, LEAF, BLOCK = 4, 768, 768
 #: Width of the shared band in standard deviations of a linked pair's distance along a direction.
 SPILL = 1.5
-#: A child with a larger share of its node's vectors means that the node cannot be parted.
-STUCK = 0.9
+#: A child with a larger share of its node's vectors means that the node cannot be parted, and so do
+#: children that together hold a larger multiple of them: levels of such nodes would add up.
+STUCK, GROWTH = 0.9, 1.5
 
 
 def _projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +75,7 @@ def _leaf_links(cosine: float):
         a, b = np.nonzero(near)
         if i == j:
             a, b = a[a < b], b[a < b]
-        a, b = minhash.spanning(ids[left[a]], ids[right[b]])
+        a, b = vectors.spanning(ids[left[a]], ids[right[b]])
         counted = np.flatnonzero(links)
         return pa.table(
             {
@@ -115,9 +117,9 @@ def forest(points: DataFrame, cosine: float, trees: int = TREES, leaf: int = LEA
             sides.groupBy("node", "child")
             .agg(F.count("*").alias("held"))
             .groupBy("node")
-            .agg(F.max("held").alias("held"))
+            .agg(F.max("held").alias("held"), F.sum("held").alias("both"))
             .join(large, "node")
-            .where(F.col("held") > STUCK * F.col("many"))
+            .where((F.col("held") > STUCK * F.col("many")) | (F.col("both") > GROWTH * F.col("many")))
             .select("node")
         )
         done.append(thrown.select("node", "id").join(stuck, "node", "left_semi"))

@@ -24,3 +24,22 @@ def matrix(column: pa.Array) -> np.ndarray:
 def unit(rows: np.ndarray) -> np.ndarray:
     rows = rows / np.abs(rows).max(axis=1, keepdims=True)
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fewer edges with the components of ``a -- b``: from each vertex to the smallest of its component."""
+    if not len(a):
+        return a, b
+    names, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = flat[: len(a)], flat[len(a) :]
+    root = np.arange(len(names))
+    while True:
+        before = root.copy()
+        low = np.minimum(root[x], root[y])
+        for held in (root[x], root[y], x, y):
+            np.minimum.at(root, held, low)
+        root = root[root]
+        if (root == before).all():
+            break
+    own = np.flatnonzero(root != np.arange(len(names)))
+    return names[own], names[root[own]]
