@@ -160,16 +160,12 @@ def date(f: Feistel, text: str) -> str | None:
         return None
     if not _FIRST <= at <= _LAST:
         return None
-    kind = b"date" + parts[1].encode() + (b"y" if years_first else b"m" if swapped else b"d")
-
-    def fits(v: int) -> bool:
-        new = datetime.date.fromordinal(_FIRST + v)
-        if swapped:
-            return new.day > 12
-        # Written without leading zeros, a date stays one that needs none; read day first, it stays unmistakable.
-        return all(len(str(x)) == len(p) or p[0] == "0" and x < 10 for x, p in ((new.month, month), (new.day, day)))
-
-    new = datetime.date.fromordinal(_FIRST + f.walk(at - _FIRST, _LAST - _FIRST + 1, kind, fits))
+    # One permutation of days for all spellings, so that a date stays linked however it is written. A month or
+    # day of one digit stays one, and a day that cannot be a month too, so that each spelling keeps its form.
+    kind = lambda d: (d.month < 10, (d.day > 9) + (d.day > 12))
+    own = kind(datetime.date.fromordinal(at))
+    fits = lambda v: kind(datetime.date.fromordinal(_FIRST + v)) == own
+    new = datetime.date.fromordinal(_FIRST + f.walk(at - _FIRST, _LAST - _FIRST + 1, b"date", fits))
     spelled = [f"{new.day:0{len(day)}d}", f"{new.month:0{len(month)}d}"]
     if swapped:
         spelled.reverse()
@@ -189,13 +185,13 @@ def ipv4(f: Feistel, text: str) -> str | None:
 
 
 def _symbols(f: Feistel, text: str, kind: bytes) -> str:
-    """Letters and digits permuted within their own kind; all else stays."""
+    """Letters and digits permuted within their own kind; all else stays. Capitals stay where they are and change nothing else."""
     radix = [10 if c.isdigit() else 26 for c in text if c.isascii() and c.isalnum()]
     held = [c for c in text if c.isascii() and c.isalnum()]
     value, size = 0, 1
     for c, r in zip(held, radix, strict=True):
         value, size = value * r + (int(c) if r == 10 else ord(c.lower()) - 97), size * r
-    value, new = f(value, size, kind + re.sub("[0-9]", "9", re.sub("[A-Z]", "A", re.sub("[a-z]", "a", text))).encode()), []
+    value, new = f(value, size, kind + re.sub("[0-9]", "9", re.sub("[A-Za-z]", "a", text)).encode()), []
     for c, r in zip(reversed(held), reversed(radix), strict=True):
         value, k = divmod(value, r)
         new.append(str(k) if r == 10 else chr((65 if c.isupper() else 97) + k))
