@@ -63,24 +63,29 @@ def _license_sql() -> str:
     from lakewarden.llm import licenses
 
     said = [*licenses.BASE.items(), *licenses.NOTICES.items()]
-    rows = ", ".join(f"({n}, '{text}', '{label}', {str(n < len(licenses.BASE)).lower()})" for n, (text, label) in enumerate(said))
+    read = [(*licenses.parsed(text), label) for text, label in said]
+    rows = ", ".join(
+        f"({n}, '{' '.join(words)}', {[i for i in range(len(words)) if need >> i & 1]}::bigint[], '{label}', {str(n < len(licenses.BASE)).lower()})"
+        for n, (words, need, label) in enumerate(read)
+    )
     return f"""
-    with template(template, phrase, label, is_base) as (values {rows}),
-    gram as (select template, label, is_base, len(p) - 2 as grams, unnest(range(1, len(p) - 1)) as k, p
+    with template(template, phrase, need, label, is_base) as (values {rows}),
+    gram as (select template, need, label, is_base, len(p) - 2 as grams, unnest(range(1, len(p) - 1)) as k, p
         from (select *, string_split(phrase, ' ') as p from template)),
-    known as (select template, label, is_base, grams, k - 1 as place, p[k] || ' ' || p[k + 1] || ' ' || p[k + 2] as g from gram),
+    known as (select template, need, label, is_base, grams, k - 1 as place, p[k] || ' ' || p[k + 1] || ' ' || p[k + 2] as g from gram),
     said as (select row_number() over () as r, doc_id, list_filter(regexp_split_to_array(
         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
         '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w from documents),
     place as (select r, unnest(range(1, len(w) - 1)) as i, w from said),
-    hit as (select distinct r, template, label, is_base, grams, i - 1 - place as diagonal, place
+    hit as (select distinct r, template, need, label, is_base, grams, i - 1 - place as diagonal, place
         from (select r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from place) join known using (g)),
-    vote as (select r, template, label, is_base, grams, diagonal, list(place) as places, count(*) = any_value(grams) and bool_and(is_base) as whole
-        from hit group by r, template, label, is_base, grams, diagonal),
+    vote as (select r, template, need, label, is_base, grams, diagonal, list(place) as places, count(*) = any_value(grams) and bool_and(is_base) as whole
+        from hit group by r, template, need, label, is_base, grams, diagonal),
     opened as (select *, case when diagonal - lag(diagonal) over (partition by r, template order by diagonal) <= {licenses.SLACK} then 0 else 1 end as opens from vote),
     run as (select *, sum(opens) over (partition by r, template order by diagonal) as run from opened),
-    merged as (select r, template, label, is_base, run, len(list_distinct(flatten(list(places)))) / any_value(grams) as covered,
-        count(*) filter (whole) as whole, min(diagonal) filter (whole) as low, max(diagonal) filter (whole) as high from run group by all),
+    merged as (select r, template, label, is_base, run,
+        case when list_has_all(flatten(list(places)), any_value(need)) then len(list_distinct(flatten(list(places)))) / any_value(grams) else 0 end as covered,
+        count(*) filter (whole) as whole, min(diagonal) filter (whole) as low, max(diagonal) filter (whole) as high from run group by r, template, label, is_base, run),
     found as (select r, sum(whole)::bigint as n_base, min(low) as first_word, max(high) as last_word,
         coalesce(string_agg(distinct label, ',' order by label) filter (whole > 0), '') as base_labels,
         coalesce(string_agg(distinct label, ',' order by label) filter (whole > 0 or (not is_base and covered >= {licenses.COVER})), '') as labels,
@@ -144,22 +149,31 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op9_url_filter"] = f"""
 with recursive seen as (
-    select row_number() over () as r, page_id, html, regexp_extract(coalesce(url, ''), '(?s)^(.*?)://', 1) as scheme,
-        regexp_extract(coalesce(url, ''), '(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)', 1) as base,
+    select row_number() over () as r, page_id, html, url, regexp_extract(coalesce(url, ''), '(?s)^(.*?)://', 1) as scheme,
         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
-        regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*(/[^?#]*)', 1) as path from pages),
+        regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*(/[^?#]*)', 1) as path, regexp_extract(coalesce(url, ''), '(?s)^[^?#]*(\\?[^#]+)', 1) as asked from pages),
 tag as (select r, unnest(regexp_extract_all(coalesce(html, ''), '(?i)<(?:link|meta)\\s[^>]*(?:canonical|refresh)[^>]*>')) as t from seen),
 target as (
     select r, regexp_extract(t, '(?i)\\shref\\s*=\\s*["'']?([^"''\\s>]+)', 1) as t from tag
         where regexp_matches(t, '(?i)^<link\\s') and regexp_matches(t, '(?i)\\srel\\s*=\\s*["'']?canonical\\b')
     union all select r, regexp_extract(t, '(?i)[;,]\\s*url\\s*=\\s*["'']?([^"''\\s>]+)', 1) from tag
         where regexp_matches(t, '(?i)^<meta\\s') and regexp_matches(t, '(?i)http-equiv\\s*=\\s*["'']?refresh\\b')),
-addr as (select r, case when contains(t, '://') then t when t like '//%' then scheme || ':' || t when t like '/%' then scheme || '://' || host || t
-    else regexp_replace(base, '([^/])$', '\\1/') || t end as u from target join seen using (r) where t <> '' and host <> ''),
+told as (select r, replace(t, '&amp;', '&') as t from target where t <> ''),
+read as (select r, regexp_matches(t, '^(?:[A-Za-z][A-Za-z0-9+.-]*:|//)') as named, regexp_replace(t, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*', '') as rest,
+    case when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') then regexp_extract(t, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)
+        when starts_with(t, '//') then scheme || ':' || regexp_extract(t, '^(//[^/?#]*)', 1) else scheme || '://' || host end as origin,
+    host, path, asked from told join seen using (r) where host <> ''),
+whole as (select r, origin, regexp_extract(rest, '^([^?#]*)', 1) as own,
+    case when named or starts_with(own, '/') then own when own = '' then path else case when path = '' then '/' else regexp_replace(path, '[^/]*$', '') end || own end as p,
+    case when named or own <> '' or contains(rest, '?') then regexp_extract(rest, '(?s)^[^?#]*(\\?[^#]+)', 1) else asked end as asked from read where origin <> ''),
+stepped as (select r, origin, asked, p, list_reduce(list_transform(string_split(p, '/')[2:], lambda x: [x]),
+    lambda held, x: case when x[1] = '..' then held[1:greatest(len(held) - 1, 0)] when x[1] = '.' then held else held || x end, []::varchar[]) as taken from whole),
+addr as (select r, asked, origin || case when regexp_matches(p, '/\\.\\.?(?:/|$)')
+    then '/' || array_to_string(taken, '/') || case when regexp_matches(p, '/\\.\\.?$') and len(taken) > 0 then '/' else '' end else p end || asked as u from stepped),
 there as (select r, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
-    regexp_extract(u, '(?s)^.*?://[^/?#]*(/[^?#]*)', 1) as path from addr),
-named as (select *, regexp_replace(host, '^www\\.', '') || regexp_replace(path, '(?:/|/index\\.html?)$', '') as v from
-    (select r, true as own, host, path from seen union all select r, false, host, path from there) where host <> ''),
+    regexp_extract(u, '(?s)^.*?://[^/?#]*(/[^?#]*)', 1) as path, asked from addr),
+named as (select *, regexp_replace(host, '^www\\.', '') || regexp_replace(path, '(?:/|/index\\.html?)$', '') || asked as v from
+    (select r, true as own, host, path, asked from seen union all select r, false, host, path, asked from there) where host <> ''),
 link as (select distinct p.v as a, q.v as b from named p join named q on p.r = q.r and p.own and not q.own and p.v <> q.v),
 {_REACH},
 rule(rule_host, rule_path, says) as (values ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),

@@ -70,6 +70,44 @@ def test_addresses_keep_their_query_and_are_resolved(spark):
     assert [i for i in sorted(got) if got[i] == "block"] == [1, 3, 5, 6, 7, 8, 10, 11]
 
 
+def test_the_sql_of_addresses_agrees_where_pages_name_targets(spark):
+    import random
+
+    import duckdb
+
+    from lakewarden.llm import queries
+
+    draw = random.Random(3)
+    hosts = ["a.net", "www.a.net", "B.net", "c.org", "x.com", "m.example.org"]
+    tails = ["", "/", "/de/1", "/fr/2", "/es/", "/en/17", "/dir/sub/page", "/dir/./page", "/list?page=1", "/list?page=2#top", "/index.html", "/a/../de/b"]
+    said = [*tails, "page", "../up", ".", "..", "/../x/..", "?page=2", "#top", "", "go?u=https://x.com/de/a&amp;b=1", "mailto:a@b.c", "//x.com/de/y", "/x/./../y"]
+    url = lambda: f"http{draw.choice(['', 's'])}://{draw.choice(hosts)}{draw.choice(tails)}"
+    target = lambda: url() if draw.random() < 0.5 else draw.choice(said)
+    rows = [(i, url(), page(target() if i % 2 else "", target() if i % 3 == 0 else "")) for i in range(120)]
+    rows += [(5, rows[5][1], rows[5][2]), (200, "no url", rows[1][2]), (201, None, None), (202, "http://q.net", "")]
+    con = duckdb.connect()
+    con.execute("create table pages(page_id bigint, url varchar, html varchar)")
+    for some in (rows, rows[:7], [r for r in rows if r[0] % 4 == 1], []):
+        con.execute("delete from pages")
+        if some:
+            con.executemany("insert into pages values (?, ?, ?)", some)
+        got = urls.filter_urls(spark.createDataFrame(some, "page_id long, url string, html string"))
+        cur = con.execute(queries.ORACLES["op9_url_filter"])
+        assert [d[0] for d in cur.description] == got.columns
+        assert sorted(map(repr, cur.fetchall())) == sorted(repr(tuple(r)) for r in got.collect())
+
+
+def test_a_dense_label_does_not_grow(spark):
+    rng = np.random.default_rng(9)
+    center = rng.standard_normal(64)
+    # Mean cosine 0.9: what a linked pair may lie apart along a direction is most of the whole spread.
+    data = center + np.sqrt((1 / 0.9 - 1) * (center @ center) / 64) * rng.standard_normal((3000, 64))
+    points = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(data)], "id long, root long, vector array<double>")
+    leaves = neardup_vectors.forest(points, 0.93, trees=2, leaf=400)
+    assert leaves.groupBy("id").count().agg(F.min("count"), F.max("count")).first() == (2, 2)
+    assert leaves.select("leaf").distinct().count() == 2
+
+
 def linked(rows, cosine=0.93):
     fine = [(i, np.array(v, float), x) for i, v, x in rows if x is not None and v and all(c is not None and np.isfinite(c) for c in v) and any(v)]
     links = []

@@ -123,6 +123,46 @@ def test_license_with_a_word_put_in(spark):
     assert got.labels == "mit" and got.n_base == 0 and 0.6 <= got.score < 1
 
 
+def test_licenses_are_told_from_their_neighbours(spark):
+    import duckdb
+
+    said = {
+        "licensed under the gnu general public license version 2": "gpl-2",
+        "licensed under the gnu general public license version 3": "gpl-3",
+        "licensed under the gnu general public license": "",
+        "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License": "gpl-2",
+        "licensed under the apache license version 1 1": "apache-1-1",
+        "licensed under the Apache License, Version 2.0": "apache-2",
+        "licensed under cc by sa 4 0": "cc-by-sa",
+        "licensed under cc by 4 0": "",
+        "licensed under cc by nd 4 0": "cc-by-nd",
+        "the gnu affero general public license version 3": "agpl",
+        "the gnu lesser general public license version 3": "lgpl",
+        "mozilla public license version 1 1": "mpl-1",
+        "mozilla public license version 2 0": "mpl-2",
+        "creative commons attribution sharealike": "cc-by-sa",
+        "released under our license": "",
+        "no license at all": "",
+        "": "",
+    }
+    rows = [(i, text) for i, text in enumerate(said)] + [(99, None)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {i: r.labels for r in got for i in [r.doc_id]} == {**dict(enumerate(said.values())), 99: ""}
+    con = duckdb.connect()
+    con.execute("create table documents(doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    cur = con.execute(queries.ORACLES["op2_license_scan"])
+    want = [dict(zip([d[0] for d in cur.description], r, strict=True)) for r in cur.fetchall()]
+    key = lambda r: r["doc_id"]
+    assert sorted((r.asDict() for r in got), key=key) == sorted(want, key=key)
+
+
+def test_templates_name_their_deciding_words():
+    assert licenses.parsed("under [a b c d] e") == (["under", "a", "b", "c", "d", "e"], 0b110)
+    assert licenses.parsed("[a b c] [d e f]")[1] == 0b1001 and licenses.parsed("a b c")[1] == 0
+    assert all(licenses.parsed(text)[1] for text in licenses.NOTICES)
+
+
 def test_licenses_stay_native(spark):
     plan = licenses.scan(spark.createDataFrame([(1, "a b c")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -252,6 +292,29 @@ def test_pseudonyms_beside_numbers_and_capitals(value, kind):
             assert new == want and sum(counts.values()) == 2 and set(counts) == {kind, its}
 
 
+def test_dates_and_addresses_stay_linked_however_they_are_spelled():
+    import datetime
+
+    def read(text):
+        parts = [int(x) for x in re.split("[-./]", text)]
+        year, month, day = parts if parts[0] > 31 else (parts[2], parts[1], parts[0])
+        return datetime.date(year, day, month) if month > 12 else datetime.date(year, month, day)
+
+    new = {}
+    for n in range(0, 73049, 97):
+        d = datetime.date(1900, 1, 1) + datetime.timedelta(n)
+        forms = [f"{d:%Y-%m-%d}", f"{d:%Y/%m/%d}", f"{d:%d.%m.%Y}", f"{d.year}-{d.month}-{d.day}", f"{d.day}.{d.month}.{d.year}"]
+        forms += [f"{d:%m/%d/%Y}"] if d.day > 12 else []
+        said = [pii.rewrite(f, b"key") for f in forms]
+        assert all(counts == {"date": 1} for _, counts in said)
+        assert len({read(text) for text, _ in said}) == 1
+        assert [re.sub(r"\d", "0", text) for text, _ in said] == [re.sub(r"\d", "0", f) for f in forms]
+        new[d] = read(said[0][0])
+    assert len(set(new.values())) == len(new) and sum(a == b for a, b in new.items()) < 5
+    mixed, small = (pii.rewrite(x, b"key")[0] for x in ("Bob.Q@x.com", "bob.q@x.com"))
+    assert mixed.lower() == small != "bob.q@x.com" and mixed[0].isupper()
+
+
 def test_pseudonyms_cut_no_card_beside_a_telephone_number():
     card, far = "4111 1111 1111 1111", "+49 30 1234567"
     said, there = pii.rewrite(card, b"key")[0], pii.rewrite(far, b"key")[0]
