@@ -246,6 +246,27 @@ DERIVED: dict[str, str] = {
           case when event_id % 10 = 3 then ts + interval '2' hour end as redeemed_at,
           case when event_id % 20 = 3 then 'agent:x' end as redeemed_by
         from {events} where event_type = 'signup'""",
+    # The state before: some rows are not there yet, some differ, and some are gone by now.
+    "past_assets": """
+        select urn, name, kind, case when length(urn) % 3 = 0 then 'nobody' else owner end as owner,
+          case when length(name) % 4 = 0 then cast(null as string) else description end as description
+        from {assets} where length(name) % 5 <> 0
+        union all select concat('old://', cast(p_partkey as string)), p_name, 'file', p_brand, p_type from {part}""",
+    "past_labels": """
+        select urn, label from {asset_labels} where source <> 'scan'
+        union all select urn, 'phi.icd10' from {assets} where length(urn) % 4 = 0""",
+    "past_principals": """
+        select external_id, type, display_name, case when external_id like '%1' then 'low' else trust_tier end as trust_tier
+        from {principals} where external_id not like '%5'
+        union all select concat('gone:', cast(s_suppkey as string)), 'user', s_name, 'low' from {supplier}""",
+    "policies_now": "select concat('p', cast(p_partkey as string)) as key, p_name as document, p_size % 2 = 0 as enabled from {part}",
+    "past_policies": """
+        select concat('p', cast(p_partkey as string)) as key, case when p_size % 3 = 0 then 'old' else p_name end as document,
+          p_size % 5 <> 0 as enabled from {part} where p_size % 7 <> 0
+        union all select concat('s', cast(s_suppkey as string)), s_name, true from {supplier}""",
+    "past_tickets": """
+        select approval_id, case when approval_id % 5 in (1, 3) then 'pending' else status end as status,
+          cast(null as timestamp) as redeemed_at from {tickets} where approval_id % 4 <> 0""",
 }
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewarden.functions import crypto
-from lakewarden.operators import audit, scan
+from lakewarden.operators import audit, changes, scan
 from lakewarden.plans import derived, oracle
 from lakewarden.plans.registry import query
 from lakewarden.plans.requests import KEY
@@ -301,6 +301,51 @@ def audit_event_union(spark: SparkSession, sf: str) -> DataFrame:
     return union.groupBy("event").agg(F.count("*").alias("n"), F.count_distinct("actor").alias("actors"))
 
 
+def _difference(now: str, past: str, key: str, fields: list[str], created: str, deleted: str, updated: str, gone: str = "''") -> str:
+    """Events of two snapshots by a full join: which event, its key, and the fields that differ."""
+    names = " || ".join(f"case when a.{f} is distinct from b.{f} then ',{f}' else '' end" for f in fields)
+    return (
+        f"select case when b.{key} is null then '{created}' when a.{key} is null then '{deleted}' else '{updated}' end as event, coalesce(a.{key}, b.{key}) as subject,"
+        f" case when b.{key} is null then '' when a.{key} is null then {gone} else substr({names}, 2) end as fields"
+        f" from {now} a full join {past} b on a.{key} = b.{key} where a.{key} is null or b.{key} is null or ({names}) <> ''"
+    )
+
+
+@query(
+    "change_feed",
+    _difference("{assets}", "{past_assets}", "urn", ["name", "kind", "owner", "description"], "asset.registered", "asset.deleted", "asset.updated")
+    + " union all select 'asset.classified', urn, string_agg(sign || label, ',' order by sign || label) from (select urn, label, case when min(side) = 1 then '+' else '-' end as sign"
+    " from (select distinct urn, label, 1 as side from {asset_labels} union all select distinct urn, label, 0 from {past_labels}) group by urn, label having count(*) = 1) group by urn"
+    + " union all "
+    + _difference("{principals}", "{past_principals}", "external_id", ["type", "display_name", "trust_tier"], "principal.created", "principal.updated", "principal.updated", "'removed'")
+    + " union all "
+    + _difference("{policies_now}", "{past_policies}", "key", ["document"], "policy.created", "policy.deleted", "policy.updated")
+    + " union all select case when a.enabled then 'policy.enabled' else 'policy.disabled' end, a.key, '' from {policies_now} a join {past_policies} b on a.key = b.key where a.enabled <> b.enabled"
+    " union all select unnest(list_filter([case when b.approval_id is null then 'approval.requested' end, case when a.status = 'granted' and coalesce(b.status, '') <> 'granted' then 'approval.granted' end,"
+    " case when a.status = 'denied' and coalesce(b.status, '') <> 'denied' then 'approval.denied' end, case when a.redeemed_at is not null and b.redeemed_at is null then 'approval.redeemed' end], lambda x: x is not null)),"
+    " cast(a.approval_id as varchar), '' from {tickets} a left join {past_tickets} b on a.approval_id = b.approval_id"
+    " union all select 'decision', cast(decision_id as varchar), '' from {decisions}"
+    " union all select case when rn = 1 then 'decision.outcome' else 'decision.outcome_conflict' end, cast(decision_id as varchar), outcome"
+    " from (select *, row_number() over w as rn, first_value(outcome) over w as told from {reports} window w as (partition by decision_id order by reported_at, report_id)) where rn = 1 or outcome <> told",
+)
+def change_feed(spark: SparkSession, sf: str) -> DataFrame:
+    """Audit events of eighteen kinds, each from the job that causes it."""
+    now = lambda name: derived.table(spark, sf, name)
+    feeds = [
+        changes.assets(now("past_assets"), now("assets")),
+        changes.classified(now("past_labels"), now("asset_labels")),
+        changes.principals(now("past_principals"), now("principals")),
+        changes.policies(now("past_policies"), now("policies_now")),
+        changes.approvals(now("past_tickets"), now("tickets")),
+        changes.decisions(now("decisions")),
+        changes.reports(now("reports")),
+    ]
+    union = feeds[0]
+    for more in feeds[1:]:
+        union = union.unionByName(more)
+    return union.select("event", "subject", F.array_join("fields", ",").alias("fields"))
+
+
 @query("append_only_sink", f"select 'p' || (user_id % {STREAMS}) as stream, count(*) as records, count(*) as top from {{events}} group by 1")
 def append_only_sink(spark: SparkSession, sf: str) -> DataFrame:
     """Two appends to a log laid out by stream; the second continues the first."""
