@@ -12,6 +12,7 @@ from lakewarden.functions import crypto, taxonomy
 from lakewarden.operators import scan
 from lakewarden.operators.obligations import STRATEGIES
 from lakewarden.operators.rules import RULES, Rule
+from lakewarden.session import spread
 
 EDIT = "struct<label:string,strategy:string,start:int,end:int,replacement:string>"
 
@@ -313,13 +314,17 @@ def redact_structured(
     ``ids`` must name uniquely. A row nested deeper than the limit comes back ``truncated``, with
     null in the place of everything below it: what was not scanned is not delivered.
     """
+    df = spread(df)
     leaves = scan.leaf_table(df, column, ids)
     found = scan.with_findings(leaves, "value", rules, hint="hint").drop("truncated").withColumn("obligations", obligations)
     edited = F.when(F.col("redacted").isNotNull(), F.struct("path", "redacted"))
+    leaf = F.struct("path", "too_deep", F.when(F.size("edits") > 0, F.col("redacted")).alias("redacted"))
     changed = (
         with_redaction(found, "value", key=key, token_key=token_key)
-        .select(*ids, "path", "too_deep", F.when(F.size("edits") > 0, F.col("redacted")).alias("redacted"))
-        .where(F.col("redacted").isNotNull() | F.col("too_deep"))
+        # A filter on what was rewritten would be pushed down with copies of the whole scan in it, below the spreading.
+        .select(*ids, F.explode_outer(F.filter(F.array(leaf), lambda x: x["redacted"].isNotNull() | x["too_deep"])).alias("_leaf"))
+        .where(F.col("_leaf").isNotNull())
+        .select(*ids, "_leaf.*")
         .groupBy(*ids)
         .agg(F.map_from_entries(F.collect_list(edited)).alias("_edited"), F.max("too_deep").alias("truncated"))
     )

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from lakewarden.functions import crypto
 from lakewarden.operators import obligations as O
-from lakewarden.operators import redact
+from lakewarden.operators import redact, scan
 
 
 def one(spark, column):
@@ -123,3 +123,17 @@ def test_context_scrub(spark):
     c = F.create_map(F.lit("API_KEY"), F.lit("x"), F.lit("n"), F.repeat(F.lit("y"), F.lit(600)))
     out = one(spark, redact.scrub_context(c))
     assert out["API_KEY"] == "[dropped]" and out["n"] == "y" * 512 + "..."
+
+
+def test_structured_rewrite_is_spread_and_scans_once(spark, sf):
+    """A small file's trees are walked by all cores, and no filter holds a copy of the scan."""
+    rows = spark.read.parquet(f"{sf}/customer.parquet").select(
+        "c_custkey", F.concat(F.lit('{"a":{"b":"user'), "c_custkey", F.lit('@mail.example.com"},"n":1}')).alias("body")
+    )
+    rule = O.literal([{"type": "redact", "labels": ["pii.email"], "strategy": "mask"}])
+    out = redact.redact_structured(rows, "body", ["c_custkey"], rule)
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [line for line in plan if line.strip(" :+-").startswith("Filter") and "regexp" in line]
+    assert any("Repartition" in line for line in plan)
+    assert any("Repartition" in line for line in scan.leaf_table(rows, "body", ["c_custkey"])._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    assert {r.body for r in out.select("body").distinct().collect()} == {'{"a":{"b":"[REDACTED:pii.email]"},"n":1}'}
