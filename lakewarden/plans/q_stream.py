@@ -100,14 +100,13 @@ def buffered_answers(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "govern_points",
-    "select id as completion_id, length(text) // 512 + 1 as points, length(text) as longest, coalesce(list_sum([512 * i - greatest(0, 512 * i - 1536) for i in range(1, length(text) // 512 + 1)]), 0)::bigint"
-    " + length(text) - greatest(0, 512 * (length(text) // 512) - 1024) as governed_chars from {corpus} where length(text) > 0",
+    "select id as completion_id, length(text) // 512 + 1 as prefixes, length(text) as longest, cast((512 * (length(text) // 512) * (length(text) // 512 + 1)) // 2 + length(text) as bigint) as governed_chars from {corpus} where length(text) > 0",
 )
 def govern_points(spark: SparkSession, sf: str) -> DataFrame:
-    """When each answer is governed, and how much text that is in all: at most three times the answer and a stretch."""
-    due = holdback.stretches(chunks(spark, sf))
+    """When each answer is governed, and how much text that is in all: every prefix whole."""
+    due = holdback.prefixes(chunks(spark, sf))
     return due.groupBy("completion_id").agg(
-        F.count("*").alias("points"), F.max("seen").cast("bigint").alias("longest"), F.sum(F.length("tail")).alias("governed_chars")
+        F.count("*").alias("prefixes"), F.max("seen").cast("bigint").alias("longest"), F.sum(F.length("prefix")).alias("governed_chars")
     )
 
 

@@ -161,3 +161,16 @@ def test_rows_out_of_order_count_within_the_lateness(spark):
     assert into_table(jobs.decision_metrics(stream, "ts", "1 hour", late="2 hours"), "late").count() == 2
     with pytest.raises(ValueError, match="lateness"):
         jobs.decision_metrics(file_stream(spark, folder, schema))
+
+
+def test_govern_points_counts_every_prefix_whole(spark, sf):
+    """A point per 512 characters and the end, each with all of the text up to there."""
+    from lakewarden.plans import derived
+    from lakewarden.plans.q_stream import govern_points
+
+    want = {}
+    for r in derived.table(spark, sf, "corpus").where("length(text) > 0").select("id", F.length("text").alias("n")).collect():
+        ends = [*range(512, r.n + 1, 512), r.n]
+        want[r.id] = (len(ends), r.n, sum(ends))
+    got = govern_points(spark, sf).select("completion_id", "prefixes", "longest", "governed_chars").collect()
+    assert {r[0]: tuple(r[1:]) for r in got} == want
