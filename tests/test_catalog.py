@@ -157,3 +157,14 @@ def test_sampling_rules(spark):
     assert rows.agg(F.max("id")).first()[0] > 10_000  # spread, not the head
     assert sorted(rows.collect()) == sorted(tables.sample(wide.repartition(3), 50).collect())
     assert tables.sample(wide, None).count() == 20_000 and tables.sample(wide, 10**6).count() == 20_000
+
+
+def test_a_large_index_is_not_copied_to_the_driver(spark, tmp_path):
+    """Many patterns take a small file, but not so the anchors and slices made of them."""
+    rows = spark.range(3000)
+    rows.select(F.concat(F.lit("*/part"), "id", F.lit("/*")).alias("urn")).write.parquet(f"{tmp_path}/globs")
+    rows.select(F.concat(F.lit("s3://x/part"), "id", F.lit("/y")).alias("urn")).write.parquet(f"{tmp_path}/names")
+    names, globs = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("names", "globs"))
+    out = catalog.covering_assets(names, globs)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.where("not is_exact and split(urn, '/')[3] = split(asset_urn, '/')[1]").count() == out.count() == 3000
