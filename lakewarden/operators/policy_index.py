@@ -29,8 +29,10 @@ _FEATURE = "struct<present:boolean,is_null:boolean,is_list:boolean,count:int,str
 #: Spelled as another operator, negated or not.
 _SAME_AS = {"neq": ("eq", True), "any_of": ("in", False), "not_in": ("in", True), "none_of": ("in", True), "not_glob": ("glob", True)}
 _OF_NUMBERS, _OF_FLAGS = ("gt", "gte", "lt", "lte", "count_gte", "count_lte"), ("exists", "empty")
-#: Slots of time are numbered within 2^24, year 1970 in the middle; what lies further out shares the slots at the ends.
+#: Levels of blocks of time where all clauses hold always.
 _LEVELS = 24
+#: A slot is at most an hour, and the time that requests span is cut into at most so many.
+_LONGEST, _SLOTS = 3600, 1 << 18
 
 
 # --------------------------------------------------------------------------- documents to clauses
@@ -228,7 +230,7 @@ def atoms(features: Column) -> Column:
     return F.array_distinct(F.concat(F.flatten(per), anywhere))
 
 
-def pieces(first: Column, last: Column) -> Column:
+def pieces(first: Column, last: Column, levels: int = _LEVELS) -> Column:
     """``(level, at)`` of the fewest aligned blocks of 2^level slots that cover slots ``first`` up to before ``last``."""
     start = F.struct(first.cast("long").alias("lo"), last.cast("long").alias("hi"), F.array().cast("array<struct<level:int,at:bigint>>").alias("out"))
 
@@ -243,7 +245,7 @@ def pieces(first: Column, last: Column) -> Column:
             F.concat(out, more).alias("out"),
         )
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(_LEVELS)), start, step, lambda held: held["out"])
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels)), start, step, lambda held: held["out"])
 
 
 def _postings(policies: DataFrame, asked: DataFrame) -> DataFrame:
@@ -264,32 +266,58 @@ def _postings(policies: DataFrame, asked: DataFrame) -> DataFrame:
     )
     cost = anchors.join(asked, ["selector", "atom"], "left").groupBy("policy", "clause", "turn").agg(F.sum(F.coalesce("many", F.lit(0))).alias("cost"))
     rarest = cost.groupBy("policy", "clause").agg(F.min_by("turn", F.struct("cost", "turn")).alias("turn"))
-    under = anchors.join(rarest, ["policy", "clause", "turn"]).drop("turn")
+    # Merged, as the planner judges clauses by the file of their policies and would copy them through the driver.
+    under = anchors.join(rarest.hint("merge"), ["policy", "clause", "turn"]).drop("turn")
     free = rows.where(F.size(equal) == 0).select("policy", "clause", F.lit("").alias("selector"), F.lit("").alias("atom"))
-    return rows.join(under.unionByName(free), ["policy", "clause"])
+    return rows.join(under.unionByName(free).hint("merge"), ["policy", "clause"])
 
 
-def matches(requests: DataFrame, policies: DataFrame, selectors: Sequence[str], id_col: str = "request_id", at: str | None = None, grain: int = 3600) -> DataFrame:
+def _times(asking: DataFrame, policies: DataFrame, grain: int | None) -> tuple[int, int, int]:
+    """First and last second that requests ask about, and how long a slot should be.
+
+    A slot much longer than the spans of policies would make every request meet all versions that came
+    and went within it, so it is half the median span inside the time asked about.
+    """
+    asked = F.unix_seconds(F.col("time").cast("timestamp"))
+    first, last = asking.agg(F.min(asked), F.max(asked)).first()
+    if first is None:
+        return 0, 0, grain or _LONGEST
+    if grain is None:
+        since = F.greatest(F.coalesce(F.unix_seconds(F.col("valid_from").cast("timestamp")), F.lit(first)), F.lit(first))
+        until = F.least(F.coalesce(F.unix_seconds(F.col("valid_to").cast("timestamp")), F.lit(last)), F.lit(last))
+        median = policies.select((until - since).alias("n")).where("n >= 0").agg(F.percentile_approx("n", 0.5)).first()[0]
+        grain = max(1, min(_LONGEST, (_LONGEST if median is None else median) // 2), (last - first) // _SLOTS)
+    return first, last, grain
+
+
+def matches(requests: DataFrame, policies: DataFrame, selectors: Sequence[str], id_col: str = "request_id", at: str | None = None, grain: int | None = None) -> DataFrame:
     """``(request id, policy)``: which of the ``compiled`` policies match each request.
 
     ``policy`` identifies a row of ``policies`` and ``id_col`` one of ``requests``. A test on a selector
     that is not listed sees an absent value. With ``at``, the column of a request's time, a policy counts
     from ``valid_from`` (null: always) to before ``valid_to`` (null: ever after); a request without a time
-    matches nothing then. ``grain`` is the length of a slot in seconds; it changes the work, not the result.
+    matches nothing then. ``grain`` is the length of a slot in seconds, by default chosen from the spans; it
+    changes the work, not the result.
     """
     asking = requests.select(F.col(id_col), features(requests, selectors).alias("features"), (F.col(at) if at else F.lit(None).cast("timestamp")).alias("time"))
     always = F.lit(None).cast("timestamp")
     if at:
+        asking = asking.where("time is not null")
+        # Times outside those asked about share the slots at the ends.
+        first, end, grain = _times(asking, policies, grain)
+        last = (end - first) // grain
+
         def slot(time: Column) -> Column:
-            return F.least(F.greatest(F.floor(F.unix_seconds(time.cast("timestamp")) / grain) + (1 << _LEVELS - 1), F.lit(0)), F.lit((1 << _LEVELS) - 1))
+            return F.least(F.greatest(F.floor((F.unix_seconds(time.cast("timestamp")) - first) / grain), F.lit(0)), F.lit(last))
 
-        asking = asking.where("time is not null").withColumn("slot", slot(F.col("time")))
+        asking = asking.withColumn("slot", slot(F.col("time")))
         since, until = F.col("valid_from").cast("timestamp"), F.col("valid_to").cast("timestamp")
-        covered = pieces(F.when(since.isNull(), 0).otherwise(slot(since)), F.when(until.isNull(), 1 << _LEVELS).otherwise(slot(until) + 1))
+        covered = pieces(F.when(since.isNull(), 0).otherwise(slot(since)), F.when(until.isNull(), last + 1).otherwise(slot(until) + 1), (last + 1).bit_length())
     else:
         asking = asking.withColumn("slot", F.lit(0))
         since, until, covered = always, always, pieces(F.lit(0), F.lit(1 << _LEVELS))
-    valid = policies.withColumn("since", since).withColumn("until", until).withColumn("covered", covered)
+    # Read several times: written once, or every match tree would be compiled anew each time.
+    valid = cut(policies.withColumn("since", since).withColumn("until", until).withColumn("covered", covered), "clauses")
     looked = asking.select("*", F.explode(atoms(F.col("features"))).alias("a")).select(id_col, "features", "time", "slot", "a.selector", "a.atom")
     asked = asking.select(F.explode(atoms(F.col("features"))).alias("a")).groupBy("a.selector", "a.atom").agg(F.count("*").alias("many"))
     posts = cut(_postings(valid, asked).select("*", F.explode("covered").alias("piece")).select("policy", "tests", "since", "until", "selector", "atom", "piece.level", "piece.at"), "postings")
@@ -310,7 +338,7 @@ def evaluate(
     default_effect: str = policy.DENY,
     id_col: str = "request_id",
     at: str | None = None,
-    grain: int = 3600,
+    grain: int | None = None,
 ) -> DataFrame:
     """Decide requests against a table of policies; what ``policy.evaluate`` and ``policy.replay`` do for lists.
 

@@ -110,3 +110,21 @@ def test_a_plan_does_not_grow_with_the_policies(spark, sf):
         return len(plan._jdf.queryExecution().analyzed().toString().splitlines())
 
     assert size(3) == size(300)
+
+
+def test_slots_are_as_short_as_the_versions(spark):
+    """Versions that come and go within an hour are not all met by every request of that hour."""
+    start = datetime.datetime(2024, 1, 1)
+    at = lambda n: start + datetime.timedelta(seconds=n)
+    versions = [{"key": "k", "effect": "allow", "match": {"action": "read"}, "valid_from": at(5 * i), "valid_to": at(5 * i + 5)} for i in range(400)]
+    versions.append({"key": "open", "effect": "allow", "match": None, "valid_from": None, "valid_to": None})
+    table = as_table(spark, versions)
+    asked = spark.createDataFrame([(i, "read" if i % 2 else "write", at(i - 3)) for i in range(2010)] + [(9999, "read", None)], "request_id long, action string, ts timestamp")
+    _, _, grain = policy_index._times(asked.select(F.col("ts").alias("time")), table, None)
+    assert grain <= 5
+    want = {(i, 400) for i in range(2010)} | {(i, (i - 3) // 5) for i in range(2010) if i % 2 and 0 <= i - 3 < 2000}
+    for chosen in (None, 1, 7, 3600):
+        got = policy_index.matches(asked, policy_index.compiled(table), ["action"], at="ts", grain=chosen).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+    none = policy_index.matches(asked.limit(0), policy_index.compiled(table), ["action"], at="ts")
+    assert none.count() == 0
