@@ -185,3 +185,12 @@ def test_outstanding(spark):
         enforce.outstanding(duties, F.array(F.lit("redact")), ["route", "watermark"]).alias("not_run"),
     ).first()
     assert row.ran == ["watermark"] and row.not_run == ["redact"]
+
+
+def test_no_filter_holds_a_copy_of_the_trace(spark, sf):
+    """A filter below the rows of a trace would work it out on the files as they lie."""
+    from lakewarden.plans import load
+
+    plan = load()[0]["evaluation_trace"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Filter")]
+    assert filters and not any("did not match" in line or "context.destination" in line for line in filters)
