@@ -12,7 +12,8 @@ that can still change. All of it is linear in the text.
 
 Three steps: a stateful one that cuts the stretches, the ordinary JVM scan and decision over them,
 and a stateful one that releases; labels are carried along in between. The first and last hold one
-completion's open end; the costly middle is stateless and spreads freely.
+completion's open end; the costly middle is stateless and spreads freely. State is a table per
+micro-batch of the answers still open, read along with the next one's rows.
 
 ``prefixes`` and ``outcomes`` govern every prefix whole, which is quadratic; they say what the rest has
 to equal. Two answers differ from theirs, and both are stopped: one with a value longer than the
@@ -27,15 +28,12 @@ from collections.abc import Callable, Iterator
 from types import SimpleNamespace
 from typing import Any
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from lakewarden.operators import redact
-from lakewarden.session import fresh_path
-from lakewarden.streaming.runs import file_stream, into_table, use_rocksdb
+from lakewarden.streaming.runs import Kept, each_batch_keeping, folded
 
 # Characters held back, and new characters between governing.
 WINDOW = 1024
@@ -47,6 +45,7 @@ OVERRUN = "a value longer than the streaming window was found"
 STRETCH = "completion_id string, step int, at int, own int, since int, seen int, settled_to int, tail string, final boolean"
 _ANSWER_TYPES = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_()]
 LABELLED = f"{STRETCH}, hits_json string, findings array<string>"
+_STRETCH = [c.split()[0] for c in STRETCH.split(", ")]
 RELEASE = (
     "completion_id string, step int, text string, refusal string, decisions int,"
     " held_back int, overran boolean, final boolean"
@@ -284,102 +283,62 @@ def buffered(chunks: DataFrame, govern: Callable[[DataFrame], DataFrame]) -> Dat
 # --------------------------------------------------------------------------- as a stream
 
 
-class Cut(StatefulProcessor):
+class _Cut:
     """Cuts the stretches of an answer; remembers the text that the next one begins with."""
 
-    def __init__(self, every: int, reach: int) -> None:
-        self._every, self._reach = every, reach
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("text", "tail string, at int, since int, step int")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        tail, at, since, step = self._state.get() if self._state.exists() else ("", 0, 0, 0)
-        out, done = [], False
-        for row in pd.concat(list(rows)).sort_values("seq").itertuples():
-            tail += row.delta
-            done = done or row.is_last
-            for final in [False] * (at + len(tail) - since >= self._every) + [True] * row.is_last:
-                seen, own, step = at + len(tail), max(0, since - self._reach), step + 1
-                settled_to = max(0, seen - self._reach)
-                out.append((key[0], step, at, own, since, seen, settled_to, tail, final))
-                since, start = seen, max(0, settled_to - self._reach)
-                tail, at = tail[start - at :], start
-        if done:
-            self._state.clear()
-        else:
-            self._state.update((tail, at, since, step))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in STRETCH.split(", ")])
-
-    def close(self) -> None:
-        pass
-
-
-class Label(StatefulProcessor):
+    def __init__(self, every: int, reach: int, state: str | None) -> None:
+        self._every, self._reach, self._done = every, reach, False
+        self._s = json.loads(state) if state else ("", 0, 0, 0)
+
+    def take(self, row: Any) -> list[tuple]:
+        tail, at, since, step = self._s
+        tail += row.delta
+        out = []
+        for final in [False] * (at + len(tail) - since >= self._every) + [True] * row.is_last:
+            seen, own, step = at + len(tail), max(0, since - self._reach), step + 1
+            settled_to = max(0, seen - self._reach)
+            out.append((row.completion_id, step, at, own, since, seen, settled_to, tail, final))
+            since, start = seen, max(0, settled_to - self._reach)
+            tail, at = tail[start - at :], start
+        self._s = (tail, at, since, step)
+        self._done = self._done or row.is_last
+        return out
+
+    def left(self) -> str | None:
+        return None if self._done else json.dumps(self._s)
+
+
+class _Label:
     """Adds the labels settled at earlier points to each stretch; remembers labels only."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("labels", "labels string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = set(json.loads(self._state.get()[0])) if self._state.exists() else set()
-        out, done = [], False
-        names = [c.split()[0] for c in STRETCH.split(", ")]
-        for row in pd.concat(list(rows)).sort_values("step").itertuples():
-            own = json.loads(row.hits_json)
-            out.append((*(getattr(row, n) for n in names), row.hits_json, sorted(known | {h["label"] for h in own})))
-            known |= {h["label"] for h in own if h["start"] < row.settled_to}
-            done = done or row.final
-        if done:
-            self._state.clear()
-        else:
-            self._state.update((json.dumps(sorted(known)),))
-        yield pd.DataFrame(out, columns=[*names, "hits_json", "findings"])
-
-    def close(self) -> None:
-        pass
-
-
-class Release(StatefulProcessor):
-    """Releases what is safely behind the governed end, and stops at a refusal; remembers the open end."""
+    def __init__(self, state: str | None) -> None:
+        self._known = set(json.loads(state)) if state else set()
+        self._done = False
 
-    def __init__(self, window: int, reach: int) -> None:
-        self._window, self._reach = window, reach
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("open", "answer string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        answer = Answer(self._window, self._reach, json.loads(self._state.get()[0]) if self._state.exists() else None)
-        out, done = [], False
-        for row in pd.concat(list(rows)).sort_values("step").itertuples():
-            done = done or row.final
-            if (made := answer.step(row)) is not None:
-                out.append((key[0], row.step, *made, row.final))
-        if done:
-            self._state.clear()
-        else:
-            self._state.update((json.dumps(answer.s),))
-        yield pd.DataFrame(
-            out, columns=["completion_id", "step", "text", "refusal", "decisions", "held_back", "overran", "final"]
-        )
+    def take(self, row: Any) -> list[tuple]:
+        own = json.loads(row.hits_json)
+        known = sorted(self._known | {h["label"] for h in own})
+        self._known |= {h["label"] for h in own if h["start"] < row.settled_to}
+        self._done = self._done or row.final
+        return [(*(getattr(row, n) for n in _STRETCH), row.hits_json, known)]
 
-    def close(self) -> None:
-        pass
+    def left(self) -> str | None:
+        return None if self._done else json.dumps(sorted(self._known))
 
 
-def _through_table(stream: DataFrame, purpose: str) -> DataFrame:
-    """Run a stream to its end into a table, and read that as a stream, so that each restarts on its own."""
-    spark = stream.sparkSession
-    middle, state = fresh_path(spark, purpose), fresh_path(spark, f"{purpose}-state")
-    stream.writeStream.outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).format("parquet").start(middle).awaitTermination()
-    return file_stream(spark, middle, stream.schema)
+class _Release:
+    """Releases what is safely behind the governed end, and stops at a refusal; remembers the open end."""
 
+    def __init__(self, window: int, reach: int, state: str | None) -> None:
+        self._answer, self._done = Answer(window, reach, json.loads(state) if state else None), False
 
-def _stateful(stream: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
-    return stream.groupBy("completion_id").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="None"
-    )
+    def take(self, row: Any) -> list[tuple]:
+        self._done = self._done or row.final
+        made = self._answer.step(row)
+        return [] if made is None else [(row.completion_id, row.step, *made, row.final)]
+
+    def left(self) -> str | None:
+        return None if self._done else json.dumps(self._answer.s)
 
 
 def released(
@@ -395,14 +354,21 @@ def released(
     ``find`` adds ``hits`` to stretches, ``judge`` adds ``refusal``, ``edits`` and ``ways`` to those with
     ``hits`` and ``findings``; both are the same batch code.
     """
-    use_rocksdb(chunks.sparkSession)
-    found = find(_stateful(chunks, Cut(every, reach), STRETCH))
-    kind = found.schema["hits"].dataType.simpleString()
-    spelled = _through_table(found.select("*", F.to_json("hits").alias("hits_json")).drop("hits"), "stretches")
-    labelled = _stateful(spelled, Label(), LABELLED).withColumn("hits", F.from_json("hits_json", kind)).drop("hits_json")
-    columns = [c.split()[0] for c in STRETCH.split(", ")]
-    judged = _through_table(judge(labelled).select(*columns, "hits", "edits", "ways", "refusal"), "judged")
-    return into_table(_stateful(judged, Release(window, reach), RELEASE), "released")
+
+    def job(batch: DataFrame, kept: Kept) -> tuple[DataFrame, Kept]:
+        def through(rows: DataFrame, name: str, order: str, begin: Callable[[str | None], Any], schema: str) -> tuple[DataFrame, DataFrame]:
+            return folded(rows, kept.get(name), "completion_id", [F.col(order)], begin, schema)
+
+        cut_up, texts = through(batch, "texts", "seq", lambda s: _Cut(every, reach, s), STRETCH)
+        found = find(cut_up)
+        kind = found.schema["hits"].dataType.simpleString()
+        spelled = found.select(*_STRETCH, F.to_json("hits").alias("hits_json"))
+        labelled, labels = through(spelled, "labels", "step", _Label, LABELLED)
+        judged = judge(labelled.withColumn("hits", F.from_json("hits_json", kind)).drop("hits_json"))
+        made, answers = through(judged.select(*_STRETCH, "hits", "edits", "ways", "refusal"), "answers", "step", lambda s: _Release(window, reach, s), RELEASE)
+        return made, {"texts": texts, "labels": labels, "answers": answers}
+
+    return each_batch_keeping(chunks, "released", RELEASE, job)[0]
 
 
 def delivered(pieces: DataFrame) -> DataFrame:

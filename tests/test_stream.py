@@ -11,7 +11,7 @@ from lakewarden.operators import audit
 from lakewarden.plans.q_stream import find, govern, judge
 from lakewarden.session import fresh_path
 from lakewarden.streaming import holdback, jobs
-from lakewarden.streaming.runs import file_stream, into_table
+from lakewarden.streaming.runs import file_stream, folded, into_table
 
 KEY = b"stream key"
 
@@ -174,3 +174,53 @@ def test_govern_points_counts_every_prefix_whole(spark, sf):
         want[r.id] = (len(ends), r.n, sum(ends))
     got = govern_points(spark, sf).select("completion_id", "prefixes", "longest", "governed_chars").collect()
     assert {r[0]: tuple(r[1:]) for r in got} == want
+
+
+def test_a_fold_takes_a_key_as_a_flow_of_small_batches(spark):
+    """No group stands in memory, and what a key leaves open comes back before its next rows."""
+
+    class Sum:
+        def __init__(self, state):
+            self.n = int(state or 0)
+
+        def take(self, row):
+            self.n += row.v
+            return [(row.k, row.v, self.n)]
+
+        def left(self):
+            return None if self.n > 10**6 else str(self.n)
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rows = spark.range(500, 0, -1).select(F.when(F.col("id") > 100, "a").otherwise(F.lit(None)).alias("k"), F.col("id").alias("v"))
+        schema = "k string, v bigint, n bigint"
+        first, state = folded(rows, None, "k", [F.col("v")], Sum, schema)
+        again, after = folded(rows.where("v = 500 or v = 1"), state, "k", [F.col("v")], Sum, schema)
+        assert [r.n for r in first.where("k is null").orderBy("v").collect()] == [v * (v + 1) // 2 for v in range(1, 101)]
+        whole = sum(range(101, 501))
+        assert {r.k: r.n for r in again.collect()} == {"a": whole + 500, None: 5051}
+        assert {r.k: r._state for r in after.collect()} == {"a": str(whole + 500), None: "5051"}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_tickets_settle_over_batches(spark):
+    base = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    at = lambda hours: base + timedelta(hours=hours)
+    folder = fresh_path(spark, "tickets-in")
+    schema = "approval_id bigint, kind string, at timestamp, expires_at timestamp"
+    files = [
+        [(1, "opened", at(0), at(24)), (2, "opened", at(0), at(24)), (3, "opened", at(0), at(90)), (4, "granted", at(1), at(24)), (None, "opened", at(1), at(25))],
+        [(1, "granted", at(2), at(24)), (1, "denied", at(3), at(24)), (2, "granted", at(30), at(24)), (5, "opened", at(29), at(200)), (6, "opened", at(1), at(2))],
+        [(3, "denied", at(40), at(90)), (5, "denied", at(41), at(200)), (5, "opened", at(42), at(300))],
+    ]
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(1.1)
+    settled = jobs.settle_tickets(file_stream(spark, folder, spark.read.parquet(folder).schema, per_batch=1), late="0 seconds")
+    got = sorted(((r.approval_id or 0, r.status) for r in settled.collect()))
+    # The sixth came later than the mark; the last one opened is still pending.
+    assert got == [(0, "expired"), (1, "granted"), (2, "expired"), (3, "denied"), (5, "denied")]
+    empty = fresh_path(spark, "no-tickets")
+    spark.createDataFrame([], schema).write.parquet(empty)
+    assert jobs.settle_tickets(file_stream(spark, empty, settled.sparkSession.read.parquet(empty).schema), late="0 seconds").collect() == []
