@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import json
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from lakewarden.operators import audit, outcomes
-from lakewarden.streaming.runs import each_batch, into_table, use_rocksdb
+from lakewarden.streaming.runs import Kept, each_batch, each_batch_keeping, folded, into_table, use_rocksdb
 
 
 def decide_stream(requests: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -23,45 +25,39 @@ def decide_stream(requests: DataFrame, decide: Callable[[DataFrame], DataFrame])
     return each_batch(requests, "decided", decide)
 
 
-class Seal(StatefulProcessor):
+class _Seal:
     """Chains the records of one stream, carrying sequence number and digest as state."""
 
-    def __init__(self, key: bytes) -> None:
+    def __init__(self, key: bytes, state: str | None) -> None:
         self._key = key
+        self._seq, self._prev = json.loads(state) if state else (0, audit.GENESIS)
+        self._names = [c.split()[0] for c in audit.SEALED.split(", ")]
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("head", "seq bigint, head_hash string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seq, prev = self._state.get() if self._state.exists() else (0, audit.GENESIS)
-        batch = pd.concat(list(rows)).sort_values(["timestamp", "ordinal"])
-        seqs, prevs, hashes = [], [], []
-        for first, last in zip(batch["signed_head"], batch["signed_tail"], strict=True):
-            seq += 1
-            digest = hmac.new(self._key, f'{first}{prev}","seq":{seq}{last}'.encode(), hashlib.sha256).hexdigest()
-            seqs.append(seq)
-            prevs.append(prev)
-            hashes.append(digest)
-            prev = digest
-        self._state.update((seq, prev))
-        names = [c.split()[0] for c in audit.SEALED.split(", ")]
-        yield batch.assign(seq=seqs, prev_hash=prevs, record_hash=hashes)[names]
+    def take(self, row: Any) -> list[tuple]:
+        self._seq += 1
+        body = f'{row.signed_head}{self._prev}","seq":{self._seq}{row.signed_tail}'
+        digest = hmac.new(self._key, body.encode(), hashlib.sha256).hexdigest()
+        given = {**vars(row), "seq": self._seq, "prev_hash": self._prev, "record_hash": digest}
+        self._prev = digest
+        return [tuple(given[n] for n in self._names)]
 
-    def close(self) -> None:
-        pass
+    def left(self) -> str:
+        return json.dumps([self._seq, self._prev])
 
 
 def seal_stream(records: DataFrame, key: bytes) -> DataFrame:
     """Seal a stream of audit records. Arrival order decides between batches, time within one.
 
-    Records of one stream within one micro-batch pass through one task; limit the batch size
-    at the source, or cut hot streams with ``audit.segmented``.
+    Records of one stream within one micro-batch pass through one task, as a sorted flow; cut hot
+    streams with ``audit.segmented``.
     """
-    use_rocksdb(records.sparkSession)
-    sealed = audit.staged(records).groupBy("stream").transformWithStateInPandas(
-        statefulProcessor=Seal(key), outputStructType=audit.SEALED, outputMode="append", timeMode="None"
-    )
-    return into_table(sealed, "sealed")
+    order = [F.col("timestamp").asc_nulls_last(), F.col("ordinal").asc_nulls_last()]
+
+    def job(batch: DataFrame, kept: Kept) -> tuple[DataFrame, Kept]:
+        made, heads = folded(audit.staged(batch), kept.get("heads"), "stream", order, lambda state: _Seal(key, state), audit.SEALED)
+        return made, {"heads": heads}
+
+    return each_batch_keeping(records, "sealed", audit.SEALED, job)[0]
 
 
 def unmatched(decisions: DataFrame, reports: DataFrame, late: str, within: str = "24 hours") -> DataFrame:
