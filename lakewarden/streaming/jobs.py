@@ -5,16 +5,14 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from lakewarden.operators import audit, outcomes
-from lakewarden.streaming.runs import Kept, each_batch, each_batch_keeping, folded, into_table, use_rocksdb
+from lakewarden.streaming.runs import Kept, each_batch, each_batch_keeping, folded
 
 
 def decide_stream(requests: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -106,40 +104,25 @@ def counted_metrics(rows: DataFrame, at: str, by: str, width: str = "1 minute",
     return timed.groupBy(F.window(at, width).alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), by, "n")
 
 
-class Expire(StatefulProcessor):
-    """Holds pending tickets and lets event time run them out; a settled ticket leaves no state."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._state = handle.getValueState("ticket", "status string, expires_ms bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        status, due = self._state.get() if self._state.exists() else (None, None)
-        for row in pd.concat(list(rows)).sort_values(["at", "kind"]).itertuples():
-            now = int(row.at.timestamp() * 1000)
-            if row.kind == "opened":
-                status, due = "pending", int(row.expires_at.timestamp() * 1000)
-                self._handle.registerTimer(due)
-            elif status == "pending":
-                status = "expired" if due <= now else row.kind
-                out.append((key[0], status))
-        if status == "pending":
-            self._state.update((status, due))
-        elif self._state.exists():
-            self._state.clear()
-        yield pd.DataFrame(out, columns=["approval_id", "status"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        status, due = self._state.get() if self._state.exists() else (None, None)
-        out = []
-        if status == "pending" and due <= expiredTimerInfo.getExpiryTimeInMs():
-            self._state.clear()
-            out.append((key[0], "expired"))
-        yield pd.DataFrame(out, columns=["approval_id", "status"])
-
-    def close(self) -> None:
-        pass
+class _Expire:
+    """Holds a pending ticket and lets event time run it out; a settled ticket leaves no state."""
+
+    def __init__(self, state: str | None) -> None:
+        self._due = None if state is None else int(state)
+
+    def take(self, row: Any) -> list[tuple]:
+        if row.kind == "opened":
+            self._due = row.due_ms
+        elif row.kind is not None and self._due is not None:
+            status, self._due = "expired" if self._due <= row.at_ms else row.kind, None
+            return [(row.approval_id, status)]
+        return []
+
+    def left(self) -> str | None:
+        return None if self._due is None else str(self._due)
+
+
+_SETTLED = "approval_id bigint, status string"
 
 
 def settle_tickets(events: DataFrame, late: str) -> DataFrame:
@@ -148,11 +131,27 @@ def settle_tickets(events: DataFrame, late: str) -> DataFrame:
     ``kind`` is ``opened``, ``granted`` or ``denied``. A vote after the expiry cannot grant,
     and a ticket without a vote expires when event time, less ``late``, passes it.
     """
-    use_rocksdb(events.sparkSession)
-    out = events.withWatermark("at", late).groupBy("approval_id").transformWithStateInPandas(
-        statefulProcessor=Expire(),
-        outputStructType="approval_id bigint, status string",
-        outputMode="append",
-        timeMode="EventTime",
-    )
-    return into_table(out, "settled")
+    timed = events.select("approval_id", "kind", "at", F.unix_millis("at").alias("at_ms"), F.unix_millis("expires_at").alias("due_ms"))
+
+    def mark_of(kept: Kept) -> int | None:
+        return kept["mark"].first()["mark"] if kept else None
+
+    def run_out(mark: int | None) -> Column:
+        return F.coalesce(F.col("_state").cast("bigint") < F.lit(mark).cast("bigint"), F.lit(False))
+
+    def job(batch: DataFrame, kept: Kept) -> tuple[DataFrame, Kept]:
+        # The mark of a batch is what the ones before it reached, as a watermark moves between batches.
+        mark = mark_of(kept)
+        taken = batch if mark is None else batch.where(F.coalesce(F.col("at") > F.timestamp_millis(F.lit(mark)), F.lit(True)))
+        settled, pending = folded(taken, kept.get("pending"), "approval_id", [F.col("at"), F.col("kind")], _Expire, _SETTLED)
+        gone = run_out(mark)
+        expired = pending.where(gone).select("approval_id", F.lit("expired").alias("status"))
+        reached = batch.agg(F.unix_millis(F.max("at") - F.expr(f"interval {late}")).alias("mark"))
+        marks = reached.select(F.greatest("mark", F.lit(mark).cast("bigint")).alias("mark"))
+        return settled.unionByName(expired), {"pending": pending.where(~gone), "mark": marks}
+
+    settled, kept = each_batch_keeping(timed, "settled", _SETTLED, job)
+    if not kept:
+        return settled
+    last = kept["pending"].where(run_out(mark_of(kept))).select("approval_id", F.lit("expired").alias("status"))
+    return settled.unionByName(last)

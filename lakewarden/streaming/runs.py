@@ -13,14 +13,6 @@ from pyspark.sql.types import StructType
 
 from lakewarden.session import cut, fresh_path
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def use_rocksdb(spark: SparkSession) -> None:
-    """Keep operator state on local disk with changelogs in the checkpoint, not on the heap."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-
-
 _ARROW = {
     "string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(),
     "timestamp": pa.timestamp("us", "UTC"), "array<string>": pa.list_(pa.string()),
