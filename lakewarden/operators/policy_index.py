@@ -330,6 +330,15 @@ def matches(requests: DataFrame, policies: DataFrame, selectors: Sequence[str],
     return met.where(F.forall("tests", lambda t: holds(F.col("features"), t))).select(id_col, "policy").distinct()
 
 
+def kinds(policies: DataFrame, entry: Column) -> tuple[DataFrame, DataFrame]:
+    """``(kind, entry)`` of every policy, and ``(policy, match)`` of one policy per kind: those with the same trees."""
+    tree = F.coalesce("match", F.lit(""))
+    named = policies.where("policy is not null").groupBy("policy").agg(F.sort_array(F.collect_set(tree)).alias("trees"), F.collect_list(entry).alias("entries"))
+    one = cut(named.groupBy("trees").agg(F.min("policy").alias("kind")), "kinds")
+    members = named.join(one, "trees").select("kind", F.explode("entries").alias("entry"))
+    return members, one.select(F.col("kind").alias("policy"), F.explode("trees").alias("match"))
+
+
 def evaluate(
     requests: DataFrame,
     policies: DataFrame,
@@ -348,25 +357,39 @@ def evaluate(
     """
     if algorithm not in policy.ALGORITHMS:
         raise C.PolicyError(f"unknown algorithm {algorithm!r}")
-    usable = compiled(policies)
     entry = F.struct(
         (-F.col("priority")).alias("order"), "key", F.coalesce("name", "key").alias("name"), F.col("priority").cast("int").alias("priority"), "effect",
         F.coalesce(F.col("obligations"), F.array().cast(O.OBLIGATIONS)).alias("obligations"),
     )
-    found = (
-        matches(requests, usable, selectors, id_col, at, grain)
-        .join(policies.select("policy", entry.alias("entry")), "policy")
-        .groupBy(id_col)
-        .agg(F.array_sort(F.collect_list("entry")).alias("_matched"))
+    if at:
+        members, found = policies.select(F.col("policy").alias("kind"), entry.alias("entry")), matches(requests, compiled(policies), selectors, id_col, at, grain)
+    else:
+        # Dated versions seldom share their span; policies that test the same are matched as one.
+        members, trees = kinds(policies, entry)
+        found = matches(requests, compiled(trees), selectors, id_col)
+    # Read twice. Requests that match the same are settled as one, so the lists are as many as the sets that occur.
+    sets = cut(found.where("policy is not null").groupBy(id_col).agg(F.sort_array(F.collect_list("policy")).alias("_set")), "sets")
+    settled = (
+        sets.select("_set").distinct().select("_set", F.explode("_set").alias("kind"))
+        .join(members, "kind")
+        .groupBy("_set")
+        .agg(F.sort_array(F.collect_list("entry")).alias("_matched"))
+        .withColumn("_winner", policy.combine(F.col("_matched"), algorithm))
+        .withColumn("_effect", F.coalesce(F.col("_winner.effect"), F.lit(default_effect)))
+        .select(
+            "_set", "_effect", F.col("_winner.key").alias("_key"), F.transform("_matched", lambda m: m["key"]).alias("_keys"),
+            policy.duties(F.col("_matched"), F.col("_effect")).alias("_duties"), F.lit(0).cast("long").alias("_part"),
+        )
     )
-    out = requests.join(found, id_col, "left").withColumn("_matched", F.coalesce("_matched", F.array().cast(found.schema["_matched"].dataType)))
-    out = out.withColumn("_winner", policy.combine(F.col("_matched"), algorithm))
+    # Joined last, so that no list is moved once per request; requests that match nothing are spread.
+    asked = requests.join(sets, id_col, "left").withColumn("_part", F.when(F.col("_set").isNull(), F.xxhash64(id_col)).otherwise(0))
     return (
-        out.withColumn("effect", F.coalesce(F.col("_winner.effect"), F.lit(default_effect)))
-        .withColumn("determining_policy", F.col("_winner.key"))
-        .withColumn("matched_policies", F.transform("_matched", lambda m: m["key"]))
-        .withColumn("obligations", policy.duties(F.col("_matched"), F.col("effect")))
-        .drop("_matched", "_winner")
+        asked.join(settled, ["_set", "_part"], "left")
+        .withColumn("effect", F.coalesce("_effect", F.lit(default_effect)))
+        .withColumn("determining_policy", F.col("_key"))
+        .withColumn("matched_policies", F.coalesce("_keys", F.array().cast("array<string>")))
+        .withColumn("obligations", F.coalesce("_duties", F.array().cast(O.OBLIGATIONS)))
+        .drop("_set", "_part", "_effect", "_key", "_keys", "_duties")
     )
 
 

@@ -128,3 +128,18 @@ def test_slots_are_as_short_as_the_versions(spark):
         assert {tuple(r) for r in got} == want and len(got) == len(want)
     none = policy_index.matches(asked.limit(0), policy_index.compiled(table), ["action"], at="ts")
     assert none.count() == 0
+
+
+def test_policies_that_test_the_same_are_matched_as_one(spark, sf, monkeypatch):
+    """However many policies share a tree, it meets a request once; keys that repeat count as often as they stand."""
+    trees = [{"action": "read"}, {"any": [{"principal.type": "agent"}, {"context.amount": {"gt": 50}}]}, None]
+    effects = ["allow", "require_approval", "deny", "allow"]
+    policies = [{"key": f"k{i:03}", "effect": effects[i % 4], "priority": i % 5, "match": trees[i % 3]} for i in range(60)]
+    met, matches = [], policy_index.matches
+    monkeypatch.setattr(policy_index, "matches", lambda r, p, *rest: met.append(p.count()) or matches(r, p, *rest))
+    rows, table = access_requests(spark, sf).where("request_id < 200"), as_table(spark, policies)
+    names = ["action", "principal.type", "context.amount"]
+    assert decided(policy_index.evaluate(rows, table, names)) == decided(policy.evaluate(rows, policies))
+    assert met == [3]
+    twice = policy_index.evaluate(rows, table.unionByName(table), names).agg(F.sum(F.size("matched_policies"))).first()[0]
+    assert twice == 2 * policy_index.evaluate(rows, table, names).agg(F.sum(F.size("matched_policies"))).first()[0]
