@@ -194,3 +194,31 @@ def test_no_filter_holds_a_copy_of_the_trace(spark, sf):
     plan = load()[0]["evaluation_trace"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     filters = [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Filter")]
     assert filters and not any("did not match" in line or "context.destination" in line for line in filters)
+
+
+@pytest.mark.parametrize("algorithm", policy.ALGORITHMS)
+def test_the_effect_alone_needs_no_list(spark, algorithm):
+    """It is the effect of the winner of the list, and a filter on it builds no list of policies."""
+    rows = spark.range(64).select(F.struct(*[((F.col("id") / 2**i).cast("long") % 2 == 1).alias(f"b{i}") for i in range(6)]).alias("context"))
+    shapes = [("allow", 5), ("deny", 1), ("require_approval", 5), ("allow", 9), ("deny", 5), ("require_approval", 9)]
+    policies = [{"key": f"k{i}", "effect": e, "priority": p, "match": {f"context.b{i}": True}, "obligations": []} for i, (e, p) in enumerate(shapes)]
+    out = policy.evaluate(rows, policies, algorithm, "allow")
+    of = {p["key"]: p["effect"] for p in policies} | {None: "allow"}
+    seen = out.select("effect", "determining_policy").collect()
+    assert len(seen) == 64 and all(r.effect == of[r.determining_policy] for r in seen)
+    plan = out.where(F.col("effect") == "allow").select("context")._jdf.queryExecution().optimizedPlan().toString()
+    assert "obligations" not in plan and "k0" not in plan
+
+
+def test_listing_meets_in_shares(spark, sf, tmp_path):
+    """Every pair of a share stands once, repeats included and nulls left out, in more tasks than the cores."""
+    from lakewarden.plans import q_decide
+
+    spark.createDataFrame([(i % 300 if i else None, "ECONOMY" if i % 2 else "LARGE") for i in range(310)], "p_partkey long, p_type string").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(i if i else None, ["MACHINERY", "BUILDING", "OTHER"][i % 3]) for i in range(250)], "c_custkey long, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    out = q_decide.tool_listing_filter(spark, str(tmp_path))
+    parts = [(i % 300, i % 2) for i in range(1, 310)]
+    wanted = [(p, c) for p, odd in parts for c in range(1, 250) if p % 100 == c % 100 and (c % 3 == 0 or (c % 3 == 1 and odd))]
+    assert sorted(map(tuple, out.collect())) == sorted(wanted)
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [share") == 2 and tasks > 8
