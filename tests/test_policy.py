@@ -222,3 +222,15 @@ def test_listing_meets_in_shares(spark, sf, tmp_path):
     assert sorted(map(tuple, out.collect())) == sorted(wanted)
     tasks = 4 * spark.sparkContext.defaultParallelism
     assert out._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [share") == 2 and tasks > 8
+
+
+def test_shuffled_partitions_do_not_grow_with_the_table(spark, tmp_path, monkeypatch):
+    from lakewarden import session
+
+    spark.range(20_000).select(F.md5(F.col("id").cast("string")).alias("x")).coalesce(1).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    assert session.spread(table).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(session, "SHARE", 20_000)
+    assert session.spread(table).rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism
+    # A union of spread tables is not brought together again.
+    assert session.spread(session.spread(table).unionByName(session.spread(table).where("x > 'a'"))).rdd.getNumPartitions() > 4 * spark.sparkContext.defaultParallelism
