@@ -234,3 +234,14 @@ def test_shuffled_partitions_do_not_grow_with_the_table(spark, tmp_path, monkeyp
     assert session.spread(table).rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism
     # A union of spread tables is not brought together again.
     assert session.spread(session.spread(table).unionByName(session.spread(table).where("x > 'a'"))).rdd.getNumPartitions() > 4 * spark.sparkContext.defaultParallelism
+
+
+def test_spread_gives_every_core_the_same_number_of_partitions(spark, tmp_path, monkeypatch):
+    from lakewarden import session
+
+    spark.range(20_000).select(F.md5(F.col("id").cast("string")).alias("x")).coalesce(1).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(session, "SHARE", size // (cores + 2))
+    assert session.spread(table).rdd.getNumPartitions() == 2 * cores
