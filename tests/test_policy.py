@@ -245,3 +245,29 @@ def test_spread_gives_every_core_the_same_number_of_partitions(spark, tmp_path,
     cores = spark.sparkContext.defaultParallelism
     monkeypatch.setattr(session, "SHARE", size // (cores + 2))
     assert session.spread(table).rdd.getNumPartitions() == 2 * cores
+
+
+def test_what_tests_share_is_resolved_once(spark):
+    import json
+
+    from lakewarden.operators import policy
+
+    rows = [(i, json.dumps(v)) for i, v in enumerate([None, 5, "5", [1, 70], ["a", 50], True, {"x": 60}, 60.5])]
+    df = spark.createDataFrame([*rows, (99, None)], "id int, j string").select(
+        "id", F.create_map(F.lit("amount"), F.try_parse_json("j")).alias("context"), F.lit("read").alias("action")
+    )
+    df = df.unionByName(df.where("id = 99").select(F.lit(100).alias("id"), F.create_map().cast("map<string,variant>").alias("context"), "action"))
+
+    def rules(n):
+        return [{"key": f"k{i}", "effect": "allow", "match": {"all": [{"context.amount": {"gt": 10 * i}}, {"context.amount": {"lt": 1000}}]}} for i in range(n)]
+
+    def resolved(n):
+        out = policy.evaluate(df, rules(n)).select("id", "effect", "matched_policies")
+        return out._jdf.queryExecution().optimizedPlan().toString().count("variant_get(")
+
+    assert resolved(8) == resolved(2)
+    out = policy.evaluate(df, rules(8)).select("id", F.size("matched_policies").alias("n"), "effect")
+    numbers = {1: [5], 3: [1, 70], 4: [50], 7: [60.5]}
+    expected = {i: sum(any(x > 10 * k for x in numbers.get(i, [])) and any(x < 1000 for x in numbers.get(i, [])) for k in range(8)) for i in [*range(8), 99, 100]}
+    assert {r.id: r.n for r in out.collect()} == expected
+    assert {r.id for r in out.where("effect = 'allow'").collect()} == {i for i, n in expected.items() if n}
