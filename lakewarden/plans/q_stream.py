@@ -9,7 +9,7 @@ from lakewarden.operators import policy, redact, scan
 from lakewarden.plans import derived, oracle, q_audit, q_decide
 from lakewarden.plans.registry import query
 from lakewarden.plans.requests import KEY, as_requests, asset_labels, catalog_assets, catalog_principals
-from lakewarden.session import cut
+from lakewarden.session import cut, spread
 from lakewarden.streaming import holdback, jobs
 from lakewarden.streaming.runs import file_stream, into_table
 
@@ -48,7 +48,8 @@ def judge(found: DataFrame) -> DataFrame:
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Every text of the corpus cut into chunks, as a model would produce it."""
-    corpus = derived.table(spark, sf, "corpus").where(F.length("text") > 0)
+    # A table may be one split, and cutting it up is work for every core.
+    corpus = spread(derived.table(spark, sf, "corpus")).where(F.length("text") > 0)
     cut_up = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
     # Cut before the pieces become rows, so that no row carries the whole text.
     rows = corpus.select(F.col("id").alias("completion_id"), F.size(cut_up).alias("n"), F.posexplode(cut_up).alias("seq", "delta"))

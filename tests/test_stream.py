@@ -224,3 +224,34 @@ def test_tickets_settle_over_batches(spark):
     empty = fresh_path(spark, "no-tickets")
     spark.createDataFrame([], schema).write.parquet(empty)
     assert jobs.settle_tickets(file_stream(spark, empty, settled.sparkSession.read.parquet(empty).schema), late="0 seconds").collect() == []
+
+
+def test_answers_are_cut_up_on_all_cores(spark, sf):
+    from lakewarden.plans import q_stream
+
+    chunks = q_stream.chunks(spark, sf)
+    assert "Repartition" in chunks._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_python_gets_only_what_a_step_reads(spark):
+    from lakewarden.plans import q_stream
+    from lakewarden.streaming import holdback
+
+    texts = [("a", "mail me at bob@mail.example.com or bob2@mail.example.com please"), ("b", "plain " * 300), ("c", "x")]
+    rows = [(i, n, t[at : at + 64]) for i, t in texts for n, at in enumerate(range(0, len(t), 64))]
+    chunks = spark.createDataFrame(rows, "completion_id string, seq int, delta string")
+    judged = q_stream.judge(holdback.with_labels(q_stream.find(holdback.stretches(chunks))))
+    out = holdback.answers(judged)
+    field = next(c for c in _input_of(out) if c.startswith("hits"))
+    assert "detector" not in field
+    got = {r.completion_id: r.text for r in out.collect()}
+    assert got == {"a": "mail me at [REDACTED:pii.email] or [REDACTED:pii.email] please", "b": texts[1][1], "c": "x"}
+
+
+def _input_of(out):
+    """The columns that a query's one Python function is given, with their types."""
+    plan = out._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "MapInArrow":
+        plan = plan.children().apply(0)
+    fields = plan.children().apply(0).schema().fields()
+    return [f"{f.name()} {f.dataType().simpleString()}" for f in fields]
