@@ -224,6 +224,35 @@ def test_listing_meets_in_shares(spark, sf, tmp_path):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [share") == 2 and tasks > 8
 
 
+@pytest.mark.parametrize("algorithm", policy.ALGORITHMS)
+def test_pairs_are_decided_once_per_outcome_of_tests(spark, monkeypatch, algorithm):
+    """The pairs of two tables are decided as their joined rows are, however many rows share a key or differ in value."""
+    monkeypatch.setattr(policy, "BLOCK", 7)
+    tiers = [None, "low", "mid", "top", "top.secret"]
+    left = spark.createDataFrame([(i % 3 if i % 10 else None, i // 2, tiers[i % 5], i % 4 == 0) for i in range(60)], "share int, who int, tier string, clean boolean").select(
+        "share", "who", F.struct("tier", F.concat(F.lit("u"), F.col("who")).alias("id")).alias("principal"), F.struct("clean").alias("env")
+    )
+    right = spark.createDataFrame([(i % 4 if i % 9 else None, i // 3, f"kind{i}", i) for i in range(90)], "share int, what int, kind string, rank int").select(
+        "share", "what", F.struct("kind", "rank").alias("resource")
+    )
+    rules = [
+        {"key": "a", "effect": "allow", "priority": 3, "match": {"any": [{"principal.tier": ["top", "mid"]}, {"resource.rank": {"gt": 40}}]}},
+        {"key": "d", "effect": "deny", "priority": 7, "match": {"all": [{"resource.kind": {"glob": "kind?"}}, {"not": {"env.clean": True}}]}},
+        {"key": "r", "effect": "require_approval", "priority": 5, "match": {"principal.id": {"exists": True}, "resource.rank": {"lt": 20}, "context.x": {"exists": False}}},
+        {"key": "broken", "effect": "deny", "priority": 9, "match": {"resource.rank": {"near": 1}}},
+        {"key": "off", "effect": "deny", "priority": 9, "enabled": False, "match": {}},
+    ]
+    met, evaluate = [], policy.evaluate
+    monkeypatch.setattr(policy, "evaluate", lambda df, *rest: met.append(df.count()) or evaluate(df, *rest))
+    for effect in ("allow", "deny", "require_approval"):
+        wanted = evaluate(left.join(right, "share"), rules, algorithm).where(F.col("effect") == effect).select("what", "who", "share")
+        got = policy.evaluate_pairs(left, right, ["share"], ["what", "who", "share"], rules, effect, algorithm)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect())) and (got.count() or effect == "deny")
+    assert max(met) <= 6 * 8
+    with pytest.raises(ValueError, match="both sides have who"):
+        policy.evaluate_pairs(left, right.withColumn("who", F.lit(1)), ["share"], ["who"], rules)
+
+
 def test_shuffled_partitions_do_not_grow_with_the_table(spark, tmp_path, monkeypatch):
     from lakewarden import session
 
