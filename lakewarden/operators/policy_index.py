@@ -4,7 +4,8 @@
 Its match tree becomes clauses: it matches where all tests of one clause hold. Every clause is posted
 under one of its equality tests, the one that the fewest requests pass, and under the pieces of its
 span of time; requests look up their own values there. What meets is tested in full. The plan has the
-same size for one policy and for a million.
+same size for one policy and for a million. Dated versions of which few hold at a time are met as lists
+of their time instead, each tree tested once for all its versions.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakewarden.operators import conditions as C
 from lakewarden.operators import obligations as O
@@ -33,6 +35,10 @@ _OF_NUMBERS, _OF_FLAGS = ("gt", "gte", "lt", "lte", "count_gte", "count_lte"), (
 _LEVELS = 24
 #: A slot is at most an hour, and the time that requests span is cut into at most so many.
 _LONGEST, _SLOTS = 3600, 1 << 18
+#: A list of versions has at most so many, under so many trees; the time asked about is cut into so many slots, at least and at most.
+_LISTED, _TREES, _LIST_SLOTS = 1024, 256, (1 << 12, 1 << 22)
+#: Trees that are copied to every task; more of them are joined by merging.
+_COPIED = 4096
 
 
 # --------------------------------------------------------------------------- documents to clauses
@@ -207,7 +213,8 @@ def _holds(view: Column, test: Column) -> Column:
         "count_lte": view["count"] <= first["number"],
     }
     chosen = F.lit(False)
-    for name, case in cases.items():
+    # The first of them is asked first.
+    for name, case in reversed(cases.items()):
         chosen = F.when(test["operator"] == name, _yes(case)).otherwise(chosen)
     return chosen != test["negated"]
 
@@ -362,11 +369,14 @@ def evaluate(
         F.coalesce(F.col("obligations"), F.array().cast(O.OBLIGATIONS)).alias("obligations"),
     )
     if at:
-        members, found = policies.select(F.col("policy").alias("kind"), entry.alias("entry")), matches(requests, compiled(policies), selectors, id_col, at, grain)
-    else:
-        # Dated versions seldom share their span; policies that test the same are matched as one.
-        members, trees = kinds(policies, entry)
-        found = matches(requests, compiled(trees), selectors, id_col)
+        return _replayed(requests, policies, entry, selectors, algorithm, default_effect, id_col, at, grain)
+    # Dated versions seldom share their span; policies that test the same are matched as one.
+    members, trees = kinds(policies, entry)
+    return _by_sets(requests, matches(requests, compiled(trees), selectors, id_col), members, algorithm, default_effect, id_col)
+
+
+def _by_sets(requests: DataFrame, found: DataFrame, members: DataFrame, algorithm: str, default_effect: str, id_col: str) -> DataFrame:
+    """``requests`` decided by ``found``, their ``(request id, policy)``; ``members`` are the entries of each policy."""
     # Read twice. Requests that match the same are settled as one, so the lists are as many as the sets that occur.
     sets = cut(found.where("policy is not null").groupBy(id_col).agg(F.sort_array(F.collect_list("policy")).alias("_set")), "sets")
     settled = (
@@ -393,6 +403,113 @@ def evaluate(
     )
 
 
+# --------------------------------------------------------------------------- versions as lists
+
+
+def _in_force(groups: Column, features: Column, time: Column) -> Column:
+    """Entries of all versions that hold at a time and match: of ``(clauses, spans)``, spans being ``(since, until, entry)``."""
+
+    def matching(asked: Column) -> Column:
+        held = F.transform(
+            groups,
+            lambda g: F.struct(
+                g["clauses"].alias("clauses"),
+                F.filter(g["spans"], lambda s: (s["since"] <= asked["time"]) & (asked["time"] < s["until"])).alias("spans"),
+            ),
+        )
+        hit = F.filter(held, lambda g: (F.size(g["spans"]) > 0) & F.exists(g["clauses"], lambda c: F.forall(c["tests"], lambda t: holds(asked["features"], t))))
+        return F.flatten(F.transform(hit, lambda g: F.transform(g["spans"], lambda s: s["entry"])))
+
+    # Bound once by the lambda, as the features are read by every test.
+    return F.transform(F.array(F.struct(features.alias("features"), time.alias("time"))), matching)[0]
+
+
+def _trees(dated: DataFrame) -> DataFrame:
+    """``(tree, match, clauses)`` of every tree of ``dated`` that can match, each compiled once."""
+    made = compiled(dated.select("match").distinct()).where(F.size("clauses") > 0)
+    return cut(made.select(F.monotonically_increasing_id().alias("tree"), "match", "clauses"), "trees")
+
+
+def _replayed(
+    requests: DataFrame, policies: DataFrame, entry: Column, selectors: Sequence[str], algorithm: str, default_effect: str, id_col: str, at: str, grain: int | None
+) -> DataFrame:
+    """Requests against dated versions: time is cut into slots, and a request meets the list of its slot.
+
+    A slot is as long as a version holds on average, so its list is about twice what holds at a time. Requests
+    whose slot has too long a list or too many trees, and those that share an id, look versions up by value instead.
+    """
+
+    def looked_up(asked: DataFrame) -> DataFrame:
+        found = matches(asked, compiled(policies), selectors, id_col, at, grain)
+        return _by_sets(asked, found, policies.select(F.col("policy").alias("kind"), entry.alias("entry")), algorithm, default_effect, id_col)
+
+    def micros(time: str) -> Column:
+        return F.unix_micros(F.col(time).cast("timestamp"))
+
+    per_id = requests.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n"), F.min(micros(at)).alias("lo"), F.max(micros(at)).alias("hi"))
+    first, last, most, asking = per_id.agg(F.min("lo"), F.max("hi"), F.max("n"), F.sum("n")).first()
+    if first is None:
+        return looked_up(requests)
+    dated = cut(
+        policies.where("policy is not null").select("policy", F.coalesce("match", F.lit("")).alias("match"), entry.alias("entry"), micros("valid_from").alias("since"), micros("valid_to").alias("until")),
+        "dated",
+    )
+    if dated.groupBy("policy").count().agg(F.max("count")).first()[0] != 1:
+        return looked_up(requests)
+    begin, end = F.greatest(F.coalesce("since", F.lit(first)), F.lit(first)), F.least(F.coalesce("until", F.lit(last + 1)), F.lit(last + 1))
+    dated = dated.withColumn("since", begin).withColumn("until", end).where("since < until")
+    span, n = dated.agg(F.avg((F.col("until") - F.col("since")).cast("double")), F.count("*")).first()
+    if not n or span * n > _LISTED * (last + 1 - first):
+        return looked_up(requests)
+    # No more slots than requests, and never so few that a core is left without.
+    longest, shortest = (-(-(last + 1 - first) // slots) for slots in _LIST_SLOTS)
+    step = max(min(grain * 1_000_000 if grain else int(span), longest), shortest, (last + 1 - first) // asking)
+
+    def slot(time: Column) -> Column:
+        return F.call_function("div", time - F.lit(first), F.lit(step))
+
+    trees = _trees(dated)
+    few = trees.count() <= _COPIED
+    known = F.broadcast(trees) if few else trees.hint("merge")
+    covered = F.explode(F.sequence(slot(F.col("since")), slot(F.col("until") - 1))).alias("_slot")
+    cells = dated.join(known.select("tree", "match"), "match").select(covered, "tree", "since", "until", "entry")
+    sizes = cells.groupBy("_slot", "tree").agg(F.count("*").alias("n")).groupBy("_slot").agg(F.sum("n").alias("n"), F.count("*").alias("trees"))
+    long = cut(sizes.where((F.col("n") > _LISTED) | (F.col("trees") > _TREES)).select("_slot"), "long")
+    asked = requests.withColumn("_slot", F.when(F.col(id_col).isNotNull(), slot(micros(at))))
+    apart = []
+    if most > 1:
+        twice = cut(per_id.where("n > 1").select(id_col, F.lit(True).alias("_twice")), "twice")
+        asked, apart = asked.join(twice, id_col, "left"), ["_twice"]
+    if long.head(1):
+        asked, apart = asked.join(long.withColumn("_long", F.lit(True)), "_slot", "left"), [*apart, "_long"]
+        cells = cells.join(long, "_slot", "left_anti")
+    other = F.coalesce(*[F.col(c) for c in apart], F.lit(False))
+
+    lists = (
+        cells.repartition("_slot")
+        .groupBy("_slot", "tree")
+        .agg(F.collect_list(F.struct("since", "until", "entry")).alias("spans"))
+        .join(known.select("tree", "clauses"), "tree")
+        .groupBy("_slot")
+        .agg(F.collect_list(F.struct("clauses", "spans")).alias("_groups"))
+    )
+    # Requests that have no slot match nothing and are spread.
+    alone = asked.where(~other).withColumn("_slot", F.coalesce("_slot", -1 - F.pmod(F.xxhash64(id_col), F.lit(1 << 20))))
+    met = alone.join(lists, "_slot", "left")
+    found = _in_force(F.col("_groups"), features(met, selectors), micros(at))
+    none = F.array().cast(T.ArrayType(cells.schema["entry"].dataType))
+    out = (
+        met.withColumn("_matched", F.sort_array(F.coalesce(found, none)))
+        .withColumn("_winner", policy.combine(F.col("_matched"), algorithm))
+        .withColumn("effect", F.coalesce("_winner.effect", F.lit(default_effect)))
+        .withColumn("determining_policy", F.col("_winner.key"))
+        .withColumn("matched_policies", F.transform("_matched", lambda m: m["key"]))
+        .withColumn("obligations", policy.duties(F.col("_matched"), F.col("effect")))
+        .select(*requests.columns, "effect", "determining_policy", "matched_policies", "obligations")
+    )
+    return out.unionByName(looked_up(asked.where(other).select(*requests.columns))) if apart else out
+
+
 def faults(policies: DataFrame) -> DataFrame:
     """``(policy, key, fault)`` of policies whose match tree cannot be used."""
     return compiled(policies).where("fault is not null").select("policy", "key", "fault")

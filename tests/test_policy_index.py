@@ -143,3 +143,52 @@ def test_policies_that_test_the_same_are_matched_as_one(spark, sf, monkeypatch):
     assert met == [3]
     twice = policy_index.evaluate(rows, table.unionByName(table), names).agg(F.sum(F.size("matched_policies"))).first()[0]
     assert twice == 2 * policy_index.evaluate(rows, table, names).agg(F.sum(F.size("matched_policies"))).first()[0]
+
+
+def test_versions_of_a_time_are_met_as_a_list(spark, monkeypatch):
+    """Lists decide as the index does, each tree is compiled once, and what has no short list is looked up."""
+    start = datetime.datetime(2024, 1, 1)
+    at = lambda n: start + datetime.timedelta(milliseconds=n)
+    trees = [{"action": "read"}, {"action": ["read", "search"], "principal.type": "agent"}, {"any": [{"action": "write"}, {"not": {"principal.type": "agent"}}]}, None, {"action": {"near": 1}}]
+    effects = ["allow", "deny", "require_approval"]
+    versions = [
+        {"key": f"k{i % 7}", "effect": effects[i % 3], "priority": i % 5, "match": trees[i % 5], "valid_from": at(130 * (i // 2) - 900), "valid_to": at(130 * (i // 2) - 900 + (i % 4) * 500)}
+        for i in range(200)
+    ]
+    versions += [{"key": "open", "effect": "allow", "match": {"action": "write"}}, {"key": "since", "effect": "deny", "priority": 200, "match": None, "valid_from": at(9000)}]
+    versions += [{"key": f"burst{i}", "effect": effects[i % 3], "match": {"action": "read", "principal.type": f"t{i}"}, "valid_from": at(4000), "valid_to": at(4040 + i)} for i in range(30)]
+    table = as_table(spark, versions)
+    rows = [(i, ["read", "search", "write"][i % 3], ["agent", "t3", None][i % 7 % 3], at(37 * i - 1000)) for i in range(400)]
+    rows += [(1000, "read", "agent", None), (None, "read", "agent", at(5000)), (None, "write", None, at(1))]
+    repeated = [(7, "write", "t3", at(9500)), (7, "read", "agent", None), (9, "search", "agent", at(100))]
+
+    def asked(some):
+        made = spark.createDataFrame(some, "request_id long, action string, type string, ts timestamp")
+        return made.withColumn("principal", F.struct("type")).drop("type")
+
+    def run(some, policies=table, **kept):
+        with monkeypatch.context() as patch:
+            for name, value in kept.items():
+                patch.setattr(policy_index, name, value)
+            return decided(policy_index.evaluate(asked(some), policies, ["action", "principal.type"], at="ts"))
+
+    met, matches = [], policy_index.matches
+
+    def counted(requests, *rest):
+        met.append(requests.count())
+        return matches(requests, *rest)
+
+    wanted = run(rows, _LISTED=0)
+    assert len({r[1] for r in wanted}) == 3 and len(wanted) == 403
+    assert run(rows, matches=None) == wanted
+    for limits in ({"_LISTED": 20}, {"_TREES": 8}, {"_LIST_SLOTS": (1, 1), "_LISTED": 300}, {"_COPIED": 0, "matches": None}):
+        assert run(rows, **{"matches": counted, **limits}) == wanted
+    # Of those with a limit some requests are looked up, not all.
+    assert len(met) >= 2 and all(0 < n < 200 for n in met)
+    met.clear()
+    assert run([*rows, *repeated], matches=counted) == run([*rows, *repeated], _LISTED=0) and met == [5]
+    met.clear()
+    twice = table.unionByName(table.where("policy < 9"))
+    assert run(rows, twice, matches=counted) == run(rows, twice, _LISTED=0) != wanted and met == [403]
+    compiled = policy_index._trees(table.withColumn("match", F.coalesce("match", F.lit("")))).count()
+    assert compiled == 4 + 1 + 30
